@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .decontamination import OP10_SQL, op10_decontamination
 from .sharding import op8_sharding
 
-QUERIES = {f.__name__: f for f in (op8_sharding,)}
+QUERIES = {f.__name__: f for f in (op8_sharding, op10_decontamination)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_decontamination": OP10_SQL}
