@@ -5,8 +5,9 @@ from __future__ import annotations
 from .decontamination import OP10_SQL, op10_decontamination
 from .language import op7_language
 from .packing import op6_packing
+from .pii import op2_pii
 from .sharding import op8_sharding
 
-QUERIES = {f.__name__: f for f in (op6_packing, op7_language, op8_sharding, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_pii, op6_packing, op7_language, op8_sharding, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {"op10_decontamination": OP10_SQL}
