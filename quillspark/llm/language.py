@@ -189,4 +189,4 @@ def held_out(n: int) -> Column:
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     profiles = learn(docs.where(held_out(5) != 0))
-    return identify(doc_texts(docs), profiles).select("doc_id", (held_out(5) == 0).alias("held_out"), "lang_pred", "score")
+    return identify(doc_texts(docs), profiles).select("doc_id", F.coalesce(held_out(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")

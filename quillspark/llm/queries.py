@@ -7,7 +7,8 @@ from .language import op7_language
 from .packing import op6_packing
 from .pii import op2_pii
 from .sharding import op8_sharding
+from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_pii, op6_packing, op7_language, op8_sharding, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_pii, op4_toxicity, op6_packing, op7_language, op8_sharding, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {"op10_decontamination": OP10_SQL}
