@@ -5,11 +5,12 @@ from __future__ import annotations
 from .decontamination import OP10_SQL, op10_decontamination
 from .fingerprint import op3_fingerprint
 from .language import op7_language
+from .neardup import OP1_SQL, op1_neardup
 from .packing import op6_packing
 from .pii import op2_pii
 from .sharding import op8_sharding
 from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_fingerprint, op4_toxicity, op6_packing, op7_language, op8_sharding, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_neardup, op2_pii, op3_fingerprint, op4_toxicity, op6_packing, op7_language, op8_sharding, op10_decontamination)}
 
-ORACLE_SQL: dict[str, str] = {"op10_decontamination": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_neardup": OP1_SQL, "op10_decontamination": OP10_SQL}
