@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_texts, per_slice, ranked, read
+from .common import doc_texts, per_slice, ranked, read, stage
 from .tokens import encoder, vocabulary
 
 LENGTH = 2048
@@ -104,7 +104,9 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_id:
     of each length, `length` numbers at most, comes to the driver.
     """
     spark = docs.sparkSession
-    laid = ranked(pieces(docs, length, path, end_id), ["length"], ["doc_id", "start"], "__rank", "packing")
+    # staged, as dealing by ranges reads its input twice
+    cut = stage(pieces(docs, length, path, end_id), "pieces")
+    laid = ranked(cut, ["length"], ["doc_id", "start"], "__rank", "packing")
     stock = {r["length"]: r["n"] for r in laid.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = spark.createDataFrame(plan(stock, length), "__l int, __from long, to long, sequence long, n long, offset long")
     runs = runs.groupBy("__l").agg(F.sort_array(F.collect_list(F.struct("to", "__from", "sequence", "n", "offset"))).alias("__runs"))
