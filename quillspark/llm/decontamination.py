@@ -207,7 +207,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     The columns and all other rows stay as they are; null texts stay.
     """
-    into = "__scanned"
+    into, columns = "__scanned", docs.columns
     found = scan(docs, benchmark, window, into=into)
 
     def make():
@@ -219,8 +219,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
                 hit = sum(e - a for a, e in spans)
                 keep.append(hit <= max_cover * s["n_words"])
                 out.append(without(t, spans) if hit and keep[-1] else t)
-            cols = [pa.array(out, pa.string()) if c == "text" else b.column(b.schema.get_field_index(c)) for c in docs.columns]
-            return pa.RecordBatch.from_arrays(cols, docs.columns).filter(pa.array(keep, pa.bool_()))
+            cols = [pa.array(out, pa.string()) if c == "text" else b.column(b.schema.get_field_index(c)) for c in columns]
+            return pa.RecordBatch.from_arrays(cols, columns).filter(pa.array(keep, pa.bool_()))
 
         return step
 
