@@ -3,9 +3,20 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
 #: Pieces remembered in a worker; a full memory is emptied.
-MEMORY = 800_000
+MEMORY = 900_000
+#: Letters that are one pre-token with their neighbours, then marks that are another: such words need the model alone.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
+
+
+def byte_letters() -> list[str]:
+    """The printable character that byte-level vocabularies use for each byte: itself where printable, else the next from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
 class Encoder:
@@ -23,58 +34,75 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.spaces = spaces
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.letters = byte_letters()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _part(self, pre: str) -> bytes:
+        """Ids of one pre-token."""
+        got = self.parts.get(pre)
+        if got is None:
+            if len(self.parts) > MEMORY:
+                self.parts.clear()
+            mapped = pre if pre.isascii() and pre > " ~" else "".join(map(self.letters.__getitem__, pre.encode()))
+            got = self.parts[pre] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return got
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        new = list(words)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self.known.update(zip(part, self._encode([(" " * self.spaces) + w.decode() for w in part]), strict=True))
-
-    def _parts(self, text: str) -> list[bytes]:
-        """Pieces; with spaces, the first stands apart."""
-        if not self.spaces:
-            return text.encode().lower().split()
-        return text.encode().split(b" ")
+        rest, known, head = [], self.known, " " * self.spaces
+        for w in words:
+            # with spaces, a lone line end inside is a pre-token of its own, and no space stands before what follows
+            found = [_PLAIN.fullmatch(p) for p in (w.decode().split("\n") if self.spaces else [w.decode()])]
+            if all(found):
+                ids = b""
+                for i, m in enumerate(found):
+                    word, marks = m.groups()
+                    word = head * (not i) + word if self.spaces else word.lower()
+                    ids += (self._part("\n") if i else b"") + self._part(word) + (self._part(marks) if marks else b"")
+                known[w] = ids
+            else:
+                rest.append(w)
+        for i in range(0, len(rest), 20_000):
+            known.update(zip(rest[i : i + 20_000], self._encode([head + w.decode() for w in rest[i : i + 20_000]]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._parts(t) for t in texts]
+        if self.spaces:
+            cut = [t.encode().split(b" ") for t in texts]
+            first = self._encode([c[0].decode() for c in cut])
+        else:
+            cut = [t.encode().lower().split() for t in texts]
+            first = None
         whole = set()
         if self.spaces:
-            odd = {w for w in set().union(*(c[1:] for c in cut), ()) if w not in self.known and self._odd(w)}
-            for i, c in enumerate(cut):
-                # a piece that starts or ends with white space, or is empty, changes how its neighbours are cut
-                if len(c) > 1 and (self._odd(c[0]) or odd and not odd.isdisjoint(c)):
-                    whole.add(i)
-        skip = int(self.spaces)
-        new: set[bytes] = set()
-        for i, c in enumerate(cut):
-            if i not in whole:
-                new.update(c[skip:])
+            new = set().union(*(c[1:] for c in cut)).difference(self.known)
+            # a piece that starts or ends with white space, or is empty, changes how its neighbours are cut
+            odd = {w for w in new if self._odd(w)}
+            whole = {i for i, c in enumerate(cut) if len(c) > 1 and (self._odd(c[0]) or odd and not odd.isdisjoint(c[1:]))}
+            if whole:
+                new = set().union(*(c[1:] for i, c in enumerate(cut) if i not in whole)).difference(self.known)
+        else:
+            new = set().union(*cut).difference(self.known)
         if len(self.known) + len(new) > MEMORY:
             self.known.clear()
-        new.difference_update(self.known)
-        if new:
-            self._learn(new)
-        alone = [i for i in range(len(texts)) if i in whole]
+            new = set().union(*(c[int(self.spaces) :] for i, c in enumerate(cut) if i not in whole))
+        self._learn(new)
+        alone = sorted(whole)
         done = dict(zip(alone, self._encode([texts[i] for i in alone]), strict=True)) if alone else {}
-        first = self._encode([c[0].decode() for c in cut]) if skip else None
         get = self.known.__getitem__
-        return [done[i] if i in done else (first[i] if skip else b"") + b"".join(map(get, c[skip:])) for i, c in enumerate(cut)]
+        if not self.spaces:
+            return [b"".join(map(get, c)) for c in cut]
+        return [done[i] if i in done else first[i] + b"".join(map(get, c[1:])) for i, c in enumerate(cut)]
 
     @staticmethod
     def _odd(word: bytes) -> bool:
         if not word:
             return True
-        if word[0] > 32 and word[0] < 127 and word[-1] > 32 and word[-1] < 127:
+        if 32 < word[0] < 127 and 32 < word[-1] < 127:
             return False
         t = word.decode()
         return t[0].isspace() or t[-1].isspace()
