@@ -100,3 +100,41 @@ def doc_texts(docs: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: Bits of the sieve: 2**BITS, in words of 64, so that what is broadcast has 2**(BITS - 6) rows at most.
+BITS = 24
+
+
+def _sieve(df: DataFrame, column: str, ids: DataFrame, key: str) -> DataFrame:
+    """df with __maybe: false where `column` is surely none of the ids.
+
+    The more ids the more rows may be one; the broadcast stays of one size.
+    """
+
+    def spot(c: str) -> tuple[Column, Column]:
+        h = F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << BITS))
+        return F.shiftright(h, 6), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+
+    word, bit = spot(key)
+    words = ids.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    word, bit = spot(column)
+    maybe = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
+    return df.join(F.broadcast(words), word == F.col("__word"), "left").withColumn("__maybe", maybe).drop("__word", "__bits")
+
+
+def likely(df: DataFrame, column: str, ids: DataFrame, key: str) -> DataFrame:
+    """df without most of the rows whose `column` is none of the ids, and without a shuffle."""
+    return _sieve(df, column, ids, key).where("__maybe").drop("__maybe")
+
+
+def having(df: DataFrame, column: str, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose `column` is one of the ids; few others are shuffled."""
+    return likely(df, column, ids, key).join(ids.select(F.col(key).alias("__key")), F.col(column) == F.col("__key"), "left_semi")
+
+
+def lacking(df: DataFrame, column: str, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose `column` is none of the ids, null too; few of them are shuffled."""
+    told = _sieve(df, column, ids, key)
+    rest = told.where("__maybe").drop("__maybe").join(ids.select(F.col(key).alias("__key")), F.col(column) == F.col("__key"), "left_anti")
+    return told.where("not __maybe").drop("__maybe").unionAll(rest)

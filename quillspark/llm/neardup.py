@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_texts, per_slice, read, stage
+from .common import doc_texts, having, lacking, per_slice, read, stage
 from .components import components
 from .minhash import Words, bands, shingles, signature
 
@@ -59,9 +59,8 @@ def compared(pairs: DataFrame, docs: DataFrame, k: int, percent: int, difference
     apart: the sorted 32-bit hashes of what only one of the two holds (different ones may meet,
     which makes a bound on it looser, never wrong).
     """
-    needed = pairs.select(F.col("a").alias("__id")).unionAll(pairs.select("b")).distinct()
-    texts = doc_texts(docs)
-    texts = stage(texts.join(needed, texts["doc_id"] == needed["__id"], "left_semi").dropDuplicates(["doc_id"]), "texts")
+    needed = stage(pairs.select(F.col("a").alias("__id")).unionAll(pairs.select("b")).distinct(), "needed")
+    texts = stage(having(doc_texts(docs), "doc_id", needed, "__id").dropDuplicates(["doc_id"]), "texts")
     with_b = pairs.join(texts.withColumnsRenamed({"doc_id": "__b", "text": "text_b"}), F.col("b") == F.col("__b")).select("a", "b", "text_b")
     both = with_b.join(texts.withColumnsRenamed({"doc_id": "__a", "text": "text_a"}), F.col("a") == F.col("__a")).select("a", "b", "text_a", "text_b")
 
@@ -158,8 +157,8 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component, all columns; of rows that share a doc_id all or none stay."""
-    gone = link(docs, k, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = stage(link(docs, k, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return lacking(docs, "doc_id", gone, "__gone")
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
