@@ -73,6 +73,11 @@ the 1st 2nd 3rd and 4th of 12
 see section 4.1.2 (3) and (12)
 key 83204-11 and 20240131-7
 win 3-2 or 21-19 21-17
+scores 2004 12 13 14 and 1998 3 4 5 6 7 then 2012 10 11 12 13
+years 1990 1995 2000 and 2010 2015 2020 2025
+rows 10 20 30 40 50 60 of 1200 1300 1400
+grid 512 256 128 64 and 1024 768 600 480
+since 2001 14 were sold, 2002 15 16 17
 zip 90210-1234 and 10115
 """
 

@@ -72,26 +72,31 @@ class Voters:
 class LabelModel:
     """Hidden label, votes independent given it up to shared weights; fitted by expectation maximisation."""
 
-    def __init__(self, votes: np.ndarray, first: np.ndarray, rounds: int = 15) -> None:
+    def __init__(self, votes: np.ndarray, first: np.ndarray, rounds: int = 60) -> None:
         """first: a first belief for each row."""
         post, v = first, votes.shape[1]
         self.weight = np.ones(v)
-        for _ in range(rounds):
+        for r in range(rounds):
             a, b = post.sum() + 1e-9, (1 - post).sum() + 1e-9
             self.prior = np.clip(a / (a + b), 1e-4, 1 - 1e-4)
             self.hit = (post @ votes + 0.1) / (a + 1)  # rate of a vote on toxic documents
             self.miss = ((1 - post) @ votes + 0.1) / (b + 1)  # and on others
-            together = np.zeros((v, v))
-            for p, rate in ((post, self.hit), (1 - post, self.miss)):
-                rest = votes - rate
-                cov = (rest * p[:, None]).T @ rest / (p.sum() + 1e-9)
-                sd = np.sqrt(np.maximum(rate * (1 - rate), 1e-9))
-                together += 0.5 * np.clip(cov / np.outer(sd, sd), 0, 1)
-            np.fill_diagonal(together, 0)
-            self.correlation = together
-            self.weight = 1 / (1 + np.where(together > 0.2, together, 0).sum(1))
+            if r % 5 == 0:
+                self.correlation = self._together(votes, post)
+                self.weight = 1 / (1 + np.where(self.correlation > 0.35, self.correlation, 0).sum(1))
             post = self.posterior(votes)
 
+    def _together(self, votes: np.ndarray, post: np.ndarray) -> np.ndarray:
+        """How far each two votes move together beyond what the label explains, from 0 to 1."""
+        out = np.zeros((votes.shape[1],) * 2)
+        for p, rate in ((post, self.hit), (1 - post, self.miss)):
+            rest = votes - rate
+            cov = (rest * p[:, None]).T @ rest / (p.sum() + 1e-9)
+            sd = np.sqrt(np.maximum(rate * (1 - rate), 1e-9))
+            out += 0.5 * np.clip(cov / np.outer(sd, sd), 0, 1)
+        np.fill_diagonal(out, 0)
+        return out
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         on, off = np.log(self.hit / self.miss), np.log((1 - self.hit).clip(1e-9) / (1 - self.miss).clip(1e-9))
         z = np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * (on - off)) + (self.weight * off).sum()
