@@ -6,9 +6,13 @@ many fingerprints as words, and equal windows have equal fingerprints.
 
 The index is a list of immutable runs, each the fingerprints of one batch of documents with
 their numbers, bucketed and sorted by fingerprint. A new batch becomes a run; runs are
-merge-joined without a shuffle, and compacted to one when there are several. Only the
-windows whose fingerprint occurs again are verified: by two 64-bit hashes of all their
-words, of which the first place in order of documents is kept.
+merge-joined without a shuffle, and compacted to one when there are several. Only windows
+whose fingerprint occurs again are verified, in two steps:
+
+1. A place of a fingerprint is hashed with all words that its windows can hold. Where that
+   stretch also occurs earlier, all windows of the place do.
+2. The windows of other places are hashed one by one. The first of its like always is among
+   them, since it can't occur earlier.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_texts, partitions, per_slice, read, shared_dir, stage
-from .minhash import Words, rolled, word_hashes
+from .common import doc_texts, likely, partitions, per_slice, ranked, read, shared_dir, stage
+from .minhash import mixed, rolled
 
 WINDOW = 20
 GRAM = 6
@@ -35,6 +39,71 @@ RUNS = 4
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
+#: A place is the rank of its document in this many bits from the left, then its word.
+PLACE = 28
+#: Bytes hashed at a time; a text that is longer is cut between words.
+PIECE = 8 << 20
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_BYTE = np.random.RandomState(19).randint(1, 2**63 - 1, 256, np.int64).astype(np.uint64)
+_BYTE[_SPACE] = 0
+
+
+class Powers:
+    """Powers of an odd base modulo 2**64 and of its inverse, for sums that can be shifted."""
+
+    def __init__(self, base: int) -> None:
+        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def reach(self, n: int) -> None:
+        if len(self.up) < n:
+            one = lambda b: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(2 * n - 1, b, np.uint64))), dtype=np.uint64)
+            self.up, self.down = one(self.base), one(pow(self.base, -1, 2**64))
+
+
+class Hasher:
+    """Hashes the words of many texts at once."""
+
+    def __init__(self) -> None:
+        self.bytes, self.words = Powers(_BASE), Powers(0xD6E8FEB86659FD93)
+
+    def _piece(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the words of bytes that end in white space."""
+        self.bytes.reach(len(raw) + 1)
+        space = _SPACE[raw]
+        edge = np.diff(np.concatenate(([True], space)).view(np.int8))
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTE[raw] * self.bytes.up[: len(raw)], out=total[1:])
+        return start, mixed((total[end] - total[start]) * self.bytes.down[start] + (end - start).astype(np.uint64))
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words, and the number of the text of each."""
+        coded = [t.encode() for t in texts]
+        raw = np.frombuffer(b"\n".join([*coded, b""]), np.uint8)
+        starts, hashes, at = [], [], 0
+        while at < len(raw):
+            end = min(len(raw), at + PIECE)
+            while end < len(raw) and not _SPACE[raw[end - 1]]:
+                later = np.flatnonzero(_SPACE[raw[end : end + PIECE]])
+                end += int(later[0]) + 1 if len(later) else PIECE
+            end = min(end, len(raw))
+            s, h = self._piece(raw[at:end])
+            starts.append(s + at)
+            hashes.append(h)
+            at = end
+        bounds = np.cumsum([len(c) + 1 for c in coded])
+        start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.searchsorted(bounds, start, "right")
+
+    def stretches(self, h: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """A hash of the words from low to high of each stretch."""
+        self.words.reach(len(h) + 1)
+        total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * self.words.up[: len(h)], out=total[1:])
+        return mixed((total[high] - total[low]) * self.words.down[low] + (high - low).astype(np.uint64))
+
+
 def least(h: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each `width` neighbours."""
     out, have = h, 1
@@ -45,25 +114,41 @@ def least(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def window_prints(h: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """The fingerprint of each window of a document with word hashes h."""
-    return least(rolled(h, gram), window - gram + 1) if len(h) >= window else np.zeros(0, np.uint64)
+class Prints:
+    """Fingerprints of the windows of many texts: `whole` tells which windows lie in one text."""
+
+    def __init__(self, hasher: Hasher, texts: list[str], window: int, gram: int) -> None:
+        self.h, self.doc = hasher(texts)
+        self.window, self.gram, n = window, gram, len(self.h) - window + 1
+        if n > 0:
+            self.grams = rolled(self.h, gram)
+            self.low = least(self.grams, window - gram + 1)[:n]
+            self.whole = self.doc[:n] == self.doc[window - 1 :]
+        else:
+            self.grams, self.low, self.whole = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+
+    def places(self, of: np.ndarray | None = None) -> np.ndarray:
+        """Where the grams are that are the least of some whole window (of those in `of`), each place of one by itself."""
+        chosen, n = np.zeros(len(self.grams), bool), len(self.low)
+        live = self.whole if of is None else self.whole & of
+        for i in range(self.window - self.gram + 1 if n else 0):
+            chosen[i : i + n] |= live & (self.grams[i : i + n] == self.low)
+        return np.flatnonzero(chosen)
 
+    def again(self, keys: list[np.ndarray]) -> np.ndarray:
+        """The windows whose fingerprint is one of the keys of their text."""
+        part = lambda key, doc: mixed(key + doc.astype(np.uint64) * np.uint64(_BASE))
+        all_keys = np.concatenate([*keys, np.zeros(0, np.uint64)])
+        of = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        return self.whole & np.isin(part(self.low, self.doc[: len(self.low)]), part(all_keys, of))
 
-def places(h: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """The grams that are the least of some window, each place of one by itself."""
-    if len(h) < window:
-        return np.zeros(0, np.uint64)
-    g = rolled(h, gram)
-    low = least(g, window - gram + 1)
-    chosen = np.zeros(len(g), bool)
-    for i in range(window - gram + 1):
-        chosen[i : i + len(low)] |= g[i : i + len(low)] == low
-    return g[chosen]
+    def firsts(self) -> np.ndarray:
+        """The first word of the text of each word."""
+        return np.searchsorted(self.doc, self.doc, "left")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and row, which stands for both; a null doc_id comes before all others."""
+    """doc_id, text and row, which stands for both."""
     return doc_texts(docs).select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("row"))
 
 
@@ -71,17 +156,16 @@ def prints(rows: DataFrame, window: int, gram: int) -> DataFrame:
     """(row, key): the fingerprints of each document, once for each place of one."""
 
     def make() -> Callable:
-        known = Words()
+        hasher = Hasher()
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            keys = []
-            for t in b.column(0):
-                keys.append(places(word_hashes(t.as_py().encode().split(), known), window, gram).view(np.int64))
-            return pa.RecordBatch.from_arrays([b.column(1), pa.array(keys, pa.list_(pa.int64()))], ["row", "keys"])
+            p = Prints(hasher, b.column(0).to_pylist(), window, gram)
+            at = p.places()
+            return pa.RecordBatch.from_arrays([pa.array(b.column(1).to_numpy()[p.doc[at]]), pa.array(p.grams[at].view(np.int64))], ["row", "key"])
 
         return step
 
-    return per_slice(rows.select("text", "row"), make, "row long, keys array<long>").select("row", F.explode("keys").alias("key"))
+    return per_slice(rows.select("text", "row"), make, "row long, key long")
 
 
 class Index:
@@ -144,40 +228,71 @@ def counted(rows: DataFrame) -> DataFrame:
     return per_slice(rows, make, SPLIT)
 
 
-def repeated_windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """(row, starts): the windows whose words also start earlier, of (doc_id, text, row, keys).
+def _keys(column: pa.Array) -> list[np.ndarray]:
+    return [x.values.to_numpy().view(np.uint64) for x in column]
 
-    keys are the fingerprints of the row that occur again. Order is by doc_id, then start.
-    """
+
+def stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
+    """(f, place, row): the places of fingerprints that occur again, with a hash of all that their windows can hold."""
+
+    def make() -> Callable:
+        hasher = Hasher()
+
+        def step(b: pa.RecordBatch) -> pa.RecordBatch:
+            p = Prints(hasher, b.column(0).to_pylist(), window, gram)
+            at = p.places(p.again(_keys(b.column(3))))
+            doc, first = p.doc[at], p.firsts()[at]
+            low = np.maximum(first, at - (window - gram))
+            high = np.minimum(np.searchsorted(p.doc, doc, "right"), at + window)
+            f = mixed(hasher.stretches(p.h, low, high) ^ mixed(p.grams[at] + (at - low).astype(np.uint64)))
+            place = (b.column(2).to_numpy()[doc] << PLACE) + (at - first)
+            return pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(place), pa.array(b.column(1).to_numpy()[doc])], ["f", "place", "row"])
+
+        return step
+
+    return per_slice(texts.select("text", "row", "rank", "keys"), make, "f long, place long, row long")
+
+
+def later(found: DataFrame, key: str) -> DataFrame:
+    """(row, at): the places, as words of their text, whose key also occurs at a lesser place."""
+    first = found.groupBy(F.col(key).alias("__key")).agg(F.min("place").alias("__first"), F.max("place").alias("__last")).where("__first < __last").drop("__last")
+    again = found.join(first, F.col(key) == F.col("__key")).where("place > __first")
+    return again.select("row", F.col("place").bitwiseAND((1 << PLACE) - 1).cast("int").alias("at"))
+
+
+def windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
+    """(k, place, row): the windows that are still open, of (text, row, rank, keys, settled)."""
 
     def make() -> Callable:
-        known = Words()
+        hasher = Hasher()
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for doc, t, row, keys in zip(*b.columns, strict=True):
-                h = word_hashes(t.as_py().encode().split(), known)
-                at = np.flatnonzero(np.isin(window_prints(h, window, gram), keys.values.to_numpy().view(np.uint64)))
-                first = rolled(h, window)[at]
-                second = rolled(h * np.uint64(0xD6E8FEB86659FD93) ^ (h >> np.uint64(23)), window)[at]
-                out.append((np.full(len(at), np.iinfo(np.int64).min if doc.as_py() is None else doc.as_py()), at, first.view(np.int64), second.view(np.int64), np.full(len(at), row.as_py())))
-            cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(5)]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "start", "k1", "k2", "row"])
+            p = Prints(hasher, b.column(0).to_pylist(), window, gram)
+            first = p.firsts()
+            open_ = p.again(_keys(b.column(3)))
+            base = np.searchsorted(p.doc, np.arange(b.num_rows), "left")
+            done = np.zeros(len(p.h) + 1, np.int32)
+            for i, x in enumerate(b.column(4)):
+                if x.is_valid:
+                    at = x.values.to_numpy() + base[i]
+                    np.add.at(done, np.maximum(base[i], at - (window - gram)), 1)
+                    np.add.at(done, at + 1, -1)
+            at = np.flatnonzero(open_ & (np.cumsum(done)[: len(open_)] == 0))
+            k = rolled(p.h, window)[at] if len(at) else np.zeros(0, np.uint64)
+            place = (b.column(2).to_numpy()[p.doc[at]] << PLACE) + (at - first[at])
+            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(place), pa.array(b.column(1).to_numpy()[p.doc[at]])], ["k", "place", "row"])
 
         return step
 
-    found = per_slice(texts.select("doc_id", "text", "row", "keys"), make, "doc_id long, start int, k1 long, k2 long, row long")
-    first = found.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(
-        F.col("k1").alias("__1"), F.col("k2").alias("__2"), F.col("first.doc_id").alias("__doc"), F.col("first.start").alias("__start"))
-    again = found.join(first, (F.col("k1") == F.col("__1")) & (F.col("k2") == F.col("__2"))).where("doc_id > __doc or doc_id = __doc and start > __start")
-    return again.groupBy("row").agg(F.collect_set("start").alias("starts"))
+    return per_slice(texts.select("text", "row", "rank", "keys", "settled"), make, "k long, place long, row long")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, n_batches: int = BATCHES) -> DataFrame:
     """For each row doc_id, n_words, n_removed, kept_sha256: without the words of windows that also start earlier.
 
     Null and empty texts: no words. Fewer words than a window: nothing is removed. Repeated rows
-    are one document: neither is earlier. A null doc_id comes first. Other columns are ignored.
+    are one document: neither is earlier. A null doc_id comes first. Other texts of one doc_id
+    come one after the other, in the order of a hash. Other columns are ignored.
     """
     rows = keyed(docs)
     all_rows = stage(counted(rows), "words")
@@ -186,34 +301,46 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, n_ba
     all_rows = stage(all_rows.join(first, F.col("words_sha256") == F.col("__w")).select(
         "doc_id", "row", "n_words", "words_sha256", ((F.coalesce("doc_id", F.lit(-(1 << 63))) > F.col("__first")) & (F.col("n_words") >= window)).alias("copy")), "words")
 
-    index = Index(docs.sparkSession)
+    spark = docs.sparkSession
+    index = Index(spark)
     for batch in batches(rows, n_batches):
         index.add(prints(batch, window, gram))
     again = stage(index.merged().where("n > 1").select(F.col("key").alias("__k")), "again")
     index.close()
     hits = prints(rows, window, gram).join(again, F.col("key") == F.col("__k")).groupBy("row").agg(F.collect_set("key").alias("keys"))
-    copies = all_rows.where("copy").select(F.col("row").alias("__row"))
-    hits = stage(hits.join(copies, F.col("row") == F.col("__row"), "left_anti"), "hits").withColumnRenamed("row", "__row")
-    texts = stage(rows.join(hits, F.col("row") == F.col("__row")).dropDuplicates(["row"]).select("doc_id", "text", "row", "keys"), "texts")
-    cut = repeated_windows(texts, window, gram).withColumnRenamed("row", "__row")
+    order = ranked(all_rows.where("not copy").select("doc_id", "row").distinct(), [], ["doc_id", "row"], "rank", "order").select(F.col("row").alias("__row"), "rank")
+    hits = stage(hits.join(order, F.col("row") == F.col("__row")).select(F.col("row").alias("__row"), "rank", "keys"), "hits")
+
+    # text goes through one shuffle, to buckets by row, in which all that follows meets it
+    few = likely(rows.select("row", "text"), "row", hits, "__row")
+    name = f"texts_{uuid.uuid4().hex}"
+    found = few.join(hits, F.col("row") == F.col("__row")).drop("__row").dropDuplicates(["row"]).select("row", "rank", "text", "keys")
+    found.write.bucketBy(index.buckets, "row").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    texts = spark.table(name)
+    settled = stage(later(stage(stretches(texts, window, gram), "stretches"), "f"), "settled")
+    lists = settled.groupBy(F.col("row").alias("__row")).agg(F.collect_set("at").alias("settled"))
+    open_ = texts.join(lists, F.col("row") == F.col("__row"), "left")
+    single = later(windows(open_, window, gram), "k")
+    # a settled place stands for the windows that hold it
+    cut = settled.select("row", (F.col("at") - (window - gram)).alias("low"), F.col("at").alias("high")).unionAll(single.select("row", F.col("at").alias("low"), F.col("at").alias("high")))
+    cut = stage(cut.groupBy(F.col("row").alias("__row")).agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")), "cut")
 
     def make() -> Callable:
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             gone, sha = [], []
-            for t, starts in zip(b.column(1), b.column(2), strict=True):
+            for t, low, high in zip(b.column(1), b.column(2), b.column(3), strict=True):
                 words = t.as_py().encode().split()
                 edge = np.zeros(len(words) + 1, np.int32)
-                at = starts.values.to_numpy()
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + window, -1)
+                np.add.at(edge, np.maximum(0, low.values.to_numpy()), 1)
+                np.add.at(edge, np.minimum(len(words), high.values.to_numpy() + window), -1)
                 keep = np.cumsum(edge[:-1]) == 0
                 gone.append(len(words) - int(keep.sum()))
                 sha.append(hashlib.sha256(b" ".join([words[i] for i in np.flatnonzero(keep)])).hexdigest())
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.int64()), pa.array(sha)], ["__row", "gone", "sha"])
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["__row", "gone", "sha"])
 
         return step
 
-    changed = per_slice(texts.select("text", "row").join(cut, F.col("row") == F.col("__row")).select("__row", "text", "starts"), make, "__row long, gone long, sha string")
+    changed = per_slice(texts.select("row", "text").join(cut, F.col("row") == F.col("__row")).select("__row", "text", "low", "high"), make, "__row long, gone long, sha string")
     out = all_rows.join(changed, F.col("row") == F.col("__row"), "left")
     return out.select(
         "doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),
