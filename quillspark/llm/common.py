@@ -71,24 +71,31 @@ def ranked(df: DataFrame, keys: list[str], order: list[str | Column], rank: str,
     return laid.join(add, same).withColumn(rank, F.col("__row") + F.col("__add")).drop("__at", "__pid", "__row", "__add", "__k_pid", *(f"__k_{k}" for k in keys))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about SLICE_BYTES of text, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `size` bytes of text, one row at least."""
     for b in batches:
         n = b.num_rows
         if n == 0:
             continue
-        step = max(1, min(n, int(n * SLICE_BYTES / max(1, b.column(b.schema.get_field_index(text)).nbytes))))
+        step = max(1, min(n, int(n * size / max(1, b.column(b.schema.get_field_index(text)).nbytes))))
         for i in range(0, n, step):
             yield b.slice(i, step)
 
 
-def per_slice(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType | str, text: str = "text") -> DataFrame:
-    """mapInArrow over slices of text; make() runs once in each task and returns the step."""
+def per_slice(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType | str, text: str = "text", size: int = SLICE_BYTES) -> DataFrame:
+    """mapInArrow over slices of text; make() runs once in each task and returns the step.
+
+    If the step has a `close`, it is called when the task ends.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for b in slices(batches, text):
-            yield step(b)
+        try:
+            for b in slices(batches, text, size):
+                yield step(b)
+        finally:
+            if hasattr(step, "close"):
+                step.close()
 
     return df.mapInArrow(run, schema)
 

@@ -42,7 +42,9 @@ _NOTHING = hashlib.sha256(b"").hexdigest()
 #: A place is the rank of its document in this many bits from the left, then its word.
 PLACE = 28
 #: Bytes hashed at a time; a text that is longer is cut between words.
-PIECE = 8 << 20
+PIECE = 2 << 20
+#: Bytes of text in one step; some eight arrays of a number for each byte are held meanwhile.
+SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _BYTE = np.random.RandomState(19).randint(1, 2**63 - 1, 256, np.int64).astype(np.uint64)
@@ -165,7 +167,7 @@ def prints(rows: DataFrame, window: int, gram: int) -> DataFrame:
 
         return step
 
-    return per_slice(rows.select("text", "row"), make, "row long, key long")
+    return per_slice(rows.select("text", "row"), make, "row long, key long", size=SLICE)
 
 
 class Index:
@@ -250,7 +252,7 @@ def stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
 
         return step
 
-    return per_slice(texts.select("text", "row", "rank", "keys"), make, "f long, place long, row long")
+    return per_slice(texts.select("text", "row", "rank", "keys"), make, "f long, place long, row long", size=SLICE)
 
 
 def later(found: DataFrame, key: str) -> DataFrame:
@@ -284,7 +286,7 @@ def windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
 
         return step
 
-    return per_slice(texts.select("text", "row", "rank", "keys", "settled"), make, "k long, place long, row long")
+    return per_slice(texts.select("text", "row", "rank", "keys", "settled"), make, "k long, place long, row long", size=SLICE)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, n_batches: int = BATCHES) -> DataFrame:
