@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -33,9 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches by bytes, not only by rows: long texts don't make a batch large. Holds for the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, where the C library can: a worker is kept for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def stage(df: DataFrame, what: str) -> DataFrame:
     """df written once to the shared folder and read again: cuts lineage, outlives executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -83,20 +99,16 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SL
 
 
 def per_slice(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType | str, text: str = "text", size: int = SLICE_BYTES) -> DataFrame:
-    """mapInArrow over slices of text; make() runs once in each task and returns the step.
-
-    If the step has a `close`, it is called when the task ends.
-    """
+    """mapInArrow over slices of text; make() runs once in each task and returns the step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        try:
-            for b in slices(batches, text, size):
-                yield step(b)
-        finally:
-            if hasattr(step, "close"):
-                step.close()
+        for b in slices(batches, text, size):
+            yield step(b)
+        del step
+        give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

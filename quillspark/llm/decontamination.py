@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from itertools import repeat
 
 import numpy as np
@@ -148,29 +148,40 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW) -> Iterable[Automaton]:
-    """One automaton for each PASS_BYTES of items; only so much is on the driver or in a worker at once."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    passes = max(1, -(-total // PASS_BYTES))
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
+
+
+def pass_count(benchmark: DataFrame) -> int:
+    """How many passes PASS_BYTES of items each make."""
+    total = _items(benchmark).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(1, -(-total // PASS_BYTES))
+
+
+def automata(benchmark: DataFrame, passes: int, window: int = WINDOW) -> Iterable[Automaton]:
+    """One automaton for each pass; only the items of one are on the driver or in a worker at once."""
+    items = _items(benchmark)
     for k in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k)
         yield Automaton([(r["item_id"], bytes(r["text"])) for r in part.collect()], window)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", into: str = "scanned") -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", into: str = "scanned", then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, result: T.StructType | str | None = None) -> DataFrame:
     """docs with a struct `into`: n_words, spans (hit words, end exclusive), items (ids as strings, sorted).
 
     Null text has no words. Items without words match nothing; items without an id hit words but
     aren't listed; items that share an id count once. All columns and repeated rows are kept.
+    `then` makes rows of the schema `result` of the last pass's batches, in the same workers.
     """
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != into), T.StructField(into, SCANNED)])
     names = [f.name for f in schema.fields[:-1]]
-    out = docs
-    for k, built in enumerate(automata(benchmark, window)):
+    out, passes = docs, pass_count(benchmark)
+    for k, built in enumerate(automata(benchmark, passes, window)):
         shared = docs.sparkSession.sparkContext.broadcast(built)
 
-        def make(shared=shared, again=k > 0):
+        last = then is not None and k == passes - 1
+
+        def make(shared=shared, again=k > 0, last=last):
             own = shared.value
 
             def step(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -183,11 +194,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
                     rows.append({"n_words": n, "spans": [{"start": s, "end": e} for s, e in spans], "items": sorted(items)})
                 spans_t = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
                 col = pa.array(rows, pa.struct([("n_words", pa.int64()), ("spans", spans_t), ("items", pa.list_(pa.string()))]))
-                return pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), col], [*names, into])
+                out = pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), col], [*names, into])
+                return then(out) if last else out
 
             return step
 
-        out = per_slice(stage(out, "decontamination") if k else out, make, schema, text)
+        out = per_slice(stage(out, "decontamination") if k else out, make, result if last else schema, text)
     return out
 
 
@@ -208,38 +220,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     The columns and all other rows stay as they are; null texts stay.
     """
     into, columns = "__scanned", docs.columns
-    found = scan(docs, benchmark, window, into=into)
 
-    def make():
-        def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            out, keep = [], []
-            for t, s in zip(texts, b.column(b.schema.get_field_index(into)).to_pylist(), strict=True):
-                spans = [(x["start"], x["end"]) for x in s["spans"]]
-                hit = sum(e - a for a, e in spans)
-                keep.append(hit <= max_cover * s["n_words"])
-                out.append(without(t, spans) if hit and keep[-1] else t)
-            cols = [pa.array(out, pa.string()) if c == "text" else b.column(b.schema.get_field_index(c)) for c in columns]
-            return pa.RecordBatch.from_arrays(cols, columns).filter(pa.array(keep, pa.bool_()))
+    def clean(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = b.column(b.schema.get_field_index("text")).to_pylist()
+        out, keep = [], []
+        for t, s in zip(texts, b.column(b.schema.get_field_index(into)).to_pylist(), strict=True):
+            spans = [(x["start"], x["end"]) for x in s["spans"]]
+            hit = sum(e - a for a, e in spans)
+            keep.append(hit <= max_cover * s["n_words"])
+            out.append(without(t, spans) if hit and keep[-1] else t)
+        cols = [pa.array(out, pa.string()) if c == "text" else b.column(b.schema.get_field_index(c)) for c in columns]
+        return pa.RecordBatch.from_arrays(cols, columns).filter(pa.array(keep, pa.bool_()))
+
+    return scan(docs, benchmark, window, into=into, then=clean, result=docs.schema)
 
-        return step
 
-    return per_slice(found, make, docs.schema)
+def digest(b: pa.RecordBatch) -> pa.RecordBatch:
+    """The query's columns of a scanned batch."""
+    s = b.column(b.schema.get_field_index("scanned")).to_pylist()
+    hit = [sum(x["end"] - x["start"] for x in r["spans"]) for r in s]
+    cols = [b.column(b.schema.get_field_index("doc_id")), pa.array([r["n_words"] for r in s], pa.int64()), pa.array(hit, pa.int64()), pa.array([len(r["items"]) for r in s], pa.int64())]
+    cols += [pa.array([hashlib.sha256(",".join(r["items"]).encode()).hexdigest() for r in s], pa.string()), pa.array([h > 0 for h in hit], pa.bool_())]
+    return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(doc_texts(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return scan(doc_texts(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"), then=digest, result=schema)
 
-    def digest(batches):
-        for b in batches:
-            s = b.column(b.schema.get_field_index("scanned")).to_pylist()
-            hit = [sum(x["end"] - x["start"] for x in r["spans"]) for r in s]
-            yield pa.RecordBatch.from_arrays([
-                b.column(b.schema.get_field_index("doc_id")), pa.array([r["n_words"] for r in s], pa.int64()), pa.array(hit, pa.int64()), pa.array([len(r["items"]) for r in s], pa.int64()),
-                pa.array([hashlib.sha256(",".join(r["items"]).encode()).hexdigest() for r in s]), pa.array([h > 0 for h in hit])], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    return found.select("doc_id", "scanned").mapInArrow(digest, schema)
 
 
 OP10_SQL = r"""

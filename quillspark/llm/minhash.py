@@ -14,7 +14,7 @@ _seeds = np.random.RandomState(20240229).randint(1, 2**63 - 1, size=2 * PERMUTAT
 _MULT, _ADD = _seeds[:PERMUTATIONS] | np.uint64(1), _seeds[PERMUTATIONS : 2 * PERMUTATIONS]
 _PLACE = _seeds[2 * PERMUTATIONS :] | np.uint64(1)
 #: Words whose hash is remembered in a worker.
-MEMORY = 500_000
+MEMORY = 250_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

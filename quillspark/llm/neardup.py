@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_texts, having, lacking, per_slice, read, stage
+from .common import doc_texts, having, lacking, per_slice, read, slices, stage
 from .components import components
 from .minhash import Words, bands, shingles, signature
 
@@ -66,7 +66,7 @@ def compared(pairs: DataFrame, docs: DataFrame, k: int, percent: int, difference
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, last, own = Words(), None, None
-        for batch in batches:
+        for batch in slices(batches, "text_b"):
             rows = []
             for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if last != (a, ta):

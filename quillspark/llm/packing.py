@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import doc_texts, per_slice, ranked, read, stage
-from .tokens import encoder, vocabulary
+from .tokens import Encoder, vocabulary
 
 LENGTH = 2048
 END_ID = 1
@@ -79,7 +79,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_i
     """The ids of each document, with the end id, in pieces of `length` and a rest: a row for each piece."""
 
     def make() -> Callable:
-        enc, end = encoder(path or vocabulary(VOCABULARY), False), struct.pack("<I", end_id)
+        enc, end = Encoder(path or vocabulary(VOCABULARY), False), struct.pack("<I", end_id)
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             ids = enc.encode([t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()])

@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .codec import BLOCK, decode, encode
-from .common import doc_texts, partitions, read, slices, stage
-from .tokens import encoder, vocabulary
+from .common import doc_texts, give_back, partitions, read, slices, stage
+from .tokens import Encoder, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 #: A segment is closed by the document that brings it to so many ids.
-SEGMENT = 2048 * BLOCK
+SEGMENT = 1536 * BLOCK
 
 WRITTEN = "part int, place int, before long, n_ids long, data binary"
 
@@ -36,7 +36,7 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end, part = encoder(path or vocabulary(VOCABULARY), True), struct.pack("<I", end_id), TaskContext.get().partitionId()
+        enc, end, part = Encoder(path or vocabulary(VOCABULARY), True), struct.pack("<I", end_id), TaskContext.get().partitionId()
         place, before, have, parts, doc_ids, lengths = 0, 0, 0, [], [], []
 
         def segment() -> pa.RecordBatch:
@@ -52,8 +52,10 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Dat
                 if have >= SEGMENT:
                     yield segment()
                     place, before, have, parts, doc_ids, lengths = place + 1, before + have, 0, [], [], []
+        del enc
         if doc_ids:
             yield segment()
+        give_back()
 
     return stage(laid.mapInArrow(run, WRITTEN), "token-segments")
 
@@ -69,7 +71,7 @@ def read_back(segments: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start, data in zip(*b.columns, strict=True):
+            for start, data in zip(*b.columns, strict=True):  # one segment at a time
                 ids, doc_ids, lengths = decode(data.as_py())
                 ends = np.cumsum(lengths.astype(np.int64))
                 raw = memoryview(ids.tobytes())

@@ -7,7 +7,9 @@ import re
 from array import array
 
 #: Pieces remembered in a worker; a full memory is emptied.
-MEMORY = 900_000
+MEMORY = 700_000
+#: Pre-tokens remembered besides.
+PARTS = 150_000
 #: Letters that are one pre-token with their neighbours, then marks that are another: such words need the model alone.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
 
@@ -47,15 +49,21 @@ class Encoder:
         """Ids of one pre-token."""
         got = self.parts.get(pre)
         if got is None:
-            if len(self.parts) > MEMORY:
+            if len(self.parts) > PARTS:
                 self.parts.clear()
-            mapped = pre if pre.isascii() and pre > " ~" else "".join(map(self.letters.__getitem__, pre.encode()))
+            if pre.isascii() and pre[-1] > " ":
+                mapped = pre if pre[0] != " " else self.letters[32] + pre[1:]
+            else:
+                mapped = "".join(map(self.letters.__getitem__, pre.encode()))
             got = self.parts[pre] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
         return got
 
     def _learn(self, words: set[bytes]) -> None:
         rest, known, head = [], self.known, " " * self.spaces
         for w in words:
+            if w.isalpha():
+                known[w] = self._part(head + w.decode())
+                continue
             # with spaces, a lone line end inside is a pre-token of its own, and no space stands before what follows
             found = [_PLAIN.fullmatch(p) for p in (w.decode().split("\n") if self.spaces else [w.decode()])]
             if all(found):
@@ -112,13 +120,3 @@ def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
-
-def encoder(path: str, spaces: bool) -> Encoder:
-    """One for each worker process; it outlives a task."""
-    if (path, spaces) not in _encoders:
-        _encoders[path, spaces] = Encoder(path, spaces)
-    return _encoders[path, spaces]
