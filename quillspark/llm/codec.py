@@ -7,7 +7,7 @@ other, so all blocks of a segment are coded, and decoded, one id each at a time
 Model of a block: the id that last followed the two ids before (order 2) and the one before
 (order 1), each with a confidence from 0 to 7, and the segment's frequencies (order 0). For
 each pair of confidences the weights of the two predictions adapt to how often they come true;
-the rest goes to order 0. The three distributions are mixed into one interval of 2**34 parts.
+the rest goes to order 0. The three distributions are mixed into one interval of 2**29 parts.
 """
 
 from __future__ import annotations
@@ -18,54 +18,56 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-MAGIC = b"QTI1"
+MAGIC = b"QTI2"
 #: Bits of the order-0 frequencies' total, of the weights' total.
-FREQ, WEIGHT = 18, 16
+FREQ, WEIGHT = 17, 12
 #: A prediction's weight is from LEAST to MOST + LEAST; two leave something for order 0.
-LEAST, MOST = 64, 31000
+LEAST, MOST = 4, 1950
 #: Slots of the order-1 and order-2 predictions of a block, as powers of two.
 ONE, TWO = 10, 11
-_PAGE = np.uint64(1 << 48)
-_LOW = np.uint64((1 << 48) - 1)
-_ONE, _16, _48, _34 = np.uint64(1), np.uint64(16), np.uint64(48), np.uint64(FREQ + WEIGHT)
+#: The weights are moved with every so manieth id.
+PACE = 4
+_PAGE, _LOW = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
+_1, _32, _ALL = np.uint64(1), np.uint64(32), np.uint64(FREQ + WEIGHT)
 
 
 class Model:
-    """Predictions and weights of n blocks side by side."""
+    """Predictions and weights of n blocks side by side. A prediction is symbol << 3 | confidence."""
 
     def __init__(self, n: int) -> None:
-        self.n = n
-        self.one = np.zeros(n << ONE, np.int32)  # symbol << 3 | confidence
-        self.two = np.zeros(n << TWO, np.int32)
-        first2 = np.repeat(np.array([200, 4000, 9000, 14000, 18000, 21000, 24000, 27000], np.int64), 8)
-        first1 = np.tile(np.array([100, 1500, 3000, 5000, 7000, 8000, 9000, 10000], np.int64), 8)
-        self.w2, self.w1 = np.tile(first2, n), np.tile(first1, n)
+        self.one, self.two = np.zeros(n << ONE, np.int32), np.zeros(n << TWO, np.int32)
+        first2 = np.repeat(np.array([12, 250, 560, 880, 1120, 1310, 1500, 1690]), 8)
+        first1 = np.tile(np.array([6, 90, 180, 310, 430, 500, 560, 620]), 8)
+        self.weights = np.tile((first2 << 16 | first1).astype(np.int32), n)
         lane = np.arange(n, dtype=np.int64)
         self.b1, self.b2, self.bw = lane << ONE, lane << TWO, lane << 6
         self.i1, self.i2 = self.b1.copy(), self.b2.copy()
         self.before = np.zeros(n, np.int64)
 
-    def predict(self, m: int) -> None:
-        """For the first m blocks: predicted symbols s2, s1 and weights a2, a1."""
-        p2, p1 = self.two.take(self.i2[:m]), self.one.take(self.i1[:m])
-        self.p2, self.p1 = p2, p1
-        self.c2, self.c1 = p2 & 7, p1 & 7
-        self.s2, self.s1 = p2 >> 3, p1 >> 3
-        self.at = self.bw[:m] + ((self.c2 << 3) | self.c1)
-        self.a2, self.a1 = self.w2.take(self.at), self.w1.take(self.at)
+    def predict(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the order-2 and order-1 predictions p2 and p1 of the first m blocks."""
+        self.p2, self.p1 = self.two.take(self.i2[:m]), self.one.take(self.i1[:m])
+        self.at = (self.p2 & 7) * 8 + (self.p1 & 7) + self.bw[:m]
+        w = self.weights.take(self.at)
+        self.a2, self.a1 = w >> 16, w & 0xFFFF
+        return self.a2, self.a1
 
-    def learn(self, m: int, sym: np.ndarray, hit2: np.ndarray, eq1: np.ndarray) -> None:
-        """sym came; hit2 and eq1 tell whether the predictions said so (order 1 counts where order 2 failed)."""
-        self.w2[self.at] = self.a2 + ((hit2 * MOST + LEAST - self.a2) >> 5)
-        self.w1[self.at] = self.a1 + (((eq1 & ~hit2) * MOST + LEAST - self.a1) >> 5)
-        new = sym << 3
-        for table, index, p, c, hit in ((self.two, self.i2, self.p2, self.c2, hit2), (self.one, self.i1, self.p1, self.c1, eq1)):
-            # right: one more; wrong: half the confidence, and at none the new symbol
-            table[index[:m]] = np.where(hit, p + (c < 7), np.where(c > 1, p - ((c + 1) >> 1), new + 1))
-        mixed = sym * 0x9E3779B1
-        self.i1[:m] = self.b1[:m] + ((mixed >> 15) & ((1 << ONE) - 1))
-        self.i2[:m] = self.b2[:m] + (((mixed + self.before[:m]) >> 13) & ((1 << TWO) - 1))
-        self.before[:m] = (sym + 1) * 0x85EBCA6B
+    def learn(self, m: int, t: int, s8: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """The symbol s8 >> 3 came t-th; hit2 and hit1 tell whether the predictions said so."""
+        if t % PACE == 0:
+            a2 = self.a2 + ((hit2 * np.int32(MOST) + LEAST - self.a2) >> 4)
+            a1 = self.a1 + (((hit1 & ~hit2) * np.int32(MOST) + LEAST - self.a1) >> 4)
+            self.weights[self.at] = a2 << 16 | a1
+        new = s8 | 1
+        self.two[self.i2[:m]] = np.where(hit2, np.minimum(self.p2 + 1, s8 | 7), new)
+        self.one[self.i1[:m]] = np.where(hit1, np.minimum(self.p1 + 1, s8 | 7), new)
+        mixed = s8 * 0x9E3779B1
+        self.i1[:m] = self.b1[:m] + (mixed >> 18 & ((1 << ONE) - 1))
+        self.i2[:m] = self.b2[:m] + (mixed + self.before[:m] >> 16 & ((1 << TWO) - 1))
+        self.before[:m] = mixed * 5
+
+
+_FREQ = (1 << 32) - 1
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -92,7 +94,7 @@ def encode(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], block
     """A segment: ids of documents one after the other, with their numbers of ids."""
     tally = np.bincount(ids, minlength=1)
     seen = np.flatnonzero(tally)
-    counts, place = tally[seen], np.zeros(len(tally), np.int64)
+    counts, place = tally[seen], np.zeros(len(tally), np.int32)
     place[seen] = np.arange(len(seen))
     sym = place[ids]
     n = -(-len(ids) // block)
@@ -113,62 +115,51 @@ def encode(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], block
 def _encode(sym: np.ndarray, freq: np.ndarray, n: int, block: int) -> tuple[np.ndarray, np.ndarray]:
     """Words of all blocks, one block after the other, and their numbers."""
     if not n:
-        return np.zeros(0, "<u2"), np.zeros(0, np.int64)
+        return np.zeros(0, "<u4"), np.zeros(0, np.int64)
     last = len(sym) - (n - 1) * block
-    lanes = np.zeros((n, block), np.int64)
+    lanes = np.zeros((n, block), np.int32)
     lanes.ravel()[: len(sym)] = sym
     lanes = np.ascontiguousarray(lanes.T)
-    cum = (np.cumsum(freq) - freq).astype(np.int64)
-    freq = freq.astype(np.int64)
+    place = (np.cumsum(freq) - freq << 32 | freq).astype(np.int64)
     model = Model(n)
-    room = block * 3 + 8
-    out, used = np.zeros(n * room, np.uint16), np.arange(n, dtype=np.int64) * room
+    room = block + 8
+    out, used = np.zeros(n * room, np.uint32), np.arange(n, dtype=np.int64) * room
     low, rng = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
     for t in range(block):
         m = n if t < last else n - 1
         if not m:
             break
-        s = lanes[t, :m]
-        model.predict(m)
-        a2, a1 = model.a2, model.a1
-        hit2, eq1 = model.s2 == s, model.s1 == s
-        rest = (1 << WEIGHT) - a2 - a1
-        f = rest * freq.take(s)
-        c = ((a2 + a1) << FREQ) + rest * cum.take(s)
-        one = np.flatnonzero(eq1)
-        c[one], f[one] = a2[one] << FREQ, a1[one] << FREQ
-        two = np.flatnonzero(hit2)
-        c[two], f[two] = 0, a2[two] << FREQ
-        lo, r = low[:m], rng[:m] >> _34
+        s = lanes[t, :m].astype(np.int64)
+        s8 = s << 3
+        a2, a1 = model.predict(m)
+        hit2, hit1 = model.p2 ^ s8 < 8, model.p1 ^ s8 < 8
+        both = a2 + a1
+        rest = ((1 << WEIGHT) - both).astype(np.int64)
+        of = place.take(s)
+        f = rest * (of & _FREQ)
+        c = rest * (of >> 32) + (both << FREQ)
+        single = np.flatnonzero(hit1 | hit2)
+        x2, w2 = hit2[single], a2[single] << FREQ
+        c[single] = np.where(x2, 0, w2)
+        f[single] = np.where(x2, w2, a1[single] << FREQ)
+        lo, r = low[:m], rng[:m]
+        r >>= _ALL
         lo += r * c.view(np.uint64)
         r *= f.view(np.uint64)
-        end = lo + r
-        end -= _ONE
-        end ^= lo
-        settled = end < _PAGE
-        need = settled | (r < _PAGE)
-        while need.any():
-            # the interval is cut where it would carry into words already written
-            here = used[:m]
-            apart = np.flatnonzero(need & ~settled)
-            if len(apart):
-                r[apart] = (~lo[apart] + _ONE) & _LOW
-            out[here] = lo >> _48  # overwritten where nothing is due
-            here += need
-            by = need * _16
-            lo <<= by
-            r <<= by
-            need &= r < _PAGE
-            settled = ((lo + r - _ONE) ^ lo) < _PAGE
-            need |= settled
-        rng[:m] = r
-        model.learn(m, s, hit2, eq1)
-    for i in range(4):
-        out[used] = (low >> np.uint64(48 - 16 * i)).astype(np.uint16)
+        due = np.flatnonzero(r < _PAGE)
+        lo, r, to = low[due], rng[due], used[due]
+        # where the interval reaches across a word's end it is cut there, so no word changes once written
+        r = np.where((lo ^ lo + r - _1) < _PAGE, r, ~lo + _1 & _LOW)
+        out[to] = lo >> _32
+        used[due] = to + 1
+        low[due], rng[due] = lo << _32, r << _32
+        model.learn(m, t, s8, hit2, hit1)
+    for by in (32, 0):
+        out[used] = (low >> np.uint64(by) & _LOW).astype(np.uint32)
         used += 1
     sizes = used - np.arange(n) * room
     keep = np.arange(room)[None, :] < sizes[:, None]
-    return out.reshape(n, room)[keep].astype("<u2"), sizes
+    return out.reshape(n, room)[keep].astype("<u4"), sizes
 
 
 def decode(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray]:
@@ -183,7 +174,7 @@ def decode(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray]:
         at += parts[-1].nbytes
     steps, counts, sizes, checks, known, doc_ids, lengths = parts
     seen = np.cumsum(steps.astype(np.int64))
-    words = np.frombuffer(data, "<u2", offset=28 + size)
+    words = np.frombuffer(data, "<u4", offset=28 + size)
     sym = _decode(words, sizes.astype(np.int64), frequencies(counts.astype(np.int64)) if total else counts, total, block)
     ids = seen[sym].astype("<u4") if total else np.zeros(0, "<u4")
     raw = ids.tobytes()
@@ -199,58 +190,46 @@ def _decode(words: np.ndarray, sizes: np.ndarray, freq: np.ndarray, total: int,
         return np.zeros(0, np.int64)
     last = total - (n - 1) * block
     freq = freq.astype(np.int64)
-    cum = np.cumsum(freq) - freq
+    place = np.cumsum(freq) - freq << 32 | freq
     symbol = np.repeat(np.arange(len(freq), dtype=np.int64), freq)
-    words = np.concatenate((words, np.zeros(8, "<u2"))).astype(np.uint64)
+    words = np.concatenate((words, np.zeros(8, "<u4")))
     at = np.cumsum(sizes) - sizes
-    code = np.zeros(n, np.uint64)
-    for _ in range(4):
-        code = (code << _16) | words[at]
-        at += 1
+    code = words[at].astype(np.uint64) << _32 | words[at + 1].astype(np.uint64)
+    at += 2
     model = Model(n)
-    lanes = np.zeros((block, n), np.int64)
+    lanes = np.zeros((block, n), np.int32)
     low, rng = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
     for t in range(block):
         m = n if t < last else n - 1
         if not m:
             break
-        model.predict(m)
-        a2, a1 = model.a2, model.a1
-        lo, r = low[:m], rng[:m] >> _34
+        a2, a1 = model.predict(m)
+        lo, r = low[:m], rng[:m]
+        r >>= _ALL
         v = ((code[:m] - lo) // r).view(np.int64)
         both = a2 + a1
-        rest = (1 << WEIGHT) - both
+        rest = ((1 << WEIGHT) - both).astype(np.int64)
         over = v - (both << FREQ)
-        # a quotient of numbers below 2**53 that isn't whole is further from a whole one than a double's error
+        # a quotient of such numbers that isn't whole is further from a whole one than a double's error
         s = symbol.take((np.maximum(over, 0) / rest).astype(np.int64), mode="clip")
-        f, c = rest * freq.take(s), (both << FREQ) + rest * cum.take(s)
-        hit2 = v < (a2 << FREQ)
-        one = np.flatnonzero((over < 0) & ~hit2)
-        c[one], f[one], s[one] = a2[one] << FREQ, a1[one] << FREQ, model.s1[one]
-        two = np.flatnonzero(hit2)
-        c[two], f[two], s[two] = 0, a2[two] << FREQ, model.s2[two]
+        of = place.take(s)
+        f = rest * (of & _FREQ)
+        c = rest * (of >> 32) + (both << FREQ)
+        single = np.flatnonzero(over < 0)
+        w2 = a2[single] << FREQ
+        x2 = v[single] < w2
+        c[single] = np.where(x2, 0, w2)
+        f[single] = np.where(x2, w2, a1[single] << FREQ)
+        s[single] = np.where(x2, model.p2[single], model.p1[single]) >> 3
         lanes[t, :m] = s
         lo += r * c.view(np.uint64)
         r *= f.view(np.uint64)
-        end = lo + r
-        end -= _ONE
-        end ^= lo
-        settled = end < _PAGE
-        need = settled | (r < _PAGE)
-        while need.any():
-            here, cod = at[:m], code[:m]
-            apart = np.flatnonzero(need & ~settled)
-            if len(apart):
-                r[apart] = (~lo[apart] + _ONE) & _LOW
-            by = need * _16
-            cod <<= by
-            cod |= words.take(here) * need
-            here += need
-            lo <<= by
-            r <<= by
-            need &= r < _PAGE
-            settled = ((lo + r - _ONE) ^ lo) < _PAGE
-            need |= settled
-        rng[:m] = r
-        model.learn(m, s, hit2, model.s1 == s)
+        due = np.flatnonzero(r < _PAGE)
+        lo, r, to = low[due], rng[due], at[due]
+        r = np.where((lo ^ lo + r - _1) < _PAGE, r, ~lo + _1 & _LOW)
+        code[due] = code[due] << _32 | words.take(to).astype(np.uint64)
+        at[due] = to + 1
+        low[due], rng[due] = lo << _32, r << _32
+        s8 = s << 3
+        model.learn(m, t, s8, model.p2 ^ s8 < 8, model.p1 ^ s8 < 8)
     return np.ascontiguousarray(lanes.T).ravel()[:total]
