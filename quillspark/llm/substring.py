@@ -258,6 +258,7 @@ def stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
 def later(found: DataFrame, key: str) -> DataFrame:
     """(row, at): the places, as words of their text, whose key also occurs at a lesser place."""
     first = found.groupBy(F.col(key).alias("__key")).agg(F.min("place").alias("__first"), F.max("place").alias("__last")).where("__first < __last").drop("__last")
+    first = stage(first, "firsts")  # so that the join deals both sides anew and a key that many places share is split
     again = found.join(first, F.col(key) == F.col("__key")).where("place > __first")
     return again.select("row", F.col("place").bitwiseAND((1 << PLACE) - 1).cast("int").alias("at"))
 
