@@ -28,7 +28,7 @@ SAMPLE = 20_000
 #: Lexicon voters at most.
 VOTERS = 120
 #: Letters of a word beginning that can be a voter.
-BEGIN = (4, 5, 6)
+BEGIN = (4, 5, 6, 7, 8)
 PATTERNS = ("two different", "three different", "twice", "four times", "dense", "very dense")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -72,8 +72,8 @@ class Voters:
 class LabelModel:
     """Hidden label, votes independent given it up to shared weights; fitted by expectation maximisation."""
 
-    def __init__(self, votes: np.ndarray, first: np.ndarray, rounds: int = 60) -> None:
-        """first: a first belief for each row."""
+    def __init__(self, votes: np.ndarray, first: np.ndarray, known: np.ndarray | None = None, rounds: int = 60) -> None:
+        """first: a first belief for each row; it stands where `known`, which holds the hidden label to its meaning."""
         post, v = first, votes.shape[1]
         self.weight = np.ones(v)
         for r in range(rounds):
@@ -85,6 +85,8 @@ class LabelModel:
                 self.correlation = self._together(votes, post)
                 self.weight = 1 / (1 + np.where(self.correlation > 0.35, self.correlation, 0).sum(1))
             post = self.posterior(votes)
+            if known is not None:
+                post = np.where(known, first, post)
 
     def _together(self, votes: np.ndarray, post: np.ndarray) -> np.ndarray:
         """How far each two votes move together beyond what the label explains, from 0 to 1."""
@@ -136,7 +138,7 @@ def choose(df: list[tuple[str, int, int]], toxic: int, clean: int) -> list[str]:
     scored = []
     for t, a, b in df:
         odds = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1))
-        if a >= 3 and odds > 2 and a / (a + b) > 0.6:
+        if a >= 3 + toxic / 150 and odds > 2 and a / (a + b) > 0.6:
             scored.append((odds * np.sqrt(a), t, a, b))
     out, counts = [], {}
     for _, t, a, b in sorted(scored, reverse=True):
@@ -195,7 +197,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     y = np.array([r["toxic"] for r in rows])
     v = x[:, :-2]
     first = np.where(y >= 0, np.where(y > 0, 0.95, 0.05), np.where(v[:, len(voters.lexicon)] > 0, 0.9, 0.05))
-    model = LabelModel(v, first)
+    model = LabelModel(v, first, y >= 0)
     w = logistic(x, model.posterior(v), decay=1.0)
     known = y >= 0
     z = np.clip(x[known] @ w[:-1] + w[-1], -30, 30)
