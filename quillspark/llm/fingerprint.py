@@ -63,14 +63,17 @@ class Fingerprint:
             self.count += sign * len(part)
 
     def text(self) -> str:
-        return f"{self.count:x}.{self.sums.astype('>u8').tobytes().hex()}.{base64.b64encode(self.lanes.astype('<i2').tobytes()).decode()}"
+        """Number of pieces, sums, lanes; lanes in one byte each where all of them fit."""
+        lanes = self.lanes.astype("<i1" if np.abs(self.lanes.astype(np.int32)).max() < 128 else "<i2")
+        return f"{self.count:x}.{self.sums.astype('>u8').tobytes().hex()}.{base64.b64encode(lanes.tobytes()).decode()}"
 
     @staticmethod
     def parse(text: str) -> Fingerprint:
         count, sums, lanes = text.split(".")
         new = Fingerprint()
         new.count, new.sums = int(count, 16), np.frombuffer(bytes.fromhex(sums), ">u8").astype(np.uint64)
-        new.lanes = np.frombuffer(base64.b64decode(lanes), "<i2").astype(np.int16)
+        raw = base64.b64decode(lanes)
+        new.lanes = np.frombuffer(raw, "<i1" if len(raw) == LANES else "<i2").astype(np.int16)
         return new
 
     def likeness(self, other: Fingerprint) -> float:
