@@ -13,6 +13,8 @@ whose fingerprint occurs again are verified, in two steps:
    stretch also occurs earlier, all windows of the place do.
 2. The windows of other places are hashed one by one. The first of its like always is among
    them, since it can't occur earlier.
+
+Two places are alike if both their fingerprints and these hashes agree: 128 bits.
 """
 
 from __future__ import annotations
@@ -234,8 +236,11 @@ def _keys(column: pa.Array) -> list[np.ndarray]:
     return [x.values.to_numpy().view(np.uint64) for x in column]
 
 
+PLACES = "key long, print long, place long, row long"
+
+
 def stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """(f, place, row): the places of fingerprints that occur again, with a hash of all that their windows can hold."""
+    """(key, print, place, row): the places of fingerprints that occur again, with a hash of all that their windows can hold."""
 
     def make() -> Callable:
         hasher = Hasher()
@@ -248,23 +253,23 @@ def stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
             high = np.minimum(np.searchsorted(p.doc, doc, "right"), at + window)
             f = mixed(hasher.stretches(p.h, low, high) ^ mixed(p.grams[at] + (at - low).astype(np.uint64)))
             place = (b.column(2).to_numpy()[doc] << PLACE) + (at - first)
-            return pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(place), pa.array(b.column(1).to_numpy()[doc])], ["f", "place", "row"])
+            return pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(p.grams[at].view(np.int64)), pa.array(place), pa.array(b.column(1).to_numpy()[doc])], ["key", "print", "place", "row"])
 
         return step
 
-    return per_slice(texts.select("text", "row", "rank", "keys"), make, "f long, place long, row long", size=SLICE)
+    return per_slice(texts.select("text", "row", "rank", "keys"), make, PLACES, size=SLICE)
 
 
-def later(found: DataFrame, key: str) -> DataFrame:
-    """(row, at): the places, as words of their text, whose key also occurs at a lesser place."""
-    first = found.groupBy(F.col(key).alias("__key")).agg(F.min("place").alias("__first"), F.max("place").alias("__last")).where("__first < __last").drop("__last")
+def later(found: DataFrame) -> DataFrame:
+    """(row, at): the places, as words of their text, whose key and fingerprint also occur at a lesser place."""
+    first = found.groupBy(F.col("key").alias("__key"), F.col("print").alias("__print")).agg(F.min("place").alias("__first"), F.max("place").alias("__last")).where("__first < __last").drop("__last")
     first = stage(first, "firsts")  # so that the join deals both sides anew and a key that many places share is split
-    again = found.join(first, F.col(key) == F.col("__key")).where("place > __first")
+    again = found.join(first, (F.col("key") == F.col("__key")) & (F.col("print") == F.col("__print"))).where("place > __first")
     return again.select("row", F.col("place").bitwiseAND((1 << PLACE) - 1).cast("int").alias("at"))
 
 
 def windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """(k, place, row): the windows that are still open, of (text, row, rank, keys, settled)."""
+    """(key, print, place, row): the windows that are still open, of (text, row, rank, keys, settled)."""
 
     def make() -> Callable:
         hasher = Hasher()
@@ -283,11 +288,11 @@ def windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
             at = np.flatnonzero(open_ & (np.cumsum(done)[: len(open_)] == 0))
             k = rolled(p.h, window)[at] if len(at) else np.zeros(0, np.uint64)
             place = (b.column(2).to_numpy()[p.doc[at]] << PLACE) + (at - first[at])
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(place), pa.array(b.column(1).to_numpy()[p.doc[at]])], ["k", "place", "row"])
+            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(p.low[at].view(np.int64)), pa.array(place), pa.array(b.column(1).to_numpy()[p.doc[at]])], ["key", "print", "place", "row"])
 
         return step
 
-    return per_slice(texts.select("text", "row", "rank", "keys", "settled"), make, "k long, place long, row long", size=SLICE)
+    return per_slice(texts.select("text", "row", "rank", "keys", "settled"), make, PLACES, size=SLICE)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, n_batches: int = BATCHES) -> DataFrame:
@@ -320,10 +325,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, n_ba
     found = few.join(hits, F.col("row") == F.col("__row")).drop("__row").dropDuplicates(["row"]).select("row", "rank", "text", "keys")
     found.write.bucketBy(index.buckets, "row").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
-    settled = stage(later(stage(stretches(texts, window, gram), "stretches"), "f"), "settled")
+    settled = stage(later(stage(stretches(texts, window, gram), "stretches")), "settled")
     lists = settled.groupBy(F.col("row").alias("__row")).agg(F.collect_set("at").alias("settled"))
     open_ = texts.join(lists, F.col("row") == F.col("__row"), "left")
-    single = later(windows(open_, window, gram), "k")
+    single = later(windows(open_, window, gram))
     # a settled place stands for the windows that hold it
     cut = settled.select("row", (F.col("at") - (window - gram)).alias("low"), F.col("at").alias("high")).unionAll(single.select("row", F.col("at").alias("low"), F.col("at").alias("high")))
     cut = stage(cut.groupBy(F.col("row").alias("__row")).agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")), "cut")
