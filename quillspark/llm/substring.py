@@ -306,6 +306,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, n_ba
     all_rows = stage(counted(rows), "words")
     # a document with the words of an earlier one goes whole, and what it holds starts there already
     first = all_rows.groupBy(F.col("words_sha256").alias("__w")).agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("__first"))
+    first = stage(first, "first-words")
     all_rows = stage(all_rows.join(first, F.col("words_sha256") == F.col("__w")).select(
         "doc_id", "row", "n_words", "words_sha256", ((F.coalesce("doc_id", F.lit(-(1 << 63))) > F.col("__first")) & (F.col("n_words") >= window)).alias("copy")), "words")
 
