@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import doc_texts, per_slice, read
 
-#: Letters that have a code of their own; the rest share one. With the gap between words: RADIX codes.
-LETTERS, RADIX = 38, 40
+#: Bits of a letter's code (there are some 140,000 letters), and of an n-gram's; above them stands its length.
+BITS = 18
+GRAM_BITS = 3 * BITS
 #: n-grams in a profile.
 TOP = 400
 #: Profiles are learned from about this many labelled documents at most (all, when there are fewer),
@@ -21,7 +23,8 @@ TOP = 400
 SAMPLE = 20_000
 #: Code points of text counted at a time.
 PIECE = 1 << 20
-GRAMS = RADIX + RADIX**2 + RADIX**3
+#: Counts that a task which learns holds before it hands them on.
+GRAMS = 1 << 20
 
 
 @lru_cache(1)
@@ -41,43 +44,54 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def summed(found: list[np.ndarray]) -> np.ndarray:
+    """Rows of keys and counts as one: each key once, in order."""
+    both = np.concatenate(found, axis=1)
+    if len(found) > 1:
+        both = both[:, np.argsort(both[0], kind="stable")]
+    first = np.flatnonzero(np.concatenate(([True], both[0, 1:] != both[0, :-1])))
+    return np.stack((both[0, first], np.add.reduceat(both[1], first)))
+
+
 class Grams:
-    """Counts of 1-, 2- and 3-grams of letters and gaps, by a code for each."""
+    """Counts of 1-, 2- and 3-grams of letters and gaps. Every letter has a code of its own, those of the alphabet first."""
 
     def __init__(self, alphabet: list[int]) -> None:
         letter, low = lower_letters()
-        code = np.where(letter, LETTERS + 1, 0).astype(np.int32)
-        own = np.zeros(0x110000, np.int32)
-        own[alphabet] = np.arange(1, len(alphabet) + 1)
-        code = np.where(letter & (own[low] > 0), own[low], code)
-        self.code = code
+        own = np.zeros(0x110000, np.int64)
+        every = np.concatenate((np.array(alphabet, np.int64), np.setdiff1d(low[letter], alphabet)))
+        own[every] = np.arange(1, len(every) + 1)
+        self.code = np.where(letter, own[low], 0)
 
     def count(self, text: str) -> np.ndarray | None:
-        """Counts of all GRAMS; None without a letter. Letters at both ends have a gap beside them."""
+        """A row of the n-grams that occur, in order, and one of their counts; None without a letter. Letters at both ends have a gap beside them."""
         p = points(text)
-        three, any_letter, tail = np.zeros(RADIX**3, np.int64), False, np.zeros(1, np.int32)
+        found, any_letter, tail = [], False, np.zeros(1, np.int64)
         for i in range(0, len(p), PIECE):
             c = self.code[p[i : i + PIECE]]
             any_letter = any_letter or bool(c.any())
-            c = np.concatenate((tail, c, [0, 0] if i + PIECE >= len(p) else np.zeros(0, np.int32)))
+            c = np.concatenate((tail, c, np.zeros(2 if i + PIECE >= len(p) else 0, np.int64)))
             c = c[np.concatenate(([True], (c[1:] > 0) | (c[:-1] > 0)))]  # one gap for many
             if i + PIECE >= len(p):
-                c = np.concatenate((c, [0, 0])).astype(np.int32)
+                c = np.concatenate((c, np.zeros(2, np.int64)))
             if len(c) > 2:
-                three += np.bincount((c[:-2] * RADIX + c[1:-1]) * RADIX + c[2:], minlength=RADIX**3)
+                k = np.sort(c[:-2] << 2 * BITS | c[1:-1] << BITS | c[2:])
+                found.append(summed([np.stack((k, np.ones(len(k), np.int64)))]))
             tail = c[-2:]
         if not any_letter:
             return None
-        cube = three.reshape(RADIX, RADIX, RADIX)
-        two = cube.sum(2)
-        out = np.concatenate((two.sum(1), two.ravel(), three))
-        for gaps in (0, RADIX, RADIX + RADIX**2):  # gaps alone say nothing
-            out[gaps] = 0
-        return out
+        three = summed(found)
+        two = summed([np.stack((three[0] >> BITS, three[1]))])
+        one = summed([np.stack((two[0] >> BITS, two[1]))])
+        out = []
+        for n, x in enumerate((one, two, three)):
+            x = x[:, int(x[0, 0] == 0) :]  # gaps alone say nothing
+            out.append(np.stack((x[0] | n << GRAM_BITS, x[1])))
+        return np.concatenate(out, axis=1)
 
 
 def ranks(count: np.ndarray, top: int = TOP) -> np.ndarray:
-    """The codes of the most frequent n-grams, ties by code."""
+    """The places of the greatest counts, ties by place."""
     at = np.flatnonzero(count)
     if len(at) > top:
         least = np.partition(count[at], len(at) - top)[len(at) - top]
@@ -88,19 +102,23 @@ def ranks(count: np.ndarray, top: int = TOP) -> np.ndarray:
 class Profiles:
     def __init__(self, alphabet: list[int], langs: list[str], counts: list[np.ndarray]) -> None:
         self.alphabet, self.langs = alphabet, langs
-        self.rank = np.full((max(1, len(langs)), GRAMS), TOP, np.int16)
-        for i, c in enumerate(counts):
-            best = ranks(c)
-            self.rank[i, best] = np.arange(len(best))
+        best = [c[0, ranks(c[1])] for c in counts]
+        # the last stands for all that no profile holds
+        self.grams = np.append(np.unique(np.concatenate(best)) if best else np.zeros(0, np.int64), 1 << 62)
+        self.rank = np.full((max(1, len(langs)), len(self.grams)), TOP, np.int16)
+        for i, b in enumerate(best):
+            self.rank[i, np.searchsorted(self.grams, b)] = np.arange(len(b))
 
     def judge(self, grams: Grams, text: str | None) -> tuple[str, float]:
         """The language of least out-of-place distance, and how clearly it wins, 0 to 1."""
         count = grams.count(text) if text and self.langs else None
         if count is None:
             return "und", 0.0
-        best = ranks(count)
-        away = np.abs(self.rank[:, best].astype(np.int32) - np.arange(len(best), dtype=np.int32))
-        away[self.rank[:, best] == TOP] = TOP
+        best = count[0, ranks(count[1])]
+        at = np.searchsorted(self.grams, best)
+        rank = self.rank[:, np.where(self.grams[at] == best, at, -1)].astype(np.int32)
+        away = np.abs(rank - np.arange(len(best), dtype=np.int32))
+        away[rank == TOP] = TOP
         d = away.sum(1) / (TOP * max(1, len(best)))
         k = int(d.argmin())
         e = np.exp(-20 * (d - d[k]))
@@ -110,8 +128,8 @@ class Profiles:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
     """Profiles from the non-null lang and text of docs, by a bounded sample of documents.
 
-    The bound holds for the documents; what comes to the driver is a row of counts for
-    each language and partition.
+    The bound holds for the documents; what comes to the driver are the letters that occur
+    and TOP n-grams of each language.
     """
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     n = rows.select("lang").count()
@@ -128,29 +146,39 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["c", "n"])
 
-    seen = rows.select("text").mapInArrow(letters, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(LETTERS).collect()
+    seen = rows.select("text").mapInArrow(letters, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").collect()
     alphabet = [r["c"] for r in seen]
 
     def grams(batches):
-        own, total = Grams(alphabet), {}
+        own, total, held = Grams(alphabet), {}, 0
+
+        def out():
+            for lang, found in total.items():
+                for g, n in found:
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g, pa.int64()), pa.array(n, pa.int64())], ["lang", "g", "n"])
+
         for b in batches:
             for t, lang in zip(b.column(0), b.column(1), strict=True):
-                if (c := own.count(t.as_py())) is not None:
-                    total[lang.as_py()] = total.get(lang.as_py(), 0) + c
-        for lang, c in total.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["lang", "g", "n"])
-
-    counts = rows.mapInArrow(grams, "lang string, g int, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
-    # the TOP of each language is all that a profile needs
-    best = counts.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "g"))), 1, TOP).alias("top")).orderBy("lang").collect()
-    arrays = []
-    for r in best:
-        c = np.zeros(GRAMS, np.int64)
-        for x in r["top"]:
-            c[x["g"]] = -x["n"]
-        arrays.append(c)
-    return Profiles(alphabet, [r["lang"] for r in best], arrays)
+                if (c := own.count(t.as_py())) is None:
+                    continue
+                total.setdefault(lang.as_py(), []).append(c)
+                held += c.shape[1]
+                if held > GRAMS:
+                    total = {k: [summed(found)] for k, found in total.items()}
+                    held = sum(found[0].shape[1] for found in total.values())
+                    if held > GRAMS // 2:
+                        yield from out()
+                        total, held = {}, 0
+        total = {k: [summed(found)] for k, found in total.items()}
+        yield from out()
+
+    counts = rows.mapInArrow(grams, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    # the TOP of each language is all that a profile needs; each task cuts to it before a language meets in one
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "g"))
+    best = {}
+    for r in counts.withColumn("__place", place).where(F.col("__place") <= TOP).orderBy("lang", "g").collect():
+        best.setdefault(r["lang"], []).append((r["g"], r["n"]))
+    return Profiles(alphabet, list(best), [np.array(x, np.int64).T for x in best.values()])
 
 
 def identify(docs: DataFrame, profiles: Profiles, keep: float | None = None) -> DataFrame:

@@ -332,6 +332,31 @@ def test_language_of_held_out_texts(spark, empty):
     assert language.identify(df, nothing, keep=0.0).count() == len(rows) + 1
 
 
+def test_languages_of_minor_scripts_are_told_apart(spark):
+    r = random.Random(7)
+    latin = [chr(c) for c in (*range(0x61, 0x7B), *range(0xE0, 0xF7), *range(0x101, 0x130, 2))]
+    kinds = {
+        "la": ["".join(r.choice(latin) for _ in range(3)) for _ in range(300)], "ru": "что про ние ста ого при".split(),
+        "bg": "ъта ият щях със ват ките".split(), "el": "και του την στο ους εις".split(),
+    }
+    langs = ["la"] * 9 + ["ru", "bg", "el"]
+    rows = [(i, " ".join("".join(r.choice(kinds[langs[i % 12]]) for _ in range(r.randrange(1, 4))) for _ in range(40)), langs[i % 12]) for i in range(480)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = language.learn(df.where("doc_id < 360"))
+    got = {x["doc_id"]: x["lang_pred"] for x in language.identify(df, profiles).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+    g = language.Grams([ord("a")])
+    assert g.count("жа").tolist() != g.count("ца").tolist() and g.count("ЖА").tolist() == g.count("жа").tolist()
+
+
+def test_counts_handed_on_early_give_equal_profiles(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"one two {chr(0x4E00 + i)}{chr(0x4E01 + i)} three", "ab"[i % 2]) for i in range(60)], "doc_id long, text string, lang string")
+    a = language.learn(df)
+    monkeypatch.setattr(language, "GRAMS", 50)
+    b = language.learn(df)
+    assert (a.grams == b.grams).all() and (a.rank == b.rank).all() and a.langs == b.langs == ["a", "b"]
+
+
 def test_long_texts_are_counted_whole(monkeypatch):
     g = language.Grams([ord(c) for c in "abcdefg"])
     t = "abc def, gab\n ca " * 40
