@@ -112,7 +112,8 @@ class Printed:
         raw = new.encode()
         out = self.print.copy()
         out.add(pieces(self.raw, self.at, first), -1)
-        out.add(pieces(raw[first:], cuts(np.frombuffer(raw[first:], np.uint8))))
+        back = max(0, first - 2)  # the two bytes that choose a cut may lie before the piece
+        out.add(pieces(raw, cuts(np.frombuffer(raw, np.uint8, offset=back)) + back, first))
         return new, out
 
 

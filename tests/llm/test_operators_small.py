@@ -152,6 +152,14 @@ def test_fingerprints_of_edited_texts(spark, docs):
     assert got == want
 
 
+def test_edit_behind_a_word_of_one_byte():
+    r = random.Random(8)
+    for _ in range(300):
+        text = "".join(r.choice((f"{r.choice('aAbI')} ", f"{prose(r, 2)} ", "\n", "\n ")) for _ in range(r.randrange(1, 30)))
+        new, changed = fingerprint.Printed(text).edited(prose(r, 30))
+        assert changed.text() == fingerprint.Printed(new).print.text()
+
+
 def test_fingerprint_is_a_homomorphism():
     a, b = [b"one two", b"three", b"one two"], [b"four", b"three"]
     x, y, z = fingerprint.Fingerprint(), fingerprint.Fingerprint(), fingerprint.Fingerprint()
