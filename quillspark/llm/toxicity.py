@@ -1,7 +1,8 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
 1. Voters: words and word beginnings that mark toxic documents among the labelled rows to learn
-   from, and patterns of how often and how densely they occur.
+   from, and patterns of how often and how densely they occur. Terms that mark them beyond
+   chance, but are none of the VOTERS that tell most, vote together.
 2. Label model: each vote is drawn from the hidden label by a rate of its own. Expectation
    maximisation estimates the rates (accuracies) over labelled and unlabelled documents alike;
    votes that move together beyond what the label explains (correlations) share their weight.
@@ -21,15 +22,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_texts, per_slice, read
+from .common import doc_texts, per_slice, read, stage
 
 #: Labelled documents, and as many unlabelled ones, that are learned from at most, chosen by a hash of their text.
 SAMPLE = 20_000
-#: Lexicon voters at most.
+#: Lexicon voters with a vote of their own at most; the label model compares each two of them.
 VOTERS = 120
+#: By chance, one term of all is taken for a mark of toxic documents this often at most.
+CHANCE = 0.05
 #: Letters of a word beginning that can be a voter.
 BEGIN = (4, 5, 6, 7, 8)
-PATTERNS = ("two different", "three different", "twice", "four times", "dense", "very dense")
+PATTERNS = ("two different", "three different", "twice", "four times", "dense", "very dense", "another", "two others")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -40,13 +43,15 @@ def terms(text: str) -> set[str]:
 
 
 class Voters:
-    def __init__(self, lexicon: list[str]) -> None:
+    def __init__(self, lexicon: list[str], others: list[str] | tuple = ()) -> None:
+        """others: terms that vote together; they are numbered behind the lexicon."""
         self.lexicon = lexicon
-        self.index = {t: i for i, t in enumerate(lexicon)}
-        self.heads = frozenset(t.lstrip("=")[: BEGIN[0]] for t in lexicon)
+        self.terms = [*lexicon, *others]
+        self.index = {t: i for i, t in enumerate(self.terms)}
+        self.heads = frozenset(t.lstrip("=")[: BEGIN[0]] for t in self.terms)
 
     def hits(self, text: str) -> tuple[dict[int, int], int, int]:
-        """Occurrences by voter, words that any voter knows, all words."""
+        """Occurrences by term, words that the lexicon knows, all words."""
         words = _WORD.findall(text.lower())
         if self.heads.isdisjoint({w[: BEGIN[0]] for w in words}):
             return {}, 0, len(words)
@@ -54,7 +59,7 @@ class Voters:
         for w, n in Counter(words).items():
             if w[: BEGIN[0]] in self.heads:
                 found = [i for t in (f"={w}", *(w[:k] for k in BEGIN if len(w) > k)) if (i := self.index.get(t)) is not None]
-                known += n * bool(found)
+                known += n * any(i < len(self.lexicon) for i in found)
                 for i in found:
                     got[i] = got.get(i, 0) + n
         return got, known, len(words)
@@ -62,10 +67,12 @@ class Voters:
     def row(self, got: dict[int, int], known: int, words: int) -> np.ndarray:
         """Votes, of the lexicon, then of the patterns; then two numbers: log of known words, their share."""
         x = np.zeros(len(self.lexicon) + len(PATTERNS) + 2)
-        x[list(got)] = 1
-        stems = {self.lexicon[i].lstrip("=")[: BEGIN[0]] for i in got}
+        own = [i for i in got if i < len(self.lexicon)]
+        x[own] = 1
+        stems = {self.lexicon[i].lstrip("=")[: BEGIN[0]] for i in own}
+        others = {self.terms[i].lstrip("=")[: BEGIN[0]] for i in got if i >= len(self.lexicon)}
         share = known / max(words, 1)
-        x[len(self.lexicon) :] = (len(stems) > 1, len(stems) > 2, known > 1, known > 3, share > 0.002 and known > 1, share > 0.01 and known > 1, np.log1p(known), min(1.0, 10 * share))
+        x[len(self.lexicon) :] = (len(stems) > 1, len(stems) > 2, known > 1, known > 3, share > 0.002 and known > 1, share > 0.01 and known > 1, len(others) > 0, len(others) > 1, np.log1p(known), min(1.0, 10 * share))
         return x
 
 
@@ -135,22 +142,32 @@ class Model:
 
 def choose(df: list[tuple[str, int, int]], toxic: int, clean: int) -> list[str]:
     """The VOTERS terms that tell most, of (term, toxic documents, clean documents), without those that say the same."""
-    scored = []
+    return parted(df, toxic, clean)[0]
+
+
+def parted(df: list[tuple[str, int, int]], toxic: int, clean: int) -> tuple[list[str], list[str]]:
+    """The chosen voters, and all other terms but those that say the same as one of them."""
+    scored, rest = [], []
     for t, a, b in df:
         odds = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1))
         if a >= 3 + toxic / 150 and odds > 2 and a / (a + b) > 0.6:
             scored.append((odds * np.sqrt(a), t, a, b))
+        else:
+            rest.append((t, a, b))
     out, counts = [], {}
-    for _, t, a, b in sorted(scored, reverse=True):
+
+    def said(t: str, a: int, b: int) -> bool:
         stem = t.lstrip("=")
         kin = [o for o in out if o.lstrip("=").startswith(stem) or stem.startswith(o.lstrip("="))]
-        if any(counts[o][0] >= 0.9 * a and counts[o][1] <= b + 1 for o in kin):
-            continue
-        out.append(t)
-        counts[t] = (a, b)
+        return any(counts[o][0] >= 0.9 * a and counts[o][1] <= b + 1 for o in kin)
+
+    for _, t, a, b in sorted(scored, reverse=True):
         if len(out) == VOTERS:
-            break
-    return out
+            rest.append((t, a, b))
+        elif not said(t, a, b):
+            out.append(t)
+            counts[t] = (a, b)
+    return out, sorted(t for t, a, b in rest if not said(t, a, b))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -181,9 +198,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not toxic or not clean:
         return Model(Voters([]), None)
     df = marked.mapInArrow(frequencies, "term string, y int, n long").groupBy("term").agg(F.sum(F.expr("if(y = 1, n, 0)")).alias("a"), F.sum(F.expr("if(y = 0, n, 0)")).alias("b"))
-    best = df.where("a >= 3 and a > 1.5 * b").orderBy(F.desc(F.expr("(ln(a + 0.5) - ln(b + 0.5)) * sqrt(a)")), "term").limit(40 * VOTERS)
-    voters = Voters(choose([(r["term"], r["a"], r["b"]) for r in best.collect()], toxic, clean))
-    if not voters.lexicon:
+    df = stage(df, "terms")
+    # at the rate of toxic documents among all, a term has as many or more of them with a probability of exp(-far) at most (Chernoff)
+    p = toxic / (toxic + clean)
+    far = F.expr(f"a * ln(a / ((a + b) * {p!r}D)) + if(b = 0, 0, b * ln(b / ((a + b) * {1 - p!r}D)))")
+    often = F.expr(f"a >= {3 + toxic / 150!r}D and ln((a + 0.5) / {toxic + 1}) - ln((b + 0.5) / {clean + 1}) > 2")
+    best = df.where("a > 0 and a > 1.5 * b").where(often | (F.col("a") / (F.col("a") + F.col("b")) > p) & (far > float(np.log(max(1, df.count()) / CHANCE)))).collect()
+    voters = Voters(*parted([(r["term"], r["a"], r["b"]) for r in best], toxic, clean))
+    if not voters.terms:
         return Model(voters, None)
 
     def votes(batches):

@@ -232,6 +232,18 @@ def test_label_model_finds_accuracies_and_correlations():
     assert ((m.posterior(votes) > 0.5) == y).mean() > 0.88
 
 
+def test_terms_beyond_the_voters_count(spark):
+    r = random.Random(9)
+    marks = [f"{a}{b}{c}x" for a in "bcdfg" for b in "aeiou" for c in "hjklmnp"]
+    rows = [(i, prose(r, 30) + " " + " ".join(marks[(6 * i + k) % len(marks)] for k in range(6)), 1) for i in range(300)]
+    rows += [(300 + i, prose(r, 36), 0) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert len(model.voters.lexicon) == toxicity.VOTERS < len(marks)
+    clean = model.score(prose(r, 36))
+    assert all(model.score(f"{prose(r, 30)} {m} {n}") > max(0.7, clean) for m, n in zip(marks, marks[1:], strict=False))
+
+
 # 5 token files, 6 packing
 
 
