@@ -139,7 +139,7 @@ def runs(text: str) -> list[list[tuple[int, int]]]:
 
 def shape(word: str) -> str:
     """Runs of one class: digits with their number (5 for 5 to 8, 9 for more), letters as a, others as they are."""
-    w = word.strip(_EDGE)[:200]
+    w = word.strip(_EDGE)
 
     def digits(m: re.Match) -> str:
         n = len(m[0])
@@ -153,7 +153,7 @@ def shape(word: str) -> str:
 def features(words: list[str]) -> list[list[str]]:
     """For each word of a run: its shape, that of its neighbours, and what is countable about it."""
     shapes = [shape(w) for w in words]
-    joined = re.sub(r"[^0-9]", "", "".join(words)[:400])
+    joined = re.sub(r"[^0-9]", "", "".join(words))
     whole = f"n={min(len(joined), 20)}"
     sound = f"luhn={13 <= len(joined) <= 19 and luhn(joined)}"
     out = []

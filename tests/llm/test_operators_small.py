@@ -137,6 +137,12 @@ def test_find_and_redact(spark):
     assert Counter(t for _, t in pairs(left)) == Counter([None, "", "é mail [EMAIL], [IP] 999.1.1.1", "é mail [EMAIL], [IP] 999.1.1.1", "[PHONE]!"])
 
 
+def test_features_of_long_runs_are_of_the_whole_run():
+    assert pii.shape("a-" * 100 + "12345") == "a-" * 100 + "d5" and pii.shape("é" * 300 + "@a") == "aaa@a"
+    assert pii.features(["1" + "x" * 500, "23"])[1][3] == "n=3|luhn=False"
+    assert pii.features(["x" * 500, "4785380592391139"])[1][3] == "n=16|luhn=True"
+
+
 # 3 fingerprints
 
 
