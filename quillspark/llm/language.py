@@ -182,7 +182,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
 
 
 def identify(docs: DataFrame, profiles: Profiles, keep: float | None = None) -> DataFrame:
-    """docs with lang_pred and score; with `keep`, docs as they are, without those of `und` or of a lower score.
+    """docs with lang_pred and score; with `keep`, docs as they are, without those of `und` and those whose score isn't above it: with 0, texts like no language go.
 
     Nothing learned: only texts without a letter go.
     `und` and 0: null or empty texts, texts without a letter, and all texts if nothing was learned.
@@ -201,7 +201,7 @@ def identify(docs: DataFrame, profiles: Profiles, keep: float | None = None) ->
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             got = [own.judge(grams, t.as_py()) for t in b.column(b.schema.get_field_index("text"))]
             if keep is not None:
-                return b.filter(pa.array([g[1] >= keep if g[0] != "und" else not own.langs and grams.count(t.as_py() or "") is not None for g, t in zip(got, b.column(b.schema.get_field_index("text")), strict=True)], pa.bool_()))
+                return b.filter(pa.array([g[1] > keep if g[0] != "und" else not own.langs and grams.count(t.as_py() or "") is not None for g, t in zip(got, b.column(b.schema.get_field_index("text")), strict=True)], pa.bool_()))
             cols = [b.column(b.schema.get_field_index(f.name)) for f in schema.fields[:-2]]
             return pa.RecordBatch.from_arrays([*cols, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], schema.names)
 

@@ -53,3 +53,9 @@ def test_stages_one_after_the_other(spark):
 def test_run_covers_all_stages(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 100
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_texts_like_no_language_go(spark):
+    rows = [(i, "some words of one language and more", "en") for i in range(20)] + [(90, "漢字 仮名", None), (91, "12 ..", None), (92, "and more", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.known_language(spark, docs, FOLDER).collect()} == {*range(20), 92}
