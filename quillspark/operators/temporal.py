@@ -8,18 +8,36 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
-def asof(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, values: list[str], prefix: str = "asof_") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, values: list[str], prefix: str = "asof_", slices: int = 64) -> DataFrame:
     """left with the values of the last right row of the same key at or before its time; null where there is none.
 
-    One union and one window sorted by time: the cost is that of a sort, whatever the number
-    of matches. Of right rows at one time the greatest values win. Rows with a null key match nothing.
+    Both sides are cut into `slices` of time. Within a key and slice one window sorted by time
+    finds the last row; where there is none, the last row of the key's earlier slices is carried
+    over from a table of one row for each key and slice. So a key that holds most rows is `slices`
+    tasks, whatever the number of matches. Of right rows at one time the greatest values win.
+    Rows with a null key or time match nothing and stay out of the shuffle.
     """
     packed = F.struct(*values).alias("__v")
-    sides = left.select(F.col(by).alias("__k"), F.col(left_on).alias("__t"), F.lit(1).alias("__s"), F.lit(None).cast(right.select(packed).schema[0].dataType).alias("__v"), F.struct(*left.columns).alias("__row"))
-    other = right.select(F.col(by).alias("__k"), F.col(right_on).alias("__t"), F.lit(0).alias("__s"), packed, F.lit(None).cast(sides.schema["__row"].dataType).alias("__row")).where("__k is not null and __t is not null")
-    w = Window.partitionBy("__k").orderBy("__t", "__s", "__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = sides.unionAll(other).withColumn("__last", F.when(F.col("__k").isNotNull(), F.last("__v", ignorenulls=True).over(w))).where("__s = 1")
-    return found.select("__row.*", *(F.col(f"__last.{v}").alias(f"{prefix}{v}") for v in values))
+    kind = right.select(packed).schema[0].dataType
+    row = F.struct(*left.columns)
+    ours = left.where(F.col(by).isNotNull() & F.col(left_on).isNotNull())
+    sides = ours.select(F.col(by).alias("__k"), F.col(left_on).alias("__t"), F.lit(1).alias("__s"), F.lit(None).cast(kind).alias("__v"), row.alias("__row"))
+    other = right.where(F.col(by).isNotNull() & F.col(right_on).isNotNull())
+    other = other.select(F.col(by).alias("__k"), F.col(right_on).alias("__t"), F.lit(0).alias("__s"), packed, F.lit(None).cast(sides.schema["__row"].dataType).alias("__row"))
+    both = sides.unionAll(other)
+    at = F.col("__t").cast("double") if isinstance(both.schema["__t"].dataType, T.NumericType) else F.col("__t").cast("timestamp").cast("double")
+    low, high = both.agg(F.min(at), F.max(at)).first()
+    width = (high - low) / slices if low is not None and high > low else 1.0
+    both = both.withColumn("__slice", F.floor((at - F.lit(low or 0.0)) / F.lit(width)))
+    inside = Window.partitionBy("__k", "__slice").orderBy("__t", "__s", "__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("__last", F.last("__v", ignorenulls=True).over(inside)).where("__s = 1")
+    before = Window.partitionBy("__k").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    held = both.groupBy("__k", "__slice").agg(F.max(F.when(F.col("__s") == 0, F.struct("__t", "__v"))).alias("__most"))
+    carried = held.select(F.col("__k").alias("__key"), F.col("__slice").alias("__in"), F.last("__most", ignorenulls=True).over(before)["__v"].alias("__carried")).where("__carried is not null")
+    found = found.join(carried, (F.col("__k") == F.col("__key")) & (F.col("__slice") == F.col("__in")), "left")
+    last = F.coalesce("__last", "__carried").alias("__last")
+    rest = left.where(F.col(by).isNull() | F.col(left_on).isNull()).select(row.alias("__row"), F.lit(None).cast(kind).alias("__last"))
+    return found.select("__row", last).unionAll(rest).select("__row.*", *(F.col(f"__last.{v}").alias(f"{prefix}{v}") for v in values))
 
 
 def within(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, width: int, by: str | None = None) -> DataFrame:

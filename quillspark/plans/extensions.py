@@ -5,13 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.sources.tables import load, save, table
+from quillspark.sources.tables import load, save, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -49,14 +50,21 @@ def aggregate_function(spark, d):
 
 @query("SELECT doc_id, CAST(n AS INT) AS n, text[n * 100 + 1:n * 100 + 100] AS piece FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 99) // 100)) AS n FROM documents)")
 def table_function(spark, d):
-    @F.udtf(returnType="n int, piece string")
+    @F.arrow_udtf(returnType="doc_id long, n int, piece string")
     class Pieces:
-        def eval(self, text: str):
-            for n, i in enumerate(range(0, len(text or ""), 100)):
-                yield n, text[i : i + 100]
+        def eval(self, batch: pa.RecordBatch):
+            """All pieces of a batch of texts at once: they are cut out of the texts joined."""
+            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
+            sizes = np.array([len(t) for t in texts], np.int64)
+            pieces, ends = -(-sizes // 100), np.cumsum(sizes)
+            of = np.repeat(np.arange(len(texts)), pieces)
+            n = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = (ends - sizes)[of] + 100 * n
+            joined = "".join(texts)
+            found = [joined[a:b] for a, b in zip(start.tolist(), np.minimum(start + 100, ends[of]).tolist(), strict=True)]
+            yield pa.table({"doc_id": batch.column(0).take(pa.array(of)), "n": pa.array(n, pa.int32()), "piece": pa.array(found, pa.string())})
 
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.lateralJoin(Pieces(F.col("text").outer())).select("doc_id", "n", "piece")
+    return Pieces(table(spark, d, "documents").select("doc_id", "text").asTable())
 
 
 @query("SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS chars_so_far FROM conversations")
@@ -89,8 +97,7 @@ def batches_function(spark, d):
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/formats-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/formats-{uuid.uuid4().hex}"
 
 
 def _through(kind: str, **options: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.operators.aggregates import money, salted_distinct, top_rows
+from quillspark.operators.subsets import not_in, sampled_by_key
 from quillspark.sources.tables import register, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,10 +35,19 @@ def scan_project(spark, d):
     return table(spark, d, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") * (1 - F.col("l_discount"))).alias("net_quantity"))
 
 
-@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_totalprice BETWEEN 100000 AND 300000 AND o_orderstatus IN ('O', 'F') AND o_orderpriority LIKE '1%' AND NOT o_orderkey % 7 = 0")
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_totalprice BETWEEN 100000 AND 300000 AND o_orderstatus IN ('O', 'F') AND o_orderpriority LIKE '1%' AND NOT o_orderdate < TIMESTAMP '1993-01-01'")
 def filters(spark, d):
     o = table(spark, d, "orders")
-    return o.where(F.col("o_totalprice").between(100000, 300000) & F.col("o_orderstatus").isin("O", "F") & F.col("o_orderpriority").like("1%") & ~(F.col("o_orderkey") % 7 == 0)).select("o_orderkey", "o_orderpriority")
+    return o.where(F.col("o_totalprice").between(100000, 300000) & F.col("o_orderstatus").isin("O", "F") & F.col("o_orderpriority").like("1%") & ~(F.col("o_orderdate") < F.expr("timestamp_ntz'1993-01-01'"))).select("o_orderkey", "o_orderpriority")
+
+
+@query("""SELECT o_orderkey, s, s <> 'F' AS differs, s = 'F' OR o_totalprice > 200000 AS either, s IS DISTINCT FROM 'F' AS apart, s IN ('F', 'P') AS listed
+FROM (SELECT *, nullif(o_orderstatus, 'O') AS s FROM orders) WHERE NOT (s = 'F' AND o_totalprice > 250000)""")
+def filters_of_nulls(spark, d):
+    """Three-valued logic: a comparison with null is null, and a filter keeps what is true alone."""
+    o = table(spark, d, "orders").withColumn("s", F.nullif("o_orderstatus", F.lit("O")))
+    s, dear = F.col("s"), F.col("o_totalprice")
+    return o.where(~((s == "F") & (dear > 250000))).select("o_orderkey", "s", (s != "F").alias("differs"), ((s == "F") | (dear > 200000)).alias("either"), (~s.eqNullSafe("F")).alias("apart"), s.isin("F", "P").alias("listed"))
 
 
 @query("""SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS sum_price,
@@ -67,9 +77,9 @@ def join_shuffled_hash(spark, d):
     return li.join(o.hint("shuffle_hash"), li["l_orderkey"] == o["o_orderkey"]).groupBy("o_orderstatus").agg(count().alias("n"), F.max("l_quantity").alias("most"))
 
 
-@query("SELECT o_orderkey, l_partkey FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = 3")
+@query("SELECT o_orderkey, l_partkey FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey")
 def join_left(spark, d):
-    o, li = table(spark, d, "orders").where("o_orderkey % 10 = 3"), table(spark, d, "lineitem")
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
     return o.join(li, o["o_orderkey"] == li["l_orderkey"], "left").select("o_orderkey", "l_partkey")
 
 
@@ -79,11 +89,11 @@ def join_right(spark, d):
     return s.join(n, s["s_nationkey"] == n["n_nationkey"], "right").select("n_name", "s_suppkey")
 
 
-@query("""SELECT a.k AS customer_nation, b.k AS supplier_nation, a.n AS n_customers, b.n AS n_suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_nationkey < 15 GROUP BY 1) a
-FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_nationkey > 8 GROUP BY 1) b ON a.k = b.k""")
+@query("""SELECT a.k AS customer_nation, b.k AS supplier_nation, a.n AS n_customers, b.n AS n_suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) a
+FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k""")
 def join_full(spark, d):
-    a = table(spark, d, "customer").where("c_nationkey < 15").groupBy(F.col("c_nationkey").alias("customer_nation")).agg(count().alias("n_customers"))
-    b = table(spark, d, "supplier").where("s_nationkey > 8").groupBy(F.col("s_nationkey").alias("supplier_nation")).agg(count().alias("n_suppliers"))
+    a = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("customer_nation")).agg(count().alias("n_customers"))
+    b = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("supplier_nation")).agg(count().alias("n_suppliers"))
     return a.join(b, a["customer_nation"] == b["supplier_nation"], "full")
 
 
@@ -99,6 +109,23 @@ def join_anti(spark, d):
     return o.join(li, o["o_orderkey"] == li["l_orderkey"], "left_anti").select("o_orderkey")
 
 
+@query("SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)")
+def join_not_in(spark, d):
+    return not_in(table(spark, d, "customer"), table(spark, d, "supplier").where("s_acctbal > 9000"), "c_nationkey", "s_nationkey").select("c_custkey")
+
+
+@query("""SELECT 'none' AS others, c_custkey FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer) WHERE k NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 1000000)
+UNION ALL SELECT 'null', c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT nullif(n_nationkey, 0) FROM nation)
+UNION ALL SELECT 'some', c_custkey FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer) WHERE k NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey > 1)""")
+def join_not_in_nulls(spark, d):
+    """NOT IN against no rows, against a null, and of nulls."""
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.nullif("c_nationkey", F.lit(3)).alias("k"))
+    s, n = table(spark, d, "supplier").where("s_acctbal > 1000000"), table(spark, d, "nation")
+    none, null = not_in(c, s, "k", "s_nationkey"), not_in(c, n.select(F.nullif("n_nationkey", F.lit(0)).alias("k2")), "c_nationkey", "k2")
+    some = not_in(c, n.where("n_regionkey > 1"), "k", "n_nationkey")
+    return none.select(F.lit("none").alias("others"), "c_custkey").unionAll(null.select(F.lit("null"), "c_custkey")).unionAll(some.select(F.lit("some"), "c_custkey"))
+
+
 @query("SELECT r_name, n_name FROM region CROSS JOIN nation WHERE r_regionkey <> n_regionkey")
 def join_cross(spark, d):
     return table(spark, d, "region").crossJoin(table(spark, d, "nation")).where("r_regionkey <> n_regionkey").select("r_name", "n_name")
@@ -154,18 +181,30 @@ def approximate(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("users"), F.hll_sketch_estimate(F.hll_sketch_agg("user_id")).alias("users_hll"), F.percentile_approx("value", 0.5, 1000).alias("median"))
 
 
+@query("""SELECT event_type, true AS users_close, true AS hll_close, true AS median_close FROM events GROUP BY event_type""")
+def approximate_bounds(spark, d):
+    """The sketches beside exact figures: distinct counts within 6%, the median's rank within 1%."""
+    e = table(spark, d, "events").select("event_type", "user_id", "value")
+    exact = salted_distinct(e, ["event_type"], "user_id", "exact")
+    found = approximate(spark, d).withColumnRenamed("event_type", "__type")
+    rank = e.join(found, F.col("event_type") == F.col("__type")).groupBy("event_type").agg(count().alias("n"), F.count_if(F.col("value") < F.col("median")).alias("below"), F.count_if(F.col("value") <= F.col("median")).alias("upto"))
+    both = found.join(exact, F.col("__type") == exact["event_type"]).select("__type", "users", "users_hll", "exact").join(rank, F.col("__type") == rank["event_type"])
+    near = lambda c: F.abs(F.col(c) - F.col("exact")) <= 0.06 * F.col("exact")
+    return both.select("event_type", near("users").alias("users_close"), near("users_hll").alias("hll_close"), ((F.col("below") <= 0.51 * F.col("n")) & (F.col("upto") >= 0.49 * F.col("n"))).alias("median_close"))
+
+
 @query("SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles, arg_max(text, turn) AS last_text, list_sort(list(DISTINCT role)) AS kinds FROM conversations GROUP BY conv_id")
 def collecting(spark, d):
     turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["role"]), ">").alias("roles"), F.max_by("text", "turn").alias("last_text"), F.array_sort(F.collect_set("role")).alias("kinds"))
 
 
-@query("""SELECT o_custkey, o_orderkey, row_number() OVER w AS nth, rank() OVER p AS place, dense_rank() OVER p AS dense, ntile(4) OVER w AS quarter FROM orders
+@query("""SELECT o_custkey, o_orderkey, row_number() OVER w AS nth, rank() OVER p AS place, dense_rank() OVER p AS dense, ntile(4) OVER w AS quarter, percent_rank() OVER p AS share, cume_dist() OVER p AS upto FROM orders
 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), p AS (PARTITION BY o_custkey ORDER BY o_orderpriority)""")
 def ranking(spark, d):
     w, p = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"), Window.partitionBy("o_custkey").orderBy("o_orderpriority")
     long = lambda c, name: c.cast("long").alias(name)
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", long(F.row_number().over(w), "nth"), long(F.rank().over(p), "place"), long(F.dense_rank().over(p), "dense"), long(F.ntile(4).over(w), "quarter"))
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", long(F.row_number().over(w), "nth"), long(F.rank().over(p), "place"), long(F.dense_rank().over(p), "dense"), long(F.ntile(4).over(w), "quarter"), F.percent_rank().over(p).alias("share"), F.cume_dist().over(p).alias("upto"))
 
 
 @query("""SELECT conv_id, turn, lag(role) OVER w AS before, lead(role) OVER w AS after, first_value(role) OVER w AS opened, nth_value(role, 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second
@@ -221,6 +260,41 @@ def distinct_rows(spark, d):
     return docs.groupBy("lang", "source").agg(F.min("doc_id").alias("doc_id"))
 
 
+@query("SELECT DISTINCT lang, source FROM documents")
+def deduplicated(spark, d):
+    return table(spark, d, "documents").select("lang", "source").dropDuplicates()
+
+
+@query("SELECT lang, count(*) AS n_texts FROM (SELECT DISTINCT lang, text FROM documents) GROUP BY lang")
+def deduplicated_texts(spark, d):
+    """Rows of one text count once: their digest is compared, so that texts aren't shuffled."""
+    docs = table(spark, d, "documents").select("lang", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    return docs.dropDuplicates(["lang", "digest"]).groupBy("lang").agg(count().alias("n_texts"))
+
+
+@query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles, string_agg(DISTINCT role, ',' ORDER BY role) AS kinds FROM conversations GROUP BY conv_id")
+def listed(spark, d):
+    register(spark, d, ("conversations",))
+    return spark.sql("SELECT conv_id, listagg(role, ',') WITHIN GROUP (ORDER BY turn) AS roles, listagg(DISTINCT role, ',') WITHIN GROUP (ORDER BY role) AS kinds FROM conversations GROUP BY conv_id")
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE ('0x' || substring(md5(CAST(o_orderkey AS VARCHAR)), 1, 8))::BIGINT % 10 = 0")
+def sampling_by_key(spark, d):
+    return sampled_by_key(table(spark, d, "orders"), "o_orderkey", 10).select("o_orderkey", "o_orderpriority")
+
+
+@query("SELECT o_orderpriority, true AS near_rate, CAST(0 AS BIGINT) AS strangers, CAST(0 AS BIGINT) AS repeats FROM orders GROUP BY o_orderpriority")
+def sampling_rate(spark, d):
+    """The sample by a seed beside its table: rates within five standard deviations of a tenth, no row that the table lacks, none twice."""
+    all_rows = table(spark, d, "orders").groupBy("o_orderpriority").agg(count().alias("n"))
+    own = sampling(spark, d).groupBy("o_orderkey", "o_orderpriority").agg(count().alias("times"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("__key"), F.col("o_orderpriority").alias("__p"))
+    held = own.join(o, (F.col("o_orderkey") == F.col("__key")) & (F.col("o_orderpriority") == F.col("__p")), "left")
+    held = held.groupBy(F.col("o_orderpriority").alias("p")).agg(F.sum("times").alias("k"), F.count_if(F.col("__key").isNull()).alias("strangers"), F.count_if(F.col("times") > 1).alias("repeats"))
+    near = F.abs(F.col("k") - 0.1 * F.col("n")) <= 5 * F.sqrt(0.09 * F.col("n")) + 1
+    return all_rows.join(held, F.col("o_orderpriority") == F.col("p")).select("o_orderpriority", near.alias("near_rate"), "strangers", "repeats")
+
+
 @query(None)
 def sampling(spark, d):
     """A tenth of each priority by a seed; the same rows for the same partitions."""

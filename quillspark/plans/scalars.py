@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
+from quillspark.functions.html import html_text, html_text_sql
+from quillspark.operators.vectors import nearest
 from quillspark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,12 +27,12 @@ def query(sql: str | None) -> Callable:
 
 
 @query(r"""SELECT doc_id, upper(source) AS source, CAST(length(trim(text)) AS BIGINT) AS n, substring(text, 1, 12) AS head, CAST(strpos(text, 'the') AS BIGINT) AS at,
-replace(lang, 'e', 'E') AS lang, regexp_replace(substring(text, 1, 40), '[aeiou]+', '_', 'g') AS bare, split_part(text, ' ', 1) AS first_word, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS code, reverse(source) AS back FROM documents""")
+replace(lang, 'e', 'E') AS lang, regexp_replace(text, '[aeiou]+', '_', 'g') AS bare, split_part(text, ' ', 1) AS first_word, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS code, reverse(source) AS back FROM documents""")
 def strings(spark, d):
     t = F.col("text")
     return table(spark, d, "documents").select(
         "doc_id", F.upper("source").alias("source"), F.length(F.trim(t)).cast("long").alias("n"), F.substring(t, 1, 12).alias("head"), F.locate("the", t).cast("long").alias("at"),
-        F.replace("lang", F.lit("e"), F.lit("E")).alias("lang"), F.regexp_replace(F.substring(t, 1, 40), "[aeiou]+", "_").alias("bare"), F.split_part(t, F.lit(" "), F.lit(1)).alias("first_word"),
+        F.replace("lang", F.lit("e"), F.lit("E")).alias("lang"), F.regexp_replace(t, "[aeiou]+", "_").alias("bare"), F.split_part(t, F.lit(" "), F.lit(1)).alias("first_word"),
         F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("code"), F.reverse("source").alias("back"))
 
 
@@ -44,21 +46,21 @@ def dates(spark, d):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_quantity / 7, 4) AS DOUBLE) AS seventh, CAST(l_partkey % 11 AS BIGINT) AS m, CAST(floor(l_extendedprice) AS BIGINT) AS low, CAST(ceil(l_extendedprice) AS BIGINT) AS high,
-round(ln(l_quantity), 9) AS lg, round(sqrt(l_quantity), 9) AS root, l_quantity / NULLIF(l_linenumber - 1, 0) AS ratio, abs(l_discount - 0.05) AS off, greatest(l_tax, l_discount) AS most, CAST(sign(l_tax - l_discount) AS INT) AS s FROM lineitem""")
+round(ln(l_quantity), 9) AS lg, round(sqrt(l_quantity), 9) AS root, round(pow(1 + l_discount, 3), 9) AS cube, l_quantity / NULLIF(l_linenumber - 1, 0) AS ratio, abs(l_discount - 0.05) AS off, greatest(l_tax, l_discount) AS most, CAST(sign(l_tax - l_discount) AS INT) AS s FROM lineitem""")
 def numbers(spark, d):
     q, p = F.col("l_quantity"), F.col("l_extendedprice")
     return table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(q / 7, 4).alias("seventh"), F.pmod("l_partkey", F.lit(11)).alias("m"), F.floor(p).alias("low"), F.ceil(p).alias("high"),
-        F.round(F.log(q), 9).alias("lg"), F.round(F.sqrt(q), 9).alias("root"), F.try_divide(q, F.col("l_linenumber") - 1).alias("ratio"), F.abs(F.col("l_discount") - 0.05).alias("off"),
+        F.round(F.log(q), 9).alias("lg"), F.round(F.sqrt(q), 9).alias("root"), F.round(F.pow(1 + F.col("l_discount"), 3), 9).alias("cube"), F.try_divide(q, F.col("l_linenumber") - 1).alias("ratio"), F.abs(F.col("l_discount") - 0.05).alias("off"),
         F.greatest("l_tax", "l_discount").alias("most"), F.signum(F.col("l_tax") - F.col("l_discount")).cast("int").alias("s"))
 
 
-@query("""SELECT vec_id, CAST(len(embedding) AS INT) AS n, list_aggregate(list_transform(embedding[1:4], lambda x: CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT)), 'sum')::BIGINT AS head_sum,
+@query("""SELECT vec_id, CAST(len(embedding) AS INT) AS n, list_aggregate(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT)), 'sum')::BIGINT AS whole_sum,
 CAST(len(list_filter(embedding, lambda x: x > 0)) AS INT) AS positive, CAST(list_max(embedding) AS DOUBLE) AS most, CAST(embedding[2] AS DOUBLE) AS second FROM embeddings""")
 def arrays(spark, d):
     e = F.col("embedding")
     return table(spark, d, "embeddings").select(
-        "vec_id", F.size(e).alias("n"), F.aggregate(F.transform(F.slice(e, 1, 4), lambda x: F.round(x.cast("double") * 1000).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x).alias("head_sum"),
+        "vec_id", F.size(e).alias("n"), F.aggregate(F.transform(e, lambda x: F.round(x.cast("double") * 1000).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x).alias("whole_sum"),
         F.size(F.filter(e, lambda x: x > 0)).alias("positive"), F.array_max(e).cast("double").alias("most"), F.element_at(e, 2).cast("double").alias("second"))
 
 
@@ -93,6 +95,22 @@ def text_statistics(spark, d):
     return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("w").alias("n_words"), F.max("w").alias("longest"), F.sum("digits").alias("digits"))
 
 
+@query(f"SELECT page_id, {html_text_sql('html')} AS text FROM pages")
+def page_text(spark, d):
+    """The text of each whole page, without markup."""
+    return table(spark, d, "pages").select("page_id", html_text(F.col("html")).alias("text"))
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT q.vec_id AS query, x.vec_id AS neighbour, round(list_dot_product(q.v, x.v), 6) AS likeness, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, x.v), 9) DESC, x.vec_id) AS INT) AS place
+FROM e q JOIN e x ON q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id QUALIFY place <= 5""")
+def nearest_vectors(spark, d):
+    """For each vector whose id is divisible by 20 the five most alike of all others, exactly."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    found = nearest(e.where("id % 20 = 0"), e, 5, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return found.select("query", "neighbour", F.round("likeness", 6).alias("likeness"), "place")
+
+
 @query("SELECT role, count(*) AS n_turns, count(DISTINCT conv_id) AS n_convs, CAST(max(length(text)) AS BIGINT) AS max_chars FROM conversations GROUP BY role")
 def utterances(spark, d):
     """The flagship: turns, conversations and longest text of each role."""

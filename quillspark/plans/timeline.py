@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators.temporal import as_timestamp, asof, sessions, within
-from quillspark.sources.tables import table
+from quillspark.sources.tables import shared_dir, table
 from quillspark.streaming import windows as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,37 +60,51 @@ def session_windows(spark, d):
     return sessions(table(spark, d, "events"), "user_id", "ts", "6 hours")
 
 
-def _fresh(spark: SparkSession) -> str:
-    """A folder for a stream's checkpoint beside the session's own, or a temporary one in a local session."""
-    import uuid
+def _fresh(spark: SparkSession) -> tuple[str, str]:
+    """A folder for a stream's checkpoint and one for its rows, in the folder that all executors share."""
+    own = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    return f"{own}/checkpoint", f"{own}/rows"
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="quillspark-stream-")
 
+CLOSED = """SELECT CAST(started AS TIMESTAMP) AS started, event_type, n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS started, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+WHERE started + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"""
 
-@query("""SELECT CAST(started AS TIMESTAMP) AS started, event_type, n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS started, event_type, count(*) AS n FROM events GROUP BY 1, 2)
-WHERE started + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+
+@query(CLOSED)
 def stream_tumbling(spark, d):
     """Closed windows of the event stream: those that the watermark has passed."""
-    out = st.drained(st.tumbling(st.events_stream(spark, d)), "append", "stream_tumbling_out", _fresh(spark))
+    out = st.drained(st.tumbling(st.events_stream(spark, d)), *_fresh(spark))
     return out.select(F.col("started").cast("timestamp_ntz").alias("started"), "event_type", "n")
 
 
+@query(CLOSED)
+def stream_late(spark, d):
+    """The same windows, though all events of more than a day before the end come a second time, behind the watermark: late rows are dropped."""
+    checkpoint, rows = _fresh(spark)
+    folder, e = f"{checkpoint}-source", table(spark, d, "events")
+    e.write.parquet(folder)
+    arriving = lambda: st.tumbling(as_timestamp(spark.readStream.schema(e.schema).parquet(folder), "ts"))
+    st.drained(arriving(), checkpoint, rows)
+    end = e.agg(F.max("ts")).first()[0]
+    e.where(F.col("ts") < F.lit(end).cast("timestamp_ntz") - F.expr("interval 1 day")).write.mode("append").parquet(folder)
+    return st.drained(arriving(), checkpoint, rows).select(F.col("started").cast("timestamp_ntz").alias("started"), "event_type", "n")
+
+
 @query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
 def stream_state(spark, d):
     """The last state of each user in the stream."""
-    out = st.drained(st.running_totals(st.events_stream(spark, d)), "update", "stream_state_out", _fresh(spark))
+    out = st.updates(st.running_totals(st.events_stream(spark, d)), *_fresh(spark))
     return out.groupBy("user_id").agg(F.max("n").alias("n"))
 
 
 @query("SELECT count(DISTINCT event_id) AS n FROM events")
 def stream_first_seen(spark, d):
-    out = st.drained(st.first_seen(st.events_stream(spark, d), ["event_id"]), "append", "stream_first_seen_out", _fresh(spark))
+    out = st.drained(st.first_seen(st.events_stream(spark, d), ["event_id"]).select("event_id"), *_fresh(spark))
     return out.agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT a.user_id, a.ts AS first_ts, b.ts AS then_ts FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'signup' AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 HOUR""")
 def stream_join(spark, d):
     e = st.events_stream(spark, d)
-    out = st.drained(st.followed(e.where("event_type = 'signup'"), st.events_stream(spark, d).where("event_type = 'purchase'"), "user_id", "2 hours"), "append", "stream_join_out", _fresh(spark))
+    out = st.drained(st.followed(e.where("event_type = 'signup'"), st.events_stream(spark, d).where("event_type = 'purchase'"), "user_id", "2 hours"), *_fresh(spark))
     return out.select("user_id", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), F.col("then_ts").cast("timestamp_ntz").alias("then_ts"))

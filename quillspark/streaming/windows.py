@@ -55,13 +55,27 @@ def running_totals(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, mode: str, name: str, checkpoint: str) -> DataFrame:
-    """Runs the stream over what is there and returns its result as a table in memory (for tests and small results)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drained(stream: DataFrame, checkpoint: str, out: str) -> DataFrame:
+    """Runs the stream over what is there and returns all that it has written to the folder `out`, this time and before.
+
+    Files are written by the tasks; their log makes each batch count once. Started again with the
+    same folders, the stream goes on behind what it has read, with its state and watermark.
+    """
+    stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def updates(stream: DataFrame, checkpoint: str, out: str) -> DataFrame:
+    """Runs the stream in update mode and returns the rows of all batches, with `batch`, from the folder `out`.
+
+    A batch that is run again after a failure replaces its own folder, so it counts once.
+    """
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
+    into(stream, "update", checkpoint, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    return spark.read.schema(f"{stream._jdf.schema().toDDL()}, batch long").parquet(out)
 
 
 def into(stream: DataFrame, mode: str, checkpoint: str, put: Callable[[DataFrame, int], None]) -> None:
-    """Hands each batch with its number to put, which must do nothing for a number it has seen: exactly once in effect."""
+    """Hands each batch with its number to put, which must leave the same for a number it has seen: exactly once in effect."""
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
