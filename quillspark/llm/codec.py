@@ -1,13 +1,20 @@
 """A file format for token ids: an adaptive context-mixing range coder over independent blocks.
 
-A segment holds whole documents: their ids in blocks of BLOCK ids (the last may be shorter),
-each coded from a fresh model and with a CRC-32 of its own. Blocks don't depend on each
-other, so all blocks of a segment are coded, and decoded, one id each at a time in numpy.
-
-Model of a block: the id that last followed the two ids before (order 2) and the one before
-(order 1), each with a confidence from 0 to 7, and the segment's frequencies (order 0). For
-each pair of confidences the weights of the two predictions adapt to how often they come true;
-the rest goes to order 0. The three distributions are mixed into one interval of 2**29 parts.
+A segment holds whole documents: their ids in blocks of BLOCK ids (the last may be shorter).
+Each block is coded from a fresh model into words of its own and carries a CRC-32 of its ids, so
+any block can be read without the others; the head has its own CRC-32. As blocks don't depend on
+each other, all blocks of a segment are coded, and decoded, one id each at a time in numpy.
+
+Model of a block, all of it reset where the block starts:
+
+* order 2: the id that last followed the two ids before, with a confidence from 0 to 7,
+* order 1: the id that last followed the one before, likewise,
+* order 0: how often each id has come in this block; the interval is laid out anew at RENEW,
+* what is left goes to the frequencies in the segment's head, so that an id which is new to the
+  block can be coded too.
+
+For each pair of confidences the weights of order 2, 1 and 0 adapt with each id to how often they
+come true; the four parts are mixed into one interval of 2**(WEIGHT + FREQ) parts.
 """
 
 from __future__ import annotations
@@ -18,63 +25,105 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-MAGIC = b"QTI2"
-#: Bits of the order-0 frequencies' total, of the weights' total.
-FREQ, WEIGHT = 17, 12
-#: A prediction's weight is from LEAST to MOST + LEAST; two leave something for order 0.
-LEAST, MOST = 4, 1950
-#: Slots of the order-1 and order-2 predictions of a block, as powers of two.
-ONE, TWO = 10, 11
-#: The weights are moved with every so manieth id.
-PACE = 4
-_PAGE, _LOW = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
-_1, _32, _ALL = np.uint64(1), np.uint64(32), np.uint64(FREQ + WEIGHT)
+MAGIC = b"QTI3"
+#: Bits of the total of the head's frequencies, of order 0's, of the weights.
+FREQ, SEEN, WEIGHT = 17, 12, 14
+#: Different ids that the head's frequencies hold; rarer ones of a segment are written as they are.
+KINDS = 60_000
+#: Slots of the order-0, order-1 and order-2 predictions of a block, as powers of two.
+ZERO, ONE, TWO = 11, 10, 11
+#: Before these ids of a block the order-0 interval is laid out anew.
+RENEW = (32, 96, 256, 512, 1024, 1536)
+#: Blocks whose order-0 interval is laid out at a time.
+LANES = 32
+_PAGE, _LOW, _32, _1 = np.uint64(1 << 32), np.uint64((1 << 32) - 1), np.uint64(32), np.uint64(1)
+_ALL, _FREQ = np.uint64(FREQ + WEIGHT), np.uint64(FREQ)
+#: Weights of order 2, 1 and 0 lie in 16 bits each of one number, from the right; what is left lies above them.
+_FIELD, _SUMS, _DECAY = np.uint64(0xFFFF), np.uint64(0x0001_0001_0001_0001), np.uint64(0x0FFF_0FFF_0FFF)
+_HIT, _MISS = 1000, 1
+_GAIN = np.array([sum((_HIT if k == which else _MISS) << 16 * (3 - k) for k in (3, 2, 1)) for which in range(4)], np.uint64)
+#: A place in an interval: its start << 18 | its length.
+_PLACE = (1 << 18) - 1
+_GUESS = 1 << FREQ
+#: An order-0 slot: symbol + 1, count, place, in this many bits from the right.
+_COUNT, _SYMBOL = 35, 46
+_LAID = (1 << _COUNT) - 1
 
 
 class Model:
     """Predictions and weights of n blocks side by side. A prediction is symbol << 3 | confidence."""
 
     def __init__(self, n: int) -> None:
-        self.one, self.two = np.zeros(n << ONE, np.int32), np.zeros(n << TWO, np.int32)
-        first2 = np.repeat(np.array([12, 250, 560, 880, 1120, 1310, 1500, 1690]), 8)
-        first1 = np.tile(np.array([6, 90, 180, 310, 430, 500, 560, 620]), 8)
-        self.weights = np.tile((first2 << 16 | first1).astype(np.int32), n)
+        self.n = n
+        self.zero, self.one, self.two = np.zeros(n << ZERO, np.int64), np.zeros(n << ONE, np.int32), np.zeros(n << TWO, np.int32)
+        self.slot_of: np.ndarray | None = None
+        sure = np.array([30, 1000, 2240, 3520, 4480, 5240, 6000, 6760], np.uint64)
+        a2, a1 = np.repeat(sure, 8), np.tile(sure * np.uint64(3) >> np.uint64(3), 8)
+        a0 = (np.uint64(1 << WEIGHT) - a2 - a1) >> np.uint64(2)
+        self.weights = np.tile(a2 | a1 << np.uint64(16) | a0 << _32, n)
         lane = np.arange(n, dtype=np.int64)
-        self.b1, self.b2, self.bw = lane << ONE, lane << TWO, lane << 6
+        self.b0, self.b1, self.b2, self.bw = lane << ZERO, lane << ONE, lane << TWO, lane << 6
         self.i1, self.i2 = self.b1.copy(), self.b2.copy()
-        self.before = np.zeros(n, np.int64)
+        self.before = np.zeros(n, np.uint32)
+
+    def renew(self, look: bool) -> None:
+        """Lays out the order-0 intervals by the counts so far; with `look`, also which slot stands at each of their parts."""
+        size = 1 << ZERO
+        if look and self.slot_of is None:
+            self.slot_of = np.zeros(self.n << SEEN, np.int16)
+        for i in range(0, self.n, LANES):
+            zero = self.zero[i << ZERO : i + LANES << ZERO].reshape(-1, size)
+            count = (zero >> _COUNT).astype(np.int32) & (size - 1)
+            seen = count > 0
+            # one part for each that was seen, the rest by counts; the factor is a little less than fits
+            rate = ((1 << SEEN) - seen.sum(1)).astype(np.float32) / count.sum(1).astype(np.float32) * np.float32(0.99999)
+            part = (count * rate[:, None]).astype(np.int32) + seen
+            end = part.cumsum(1, dtype=np.int32)
+            zero &= ~_LAID
+            zero |= ((end - part).astype(np.int64) << FREQ - SEEN + 18 | part << FREQ - SEEN) * seen
+            if look:
+                rest = (1 << SEEN) - end[:, -1:]
+                slots = np.broadcast_to(np.append(np.arange(size, dtype=np.int16), np.int16(0)), (len(part), size + 1))
+                self.slot_of[i << SEEN : i + LANES << SEEN] = np.repeat(slots.ravel(), np.hstack((part, rest)).ravel())
 
-    def predict(self, m: int) -> tuple[np.ndarray, np.ndarray]:
-        """Weights of the order-2 and order-1 predictions p2 and p1 of the first m blocks."""
+    def predict(self, m: int) -> None:
+        """The order-2 and order-1 predictions p2 and p1 of the first m blocks, and the weights."""
         self.p2, self.p1 = self.two.take(self.i2[:m]), self.one.take(self.i1[:m])
-        self.at = (self.p2 & 7) * 8 + (self.p1 & 7) + self.bw[:m]
-        w = self.weights.take(self.at)
-        self.a2, self.a1 = w >> 16, w & 0xFFFF
-        return self.a2, self.a1
+        self.c2, self.c1 = self.p2 & 7, self.p1 & 7
+        self.at = (self.c2 << 3) + self.c1 + self.bw[:m]
+        self.w = self.weights.take(self.at)
+        self.sums = self.w * _SUMS  # of the weights up to each, from the right
 
-    def learn(self, m: int, t: int, s8: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """The symbol s8 >> 3 came t-th; hit2 and hit1 tell whether the predictions said so."""
-        if t % PACE == 0:
-            a2 = self.a2 + ((hit2 * np.int32(MOST) + LEAST - self.a2) >> 4)
-            a1 = self.a1 + (((hit1 & ~hit2) * np.int32(MOST) + LEAST - self.a1) >> 4)
-            self.weights[self.at] = a2 << 16 | a1
-        new = s8 | 1
-        self.two[self.i2[:m]] = np.where(hit2, np.minimum(self.p2 + 1, s8 | 7), new)
-        self.one[self.i1[:m]] = np.where(hit1, np.minimum(self.p1 + 1, s8 | 7), new)
-        mixed = s8 * 0x9E3779B1
-        self.i1[:m] = self.b1[:m] + (mixed >> 18 & ((1 << ONE) - 1))
-        self.i2[:m] = self.b2[:m] + (mixed + self.before[:m] >> 16 & ((1 << TWO) - 1))
-        self.before[:m] = mixed * 5
+    def interval(self, which: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length of a place in the part of order `which` (3: 2, 2: 1, 1: 0, 0: none)."""
+        shift = (3 - which << 4).astype(np.uint64)
+        rest = np.uint64(1 << WEIGHT) - (self.sums >> _32 & _FIELD)
+        a = (self.w | rest << np.uint64(48)) >> shift & _FIELD
+        low = (self.sums << np.uint64(16)) >> shift & _FIELD
+        place = place.view(np.uint64)
+        return (low << _FREQ) + a * (place >> np.uint64(18)), a * (place & np.uint64(_PLACE))
 
+    def learn(self, m: int, s8: np.ndarray, mixed: np.ndarray, i0: np.ndarray, e: np.ndarray, own: np.ndarray, which: np.ndarray) -> None:
+        """The symbol s8 >> 3 came; e is what its order-0 slot i0 holds, own whether that is the symbol's."""
+        self.weights[self.at] = self.w - (self.w >> np.uint64(4) & _DECAY) + _GAIN.take(which)
+        for p, c, table, i in ((self.p2, self.c2, self.two, self.i2), (self.p1, self.c1, self.one, self.i1)):
+            # right: more confidence; wrong: half of it, and without any the symbol's place is taken
+            kept = np.where(c > 1, p - (c + 1 >> 1), s8 | 1)
+            table[i[:m]] = np.where((p ^ s8) < 8, np.minimum(p + 1, s8 | 7), kept)
+        new = e == 0
+        self.zero[i0] = np.where(new, s8.astype(np.int64) + 8 << _SYMBOL - 3, e) + ((own | new).astype(np.int64) << _COUNT)
+        np.add(self.b1[:m], mixed >> np.uint32(32 - ONE), out=self.i1[:m])
+        np.add(self.b2[:m], mixed * np.uint32(3) + self.before[:m] >> np.uint32(32 - TWO), out=self.i2[:m])
+        self.before[:m] = mixed * np.uint32(0x2C1B3C6D) ^ mixed >> np.uint32(7)
 
-_FREQ = (1 << 32) - 1
+
+def _mixed(s8: np.ndarray) -> np.ndarray:
+    return s8.view(np.uint32) * np.uint32(0x9E3779B1)
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
     """Counts scaled to a total of 2**FREQ, one at least each."""
     total = 1 << FREQ
-    if len(counts) > total >> 1:
-        raise ValueError(f"more than {total >> 1} different ids in a segment")
     f = np.maximum(1, counts * total // max(1, int(counts.sum())))
     short = total - int(f.sum())
     while short:
@@ -90,29 +139,50 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
     return f
 
 
+def _places(counts: np.ndarray) -> np.ndarray:
+    f = frequencies(counts)
+    return (np.cumsum(f) - f << 18 | f).astype(np.int64)
+
+
 def encode(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], block: int = BLOCK) -> bytes:
     """A segment: ids of documents one after the other, with their numbers of ids."""
-    tally = np.bincount(ids, minlength=1)
-    seen = np.flatnonzero(tally)
-    counts, place = tally[seen], np.zeros(len(tally), np.int32)
-    place[seen] = np.arange(len(seen))
-    sym = place[ids]
+    if not 0 < block <= 1 << ZERO:
+        raise ValueError(f"a block has 1 to {1 << ZERO} ids")
+    if len(ids) and int(ids.max()) < 1 << 24:
+        tally = np.bincount(ids)
+        seen, place = np.flatnonzero(tally), np.zeros(len(tally), np.int32)
+        place[seen] = np.arange(len(seen))
+        sym, counts = place[ids], tally[seen]
+    else:
+        seen, sym, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if rare := len(seen) > KINDS:
+        # symbol 0 stands for all ids that the head lacks
+        most = np.sort(np.argsort(-counts, kind="stable")[: KINDS - 1])
+        to = np.zeros(len(seen), np.int64)
+        to[most] = np.arange(1, KINDS)
+        sym = to[sym]
+        seen, counts = seen[most], np.concatenate(([len(ids) - counts[most].sum()], counts[most]))
     n = -(-len(ids) // block)
-    words, sizes = _encode(sym, frequencies(counts) if len(ids) else counts, n, block)
-    starts = range(0, len(ids), block)
-    raw = ids.astype("<u4").tobytes()
-    checks = np.array([zlib.crc32(raw[4 * i : 4 * (i + block)]) for i in starts], "<u4")
+    words, sizes = _encode(sym.astype(np.int32), counts, n, block)
+    ids = ids.astype("<u4")
+    bodies, checks, ends = [], [], np.cumsum(sizes)
+    for i in range(n):
+        part = ids[i * block : (i + 1) * block]
+        bodies.append(words[ends[i] - sizes[i] : ends[i]].tobytes())
+        if rare:
+            bodies[-1] += part[sym[i * block : (i + 1) * block] == 0].tobytes()
+        checks.append(zlib.crc32(part.tobytes()))
     known = np.array([d is not None for d in doc_ids], np.uint8)
     head = b"".join([
-        np.diff(seen.astype(np.int64), prepend=0).astype("<u4").tobytes(), counts.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), checks.tobytes(),
+        np.diff(seen.astype(np.int64), prepend=0).astype("<u4").tobytes(), counts.astype("<u4").tobytes(), np.array([len(b) for b in bodies], "<u4").tobytes(), np.array(checks, "<u4").tobytes(),
         known.tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array(lengths, "<u4").tobytes(),
     ])
     head = zlib.compress(head, 1)
-    body = struct.pack("<IIIII", len(ids), block, len(seen), len(doc_ids), len(head)) + head + words.tobytes()
-    return MAGIC + struct.pack("<I", zlib.crc32(body)) + body
+    head = struct.pack("<IIIIII", len(ids), block, len(seen), rare, len(doc_ids), len(head)) + head
+    return b"".join([MAGIC, struct.pack("<I", zlib.crc32(head)), head, *bodies])
 
 
-def _encode(sym: np.ndarray, freq: np.ndarray, n: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+def _encode(sym: np.ndarray, counts: np.ndarray, n: int, block: int) -> tuple[np.ndarray, np.ndarray]:
     """Words of all blocks, one block after the other, and their numbers."""
     if not n:
         return np.zeros(0, "<u4"), np.zeros(0, np.int64)
@@ -120,7 +190,7 @@ def _encode(sym: np.ndarray, freq: np.ndarray, n: int, block: int) -> tuple[np.n
     lanes = np.zeros((n, block), np.int32)
     lanes.ravel()[: len(sym)] = sym
     lanes = np.ascontiguousarray(lanes.T)
-    place = (np.cumsum(freq) - freq << 32 | freq).astype(np.int64)
+    places = _places(counts)
     model = Model(n)
     room = block + 8
     out, used = np.zeros(n * room, np.uint32), np.arange(n, dtype=np.int64) * room
@@ -129,23 +199,22 @@ def _encode(sym: np.ndarray, freq: np.ndarray, n: int, block: int) -> tuple[np.n
         m = n if t < last else n - 1
         if not m:
             break
-        s = lanes[t, :m].astype(np.int64)
+        if t in RENEW:
+            model.renew(False)
+        s = lanes[t, :m]
         s8 = s << 3
-        a2, a1 = model.predict(m)
-        hit2, hit1 = model.p2 ^ s8 < 8, model.p1 ^ s8 < 8
-        both = a2 + a1
-        rest = ((1 << WEIGHT) - both).astype(np.int64)
-        of = place.take(s)
-        f = rest * (of & _FREQ)
-        c = rest * (of >> 32) + (both << FREQ)
-        single = np.flatnonzero(hit1 | hit2)
-        x2, w2 = hit2[single], a2[single] << FREQ
-        c[single] = np.where(x2, 0, w2)
-        f[single] = np.where(x2, w2, a1[single] << FREQ)
+        model.predict(m)
+        mixed = _mixed(s8)
+        i0 = model.b0[:m] + (mixed >> np.uint32(32 - ZERO))
+        e = model.zero.take(i0)
+        own, laid = e >> _SYMBOL == s + 1, e & _LAID
+        guessed = np.maximum(((model.p2 ^ s8) < 8).view(np.int8) * np.int8(3), ((model.p1 ^ s8) < 8).view(np.int8) * np.int8(2))
+        which = np.maximum(guessed, (own & (laid > 0)).view(np.int8)).astype(np.int64)
+        c, f = model.interval(which, np.where(guessed > 0, _GUESS, np.where(which > 0, laid, places.take(s))))
         lo, r = low[:m], rng[:m]
         r >>= _ALL
-        lo += r * c.view(np.uint64)
-        r *= f.view(np.uint64)
+        lo += r * c
+        r *= f
         due = np.flatnonzero(r < _PAGE)
         lo, r, to = low[due], rng[due], used[due]
         # where the interval reaches across a word's end it is cut there, so no word changes once written
@@ -153,7 +222,7 @@ def _encode(sym: np.ndarray, freq: np.ndarray, n: int, block: int) -> tuple[np.n
         out[to] = lo >> _32
         used[due] = to + 1
         low[due], rng[due] = lo << _32, r << _32
-        model.learn(m, t, s8, hit2, hit1)
+        model.learn(m, s8, mixed, i0, e, own, which)
     for by in (32, 0):
         out[used] = (low >> np.uint64(by) & _LOW).astype(np.uint32)
         used += 1
@@ -162,74 +231,120 @@ def _encode(sym: np.ndarray, freq: np.ndarray, n: int, block: int) -> tuple[np.n
     return out.reshape(n, room)[keep].astype("<u4"), sizes
 
 
+class Segment:
+    """A segment's head, and its blocks as they are asked for. ValueError if what is read is damaged."""
+
+    def __init__(self, data: bytes) -> None:
+        if data[:4] != MAGIC or len(data) < 32:
+            raise ValueError("not a segment")
+        total, self.block, kinds, rare, docs, size = struct.unpack_from("<IIIIII", data, 8)
+        if zlib.crc32(data[8 : 32 + size]) != struct.unpack_from("<I", data, 4)[0]:
+            raise ValueError("the head is damaged")
+        head = zlib.decompress(data[32 : 32 + size])
+        self.total, self.blocks, at, parts = total, -(-total // self.block), 0, []
+        for kind, k in (("<u4", kinds), ("<u4", kinds + rare), ("<u4", self.blocks), ("<u4", self.blocks), ("<u1", docs), ("<i8", docs), ("<u4", docs)):
+            parts.append(np.frombuffer(head, kind, k, at))
+            at += parts[-1].nbytes
+        steps, self.counts, sizes, self.checks, known, doc_ids, self.lengths = parts
+        self.seen = np.cumsum(steps.astype(np.int64))
+        self.rare = bool(rare)
+        self.doc_ids = [int(d) if k else None for d, k in zip(doc_ids, known, strict=True)]
+        ends = 32 + size + np.cumsum(sizes.astype(np.int64))
+        self.bodies = [data[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+    def read(self, blocks: list[int]) -> list[np.ndarray | None]:
+        """The ids of some blocks; None for one that is damaged."""
+        if not blocks:
+            return []
+        # a shorter block comes last, as it does in a segment
+        order = sorted(range(len(blocks)), key=lambda i: blocks[i])
+        bodies = [self.bodies[blocks[i]] for i in order]
+        last = self.total - (self.blocks - 1) * self.block if blocks[order[-1]] == self.blocks - 1 else self.block
+        sym, used = _decode(bodies, self.counts.astype(np.int64), last, self.block)
+        out: list[np.ndarray | None] = [None] * len(blocks)
+        for lane, i in enumerate(order):
+            s = sym[lane, : last if lane == len(order) - 1 else self.block]
+            if self.rare:
+                ids = self.seen[np.maximum(s - 1, 0)].astype("<u4")
+                there = np.flatnonzero(s == 0)
+                literal = np.frombuffer(bodies[lane][4 * int(used[lane]) :], "<u4")
+                if len(literal) != len(there):
+                    continue
+                ids[there] = literal
+            else:
+                ids = self.seen[s].astype("<u4")
+            if zlib.crc32(ids.tobytes()) == self.checks[blocks[i]]:
+                out[i] = ids
+        return out
+
+
 def decode(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray]:
     """ids, doc_ids and lengths of a segment; ValueError if anything in it is damaged."""
-    if data[:4] != MAGIC or len(data) < 28 or zlib.crc32(data[8:]) != struct.unpack_from("<I", data, 4)[0]:
-        raise ValueError("not a segment, or a damaged one")
-    total, block, kinds, docs, size = struct.unpack_from("<IIIII", data, 8)
-    head = zlib.decompress(data[28 : 28 + size])
-    n, at, parts = -(-total // block), 0, []
-    for kind, k in (("<u4", kinds), ("<u4", kinds), ("<u4", n), ("<u4", n), ("<u1", docs), ("<i8", docs), ("<u4", docs)):
-        parts.append(np.frombuffer(head, kind, k, at))
-        at += parts[-1].nbytes
-    steps, counts, sizes, checks, known, doc_ids, lengths = parts
-    seen = np.cumsum(steps.astype(np.int64))
-    words = np.frombuffer(data, "<u4", offset=28 + size)
-    sym = _decode(words, sizes.astype(np.int64), frequencies(counts.astype(np.int64)) if total else counts, total, block)
-    ids = seen[sym].astype("<u4") if total else np.zeros(0, "<u4")
-    raw = ids.tobytes()
-    for i, want in enumerate(checks):
-        if zlib.crc32(raw[4 * i * block : 4 * (i + 1) * block]) != want:
-            raise ValueError(f"block {i} is damaged")
-    return ids, [int(d) if k else None for d, k in zip(doc_ids, known, strict=True)], lengths
-
-
-def _decode(words: np.ndarray, sizes: np.ndarray, freq: np.ndarray, total: int, block: int) -> np.ndarray:
-    n = len(sizes)
-    if not n:
-        return np.zeros(0, np.int64)
-    last = total - (n - 1) * block
-    freq = freq.astype(np.int64)
-    place = np.cumsum(freq) - freq << 32 | freq
-    symbol = np.repeat(np.arange(len(freq), dtype=np.int64), freq)
-    words = np.concatenate((words, np.zeros(8, "<u4")))
-    at = np.cumsum(sizes) - sizes
+    segment = Segment(data)
+    got = segment.read(list(range(segment.blocks)))
+    if bad := [i for i, x in enumerate(got) if x is None]:
+        raise ValueError(f"blocks {bad} are damaged")
+    return np.concatenate([*got, np.zeros(0, "<u4")]), segment.doc_ids, segment.lengths
+
+
+def _decode(bodies: list[bytes], counts: np.ndarray, last: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of blocks, a row each, the last of `last` ids; and how many words each took."""
+    n = len(bodies)
+    places = _places(counts)
+    symbol = np.repeat(np.arange(len(counts), dtype=np.int32), places & _PLACE)
+    # a damaged block may ask for more words than it has: it gets some others, and fails its check
+    words = np.frombuffer(b"".join([b[: len(b) // 4 * 4] for b in bodies] + [bytes(4 * block + 64)]), "<u4")
+    start = np.cumsum([0, *(len(b) // 4 for b in bodies)])[:-1]
+    at = start.copy()
     code = words[at].astype(np.uint64) << _32 | words[at + 1].astype(np.uint64)
     at += 2
     model = Model(n)
     lanes = np.zeros((block, n), np.int32)
     low, rng = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
+    seen = np.zeros(n << SEEN, np.int16)
+    part0 = np.arange(n, dtype=np.int64) << SEEN
+    top = np.int64(1 << SEEN) - 1
     for t in range(block):
         m = n if t < last else n - 1
         if not m:
             break
-        a2, a1 = model.predict(m)
+        if t in RENEW:
+            model.renew(True)
+            seen = model.slot_of
+        model.predict(m)
         lo, r = low[:m], rng[:m]
         r >>= _ALL
-        v = ((code[:m] - lo) // r).view(np.int64)
-        both = a2 + a1
-        rest = ((1 << WEIGHT) - both).astype(np.int64)
-        over = v - (both << FREQ)
+        v = (code[:m] - lo) // r
+        sums = model.sums
+        a2, a21 = (sums & _FIELD) << _FREQ, (sums >> np.uint64(16) & _FIELD) << _FREQ
+        a0, all_ = model.w >> _32, (sums >> _32 & _FIELD)
+        edge = all_ << _FREQ
+        which = (v < edge).view(np.int8) + (v < a21).view(np.int8) + (v < a2).view(np.int8)
         # a quotient of such numbers that isn't whole is further from a whole one than a double's error
-        s = symbol.take((np.maximum(over, 0) / rest).astype(np.int64), mode="clip")
-        of = place.take(s)
-        f = rest * (of & _FREQ)
-        c = rest * (of >> 32) + (both << FREQ)
-        single = np.flatnonzero(over < 0)
-        w2 = a2[single] << FREQ
-        x2 = v[single] < w2
-        c[single] = np.where(x2, 0, w2)
-        f[single] = np.where(x2, w2, a1[single] << FREQ)
-        s[single] = np.where(x2, model.p2[single], model.p1[single]) >> 3
+        rest = ((v - np.minimum(edge, v)).astype(float) / (np.uint64(1 << WEIGHT) - all_).astype(float)).astype(np.int64)
+        s = symbol.take(rest, mode="clip")
+        one = np.flatnonzero(which == 1)
+        if len(one):
+            part = ((v[one] - a21[one]) // (a0[one] << np.uint64(FREQ - SEEN))).astype(np.int64)
+            slot = model.b0[one] + seen.take(part0[one] + np.minimum(part, top))
+            s[one] = (model.zero.take(slot) >> _SYMBOL) - 1
+        s = np.where(which == 3, model.p2 >> 3, np.where(which == 2, model.p1 >> 3, s))
+        np.maximum(s, 0, out=s)
         lanes[t, :m] = s
-        lo += r * c.view(np.uint64)
-        r *= f.view(np.uint64)
+        s8 = s << 3
+        mixed = _mixed(s8)
+        i0 = model.b0[:m] + (mixed >> np.uint32(32 - ZERO))
+        e = model.zero.take(i0)
+        which = which.astype(np.int64)
+        c, f = model.interval(which, np.where(which > 1, _GUESS, np.where(which > 0, e & _LAID, places.take(s))))
+        lo += r * c
+        r *= f
         due = np.flatnonzero(r < _PAGE)
         lo, r, to = low[due], rng[due], at[due]
         r = np.where((lo ^ lo + r - _1) < _PAGE, r, ~lo + _1 & _LOW)
-        code[due] = code[due] << _32 | words.take(to).astype(np.uint64)
+        code[due] = code[due] << _32 | words.take(to, mode="clip").astype(np.uint64)
         at[due] = to + 1
         low[due], rng[due] = lo << _32, r << _32
-        s8 = s << 3
-        model.learn(m, t, s8, model.p2 ^ s8 < 8, model.p1 ^ s8 < 8)
-    return np.ascontiguousarray(lanes.T).ravel()[:total]
+        rng[rng == 0] = _PAGE  # a damaged block: it goes on and fails its check
+        model.learn(m, s8, mixed, i0, e, e >> _SYMBOL == s + 1, which)
+    return np.ascontiguousarray(lanes.T), at - start

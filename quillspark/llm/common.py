@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,26 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.sources.tables import shared_dir
+
 #: Bytes of text handed to one step of a Python worker at a time.
 SLICE_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir where it is set.
-
-    Unset, a local session gets a temporary folder; any other session must name one.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="quillspark-")
-    atexit.register(shutil.rmtree, own, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
-
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches by bytes, not only by rows: long texts don't make a batch large. Holds for the session."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
@@ -61,6 +44,16 @@ def partitions(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def offsets_of(sizes: DataFrame, part: str, n: str) -> DataFrame:
+    """(__part int, __offset long): what the parts before each hold together. One row for each part comes to the driver."""
+    spark = sizes.sparkSession
+    rows, total = [], 0
+    for r in sorted(sizes.collect(), key=lambda r: r[part]):
+        rows.append((r[part], total))
+        total += r[n]
+    return spark.createDataFrame(rows, "__part int, __offset long")
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str | Column], rank: str, what: str) -> DataFrame:
     """df with a gapless rank from 0 within keys, without gathering a key in one task.
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import doc_texts, per_slice, ranked, read, stage
-from .tokens import Encoder, vocabulary
+from .tokens import encoder, vocabulary
 
 LENGTH = 2048
 END_ID = 1
@@ -79,13 +79,13 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_i
     """The ids of each document, with the end id, in pieces of `length` and a rest: a row for each piece."""
 
     def make() -> Callable:
-        enc, end = Encoder(path or vocabulary(VOCABULARY), False), struct.pack("<I", end_id)
+        enc, end = encoder(path or vocabulary(VOCABULARY), False), np.array([end_id], np.uint32).tobytes()
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            ids = enc.encode([t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()])
+            ids = enc.encode(b.column(b.schema.get_field_index("text")))
             rows = []
             for doc, x in zip(b.column(b.schema.get_field_index("doc_id")).to_pylist(), ids, strict=True):
-                view = memoryview(x + end)
+                view = memoryview(x.tobytes() + end)
                 n = len(view) // 4
                 rows += [(doc, i, min(length, n - i), zlib.crc32(view[4 * i : 4 * (i + length)]), n) for i in range(0, n, length)]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())

@@ -1,17 +1,26 @@
-"""Token ids of whole texts by public tokenizers, with a bounded memory of pieces between spaces."""
+"""Token ids of whole texts by public tokenizers, with a bounded memory of the pieces between spaces."""
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
 
-#: Pieces remembered in a worker; a full memory is emptied.
-MEMORY = 700_000
-#: Pre-tokens remembered besides.
-PARTS = 150_000
-#: Letters that are one pre-token with their neighbours, then marks that are another: such words need the model alone.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Pieces remembered in a worker at most, in two generations: when the young one is full it becomes the old one.
+MEMORY = 800_000
+#: White space, a little more than the tokenizers take for it.
+_W = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Texts that can't be cut at every space and line end.
+_ODD = rf"\x00|^{_W}|{_W}{_W}|{_W}\z"
+#: The other texts are cut where a space or line end stands alone.
+_LONE = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: A letter that is one in lower case too, then a mark that belongs to another pre-token; an apostrophe may not.
+_MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])"
+#: Letters that stay as they are when a text is brought to its normal form.
+_PLAIN = re.compile("[a-zà-öø-ÿ]+")
 
 
 def byte_letters() -> list[str]:
@@ -21,13 +30,41 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+class Ids:
+    """Ids of pieces: the row of a piece gives where its ids start in `flat`, and how many there are."""
+
+    def __init__(self) -> None:
+        self.row: dict[str, int] = {}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.start = np.zeros(1 << 14, np.int64)
+
+    def add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.row)
+        end = int(self.start[n])
+        while len(self.flat) < end + len(ids):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while len(self.start) <= n + len(pieces):
+            self.start = np.concatenate((self.start, np.zeros_like(self.start)))
+        self.flat[end : end + len(ids)] = ids
+        self.start[n + 1 : n + 1 + len(pieces)] = end + np.cumsum(sizes)
+        self.row.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows one after the other, and the number of each row's."""
+        start = self.start[rows]
+        sizes = self.start[rows + 1] - start
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(start - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+
 class Encoder:
-    """Ids of whole texts, as little-endian unsigned 32-bit integers in bytes.
+    """Ids of whole texts.
 
     A text is cut where no pre-token can reach across, so that its ids are those of its pieces:
-    with `spaces` (byte-level, a space belongs to the word after it) before a lone space, else
-    (white space is dropped, letters are lower-cased) at any ASCII white space. Other texts are
-    encoded in one go.
+    with `spaces` (byte-level, a space belongs to the word after it) before a space or line end that
+    stands alone, else (white space is dropped, letters are lower-cased) at any ASCII white space;
+    and between a letter and a mark. Pieces are cut, and told apart, in Arrow; only pieces that
+    aren't remembered reach the tokenizer, those of letters alone (one pre-token) its model.
     """
 
     def __init__(self, path: str, spaces: bool) -> None:
@@ -38,82 +75,95 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.spaces = spaces
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.letters = byte_letters()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _part(self, pre: str) -> bytes:
-        """Ids of one pre-token."""
-        got = self.parts.get(pre)
-        if got is None:
-            if len(self.parts) > PARTS:
-                self.parts.clear()
-            if pre.isascii() and pre[-1] > " ":
-                mapped = pre if pre[0] != " " else self.letters[32] + pre[1:]
+        self.young, self.old = Ids(), Ids()
+        self.letters = dict(enumerate(byte_letters()))
+        self.line = self._each(["\n"])[0] if spaces else []
+
+    def _each(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        got: list[list[int]] = [[]] * len(pieces)
+        rest, tokenize, letters = [], self.model.tokenize, self.letters
+        for i, p in enumerate(pieces):
+            if self.spaces:
+                plain = p[0] in " \n" and p[1:].isalpha()
+                word = p[p[:1] == "\n" :]
             else:
-                mapped = "".join(map(self.letters.__getitem__, pre.encode()))
-            got = self.parts[pre] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        return got
-
-    def _learn(self, words: set[bytes]) -> None:
-        rest, known, head = [], self.known, " " * self.spaces
-        for w in words:
-            if w.isalpha():
-                known[w] = self._part(head + w.decode())
-                continue
-            # with spaces, a lone line end inside is a pre-token of its own, and no space stands before what follows
-            found = [_PLAIN.fullmatch(p) for p in (w.decode().split("\n") if self.spaces else [w.decode()])]
-            if all(found):
-                ids = b""
-                for i, m in enumerate(found):
-                    word, marks = m.groups()
-                    word = head * (not i) + word if self.spaces else word.lower()
-                    ids += (self._part("\n") if i else b"") + self._part(word) + (self._part(marks) if marks else b"")
-                known[w] = ids
+                plain, word = _PLAIN.fullmatch(p) is not None, p
+            if plain:
+                ids = [t.id for t in tokenize(word.encode().decode("latin-1").translate(letters))]
+                got[i] = ids if word is p else self.line + ids
             else:
-                rest.append(w)
-        for i in range(0, len(rest), 20_000):
-            known.update(zip(rest[i : i + 20_000], self._encode([head + w.decode() for w in rest[i : i + 20_000]]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.spaces:
-            cut = [t.encode().split(b" ") for t in texts]
-            first = self._encode([c[0].decode() for c in cut])
-        else:
-            cut = [t.encode().lower().split() for t in texts]
-            first = None
-        whole = set()
-        if self.spaces:
-            new = set().union(*(c[1:] for c in cut)).difference(self.known)
-            # a piece that starts or ends with white space, or is empty, changes how its neighbours are cut
-            odd = {w for w in new if self._odd(w)}
-            whole = {i for i, c in enumerate(cut) if len(c) > 1 and (self._odd(c[0]) or odd and not odd.isdisjoint(c[1:]))}
-            if whole:
-                new = set().union(*(c[1:] for i, c in enumerate(cut) if i not in whole)).difference(self.known)
-        else:
-            new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-            new = set().union(*(c[int(self.spaces) :] for i, c in enumerate(cut) if i not in whole))
-        self._learn(new)
-        alone = sorted(whole)
-        done = dict(zip(alone, self._encode([texts[i] for i in alone]), strict=True)) if alone else {}
-        get = self.known.__getitem__
+                rest.append(i)
+        for i, ids in zip(rest, self._each([pieces[i] for i in rest]), strict=True):
+            got[i] = ids
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        self.young.add(pieces, np.fromiter((t for ids in got for t in ids), np.uint32, int(sizes.sum())), sizes)
+
+    def _rows(self, pieces: list[str]) -> np.ndarray:
+        """The rows of distinct pieces in the young generation."""
+        get = self.young.row.get
+        rows = np.array([get(p, -1) for p in pieces], np.int64)
+        lost = np.flatnonzero(rows < 0)
+        if len(self.young.row) + len(lost) > MEMORY // 2:
+            self.young, self.old = Ids(), self.young
+            lost, get = np.arange(len(pieces)), self.young.row.get
+        if len(lost):
+            was = self.old.row.get
+            known, new = [], []
+            for i in lost.tolist():
+                (new if was(pieces[i]) is None else known).append(pieces[i])
+            if known:
+                self.young.add(known, *self.old.of(np.array([was(p) for p in known], np.int64)))
+            self._learn(new)
+            get = self.young.row.get
+            rows[lost] = [get(pieces[i]) for i in lost.tolist()]
+        return rows
+
+    def _of_pieces(self, pieces: pa.Array, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of texts whose pieces lie between offsets."""
+        told = pieces.dictionary_encode()
+        rows = self._rows(told.dictionary.to_pylist())
+        ids, sizes = self.young.of(rows[told.indices.to_numpy()] if len(pieces) else np.zeros(0, np.int64))
+        ends = np.concatenate(([0], np.cumsum(sizes)))[offsets]
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; a null text is empty."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not len(texts):
+            return []
         if not self.spaces:
-            return [b"".join(map(get, c)) for c in cut]
-        return [done[i] if i in done else first[i] + b"".join(map(get, c[1:])) for i, c in enumerate(cut)]
-
-    @staticmethod
-    def _odd(word: bytes) -> bool:
-        if not word:
-            return True
-        if 32 < word[0] < 127 and 32 < word[-1] < 127:
-            return False
-        t = word.decode()
-        return t[0].isspace() or t[-1].isspace()
+            cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), _MARK, r"\1 \2"))
+            pieces, offsets = pc.list_flatten(cut), cut.offsets.to_numpy() - cut.offsets[0].as_py()
+            full = pc.not_equal(pieces, "")
+            return self._of_pieces(pieces.filter(full), np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))[offsets])
+        odd = pc.or_(pc.equal(texts, ""), pc.match_substring_regex(texts, _ODD)).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        even = np.flatnonzero(~odd)
+        if len(even):
+            marked = pc.replace_substring(pc.replace_substring(texts.take(pa.array(even)), " ", "\0 "), "\n", "\0\n")
+            cut = pc.split_pattern(pc.replace_substring_regex(marked, _MARK, "\\1\0\\2"), "\0")
+            for i, ids in zip(even.tolist(), self._of_pieces(pc.list_flatten(cut), cut.offsets.to_numpy() - cut.offsets[0].as_py()), strict=True):
+                out[i] = ids
+        rest = [(i, _LONE.split(texts[i].as_py())) for i in np.flatnonzero(odd).tolist()]
+        rest = [(i, p) for i, p in rest if p != [""]]
+        offsets = np.cumsum([0, *(len(p) for _, p in rest)])
+        for (i, _), ids in zip(rest, self._of_pieces(pa.array([x for _, p in rest for x in p], pa.string()), offsets), strict=True):
+            out[i] = ids
+        return out
+
+
+_OWN: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, spaces: bool) -> Encoder:
+    """The encoder of this process: a worker keeps what it remembers from task to task. It holds one at a time."""
+    if (path, spaces) not in _OWN:
+        _OWN.clear()
+        _OWN[path, spaces] = Encoder(path, spaces)
+    return _OWN[path, spaces]
 
 
 def vocabulary(name: str) -> str:

@@ -265,11 +265,12 @@ def exact_ids(name, texts_, end):
 def test_ids_equal_those_of_whole_texts(name, spaces, monkeypatch):
     monkeypatch.setattr(tokens, "MEMORY", 60)
     r = random.Random(9)
-    odd = ["", " ", "a  b", " a", "a ", "it's I'LL\n\n we've", "é́ Á ́x ΑΣ Σ", "<|endoftext|> a", "a\r\n b", "　a b　 c", "x.\ny", "x\n", "***a!!b?? 12 3.4 $5"]
+    odd = ["", None, " ", "\n", "a\x00 b", "x\n\ny  z\n w", "\u2028 a\u3000 b", "a.b it's.x don't!", "x×. y÷! ŉ.", "\nİ! ß", "a\n", "İstanbul. ſtop ĳ", "a  b", " a", "a ", "it's I'LL\n\n we've", "é́ Á ́x ΑΣ Σ", "<|endoftext|> a", "a\r\n b", "　a b　 c", "x.\ny", "x\n", "***a!!b?? 12 3.4 $5"]
     odd += ["".join(r.choice("ab.'é \n1Σ\t-") for _ in range(30)) for _ in range(300)] + [t for t in texts() if t]
     enc = tokens.Encoder(tokens.vocabulary(name), spaces)
     for i in range(0, len(odd), 40):
-        assert [x.tobytes() for x in (a[:-1] for a in exact_ids(name, odd[i : i + 40], 0))] == enc.encode(odd[i : i + 40])
+        assert [x.tobytes() for x in (a[:-1] for a in exact_ids(name, odd[i : i + 40], 0))] == [x.tobytes() for x in enc.encode(odd[i : i + 40])]
+    assert len(enc.young.row) <= 400 and enc.encode([]) == [] and tokens.encoder(tokens.vocabulary(name), spaces) is tokens.encoder(tokens.vocabulary(name), spaces)
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 2047, 2048, 2049, 9000])
@@ -279,18 +280,46 @@ def test_codec_round_trip(n):
         data = codec.encode(ids.astype("<u4"), [None, 7], [n // 2, n - n // 2])
         got, doc_ids, lengths = codec.decode(data)
         assert (got == ids).all() and doc_ids == [None, 7] and lengths.tolist() == [n // 2, n - n // 2]
-        bad = bytearray(data)
-        bad[-1] ^= 1
-        with pytest.raises(ValueError):
-            codec.decode(bytes(bad))
+        for at in (9, 40 if n else 9):
+            bad = bytearray(data)
+            bad[at] ^= 1
+            with pytest.raises((ValueError, zlib.error)):
+                codec.decode(bytes(bad))
+
+
+def test_a_damaged_block_leaves_the_others_readable():
+    r = np.random.RandomState(1)
+    for ids in (np.minimum(r.geometric(0.01, 9000), 40000), r.randint(0, 250_000, 90_000)):
+        data = codec.encode(ids.astype("<u4"), [1], [len(ids)])
+        whole = codec.Segment(data)
+        n = whole.blocks
+        for i in (0, 2, n - 1):
+            body = whole.bodies[i]
+            at = data.index(body)
+            for spoiled in (bytes([body[0] ^ 255]) + body[1:], bytes(len(body)), b"\xff" * len(body)):
+                got = codec.Segment(data[:at] + spoiled + data[at + len(body) :]).read(list(range(n)))
+                assert got[i] is None and all((got[k] == ids[k * codec.BLOCK : (k + 1) * codec.BLOCK]).all() for k in range(n) if k != i)
+        assert all((whole.read([i])[0] == ids[i * codec.BLOCK : (i + 1) * codec.BLOCK]).all() for i in (0, 1, n - 1))
+
+
+@pytest.mark.parametrize("high", [200_000, 2**32 - 1])
+def test_any_number_of_different_ids_is_coded(high):
+    ids = np.concatenate((np.unique(np.linspace(0, high, 200_000).astype(np.int64)), np.arange(3000) % 7)).astype("<u4")
+    assert (codec.decode(codec.encode(ids, [1], [len(ids)]))[0] == ids).all()
+
+
+def test_mixing_beats_the_frequencies_alone():
+    r = np.random.RandomState(3)
+    words = [np.minimum(r.geometric(0.003, 4), 30000) for _ in range(400)]
+    ids = np.concatenate([words[min(399, i)] for i in r.geometric(0.02, 5000)]).astype("<u4")
+    p = np.unique(ids, return_counts=True)[1] / len(ids)
+    assert len(codec.encode(ids, [1], [len(ids)])) * 8 < 0.85 * -(p * np.log2(p)).sum() * len(ids)
 
 
 def test_frequencies_fill_their_total():
-    for counts in ([1], [1] * 1000, [10**9, 1, 1], list(range(1, 60000))):
+    for counts in ([1], [1] * 1000, [10**9, 1, 1], list(range(1, codec.KINDS))):
         f = codec.frequencies(np.array(counts))
         assert f.sum() == 1 << codec.FREQ and f.min() >= 1
-    with pytest.raises(ValueError):
-        codec.frequencies(np.ones(1 << codec.FREQ, int))
 
 
 def test_token_file_in_order(spark, docs, empty, monkeypatch):
@@ -299,8 +328,21 @@ def test_token_file_in_order(spark, docs, empty, monkeypatch):
     for (d, _), ids in zip(rows, exact_ids("byte_bpe_50k.json", [t for _, t in rows], 2), strict=True):
         want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
-    assert Counter(map(tuple, tokenfile.read_back(tokenfile.write(docs)).collect())) == Counter(want)
+    monkeypatch.setattr(tokenfile, "SEGMENT", 4096)
+    files = tokenfile.write(docs)
+    assert Counter(map(tuple, tokenfile.read_back(files).collect())) == Counter(want)
     assert tokenfile.read_back(tokenfile.write(empty)).count() == 0
+    some = sorted(files.collect(), key=lambda r: (r["part"], r["place"]))
+    assert sum(r["n_ids"] for r in some) == at and all(r["path"].endswith(".qti") for r in some)
+    data = bytearray(tokenfile._get(some[0]["path"]))
+    own = codec.Segment(bytes(data))
+    data[-1] ^= 255
+    folder, _, name = some[0]["path"].rpartition("/")
+    spoiled = tokenfile._put(folder, f"spoiled-{name}", bytes(data))
+    if own.blocks > 1:
+        assert (tokenfile.read_block(spoiled, 0) == tokenfile.read_block(some[0]["path"], 0)).all()
+    with pytest.raises(ValueError):
+        tokenfile.read_block(spoiled, own.blocks - 1)
 
 
 def test_fill_is_the_closest_sum():
