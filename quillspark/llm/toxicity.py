@@ -3,11 +3,12 @@
 1. Voters: words and word beginnings that mark toxic documents among the labelled rows to learn
    from, and patterns of how often and how densely they occur. Terms that mark them beyond
    chance, but are none of the VOTERS that tell most, vote together.
-2. Label model: each vote is drawn from the hidden label by a rate of its own. Expectation
-   maximisation estimates the rates (accuracies) over labelled and unlabelled documents alike;
-   votes that move together beyond what the label explains (correlations) share their weight.
+2. Label model: the label is hidden. Each vote is drawn by a rate that depends on the label and on
+   the vote of its parent, the voter that it moves with most; expectation maximisation estimates
+   the rates (accuracies) and the tree of parents (correlations) from votes alone. The labels enter
+   as the weight of ANCHOR documents in each rate, which holds the hidden label to its meaning.
 3. Classifier: logistic regression on counts, trained on the posterior labels, then put on the
-   scale on which 0.7 divides the labelled rows to learn from.
+   scale on which 0.7 divides the labelled rows to learn from; this step does use their labels.
 """
 
 from __future__ import annotations
@@ -23,9 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import doc_texts, per_slice, read, stage
+from .minhash import Words, mixed, shingles
 
-#: Labelled documents, and as many unlabelled ones, that are learned from at most, chosen by a hash of their text.
+#: Labelled documents that are learned from at most, about, chosen by a hash of their id.
 SAMPLE = 20_000
+#: Documents that the labels weigh in each rate of the label model.
+ANCHOR = 20.0
+#: Votes that move together more than this, given the label, may be parent and child; the hidden label explains the rest.
+TOGETHER = 0.35
 #: Lexicon voters with a vote of their own at most; the label model compares each two of them.
 VOTERS = 120
 #: By chance, one term of all is taken for a mark of toxic documents this often at most.
@@ -77,38 +83,74 @@ class Voters:
 
 
 class LabelModel:
-    """Hidden label, votes independent given it up to shared weights; fitted by expectation maximisation."""
+    """Hidden label, and a tree of votes given it; fitted by expectation maximisation."""
 
-    def __init__(self, votes: np.ndarray, first: np.ndarray, known: np.ndarray | None = None, rounds: int = 60) -> None:
-        """first: a first belief for each row; it stands where `known`, which holds the hidden label to its meaning."""
-        post, v = first, votes.shape[1]
-        self.weight = np.ones(v)
+    def __init__(self, votes: np.ndarray, first: np.ndarray, anchor: tuple[np.ndarray, np.ndarray] | None = None, rounds: int = 60) -> None:
+        """first: a first belief for each row. anchor: rates of votes on toxic and on other documents, with the weight of ANCHOR of them."""
+        self.parent = np.full(votes.shape[1], -1)
+        self.anchor = anchor
+        post = first
         for r in range(rounds):
-            a, b = post.sum() + 1e-9, (1 - post).sum() + 1e-9
-            self.prior = np.clip(a / (a + b), 1e-4, 1 - 1e-4)
-            self.hit = (post @ votes + 0.1) / (a + 1)  # rate of a vote on toxic documents
-            self.miss = ((1 - post) @ votes + 0.1) / (b + 1)  # and on others
-            if r % 5 == 0:
-                self.correlation = self._together(votes, post)
-                self.weight = 1 / (1 + np.where(self.correlation > 0.35, self.correlation, 0).sum(1))
+            self._fit(votes, post, r % 10 == 0)
             post = self.posterior(votes)
-            if known is not None:
-                post = np.where(known, first, post)
-
-    def _together(self, votes: np.ndarray, post: np.ndarray) -> np.ndarray:
-        """How far each two votes move together beyond what the label explains, from 0 to 1."""
-        out = np.zeros((votes.shape[1],) * 2)
-        for p, rate in ((post, self.hit), (1 - post, self.miss)):
-            rest = votes - rate
-            cov = (rest * p[:, None]).T @ rest / (p.sum() + 1e-9)
-            sd = np.sqrt(np.maximum(rate * (1 - rate), 1e-9))
-            out += 0.5 * np.clip(cov / np.outer(sd, sd), 0, 1)
-        np.fill_diagonal(out, 0)
-        return out
+
+    def _fit(self, votes: np.ndarray, post: np.ndarray, tree: bool) -> None:
+        sides = (post, 1 - post)
+        self.prior = np.clip((post.sum() + 1) / (len(post) + 2), 1e-4, 1 - 1e-4)
+        k = ANCHOR if self.anchor else 0.0
+        rates = []
+        for side, p in enumerate(sides):
+            known = self.anchor[side] if self.anchor else 0.5
+            rates.append(np.clip((p @ votes + k * known + 0.1) / (p.sum() + k + 0.2), 1e-6, 1 - 1e-6))
+        self.hit, self.miss = rates
+        if tree:
+            self._grow(votes, sides)
+        # the rate of a vote given its parent's: [label][parent's vote][voter]; a rate of its own is what little evidence falls back on
+        parents = np.where(self.parent >= 0, votes[:, self.parent], 0)
+        self.rate = np.empty((2, 2, votes.shape[1]))
+        for side, p in enumerate(sides):
+            for given, here in enumerate((1 - parents, parents)):
+                self.rate[side, given] = ((p @ (here * votes)) + rates[side]) / ((p @ here) + 1)
+        self.rate = np.clip(self.rate, 1e-6, 1 - 1e-6)
+
+    def _grow(self, votes: np.ndarray, sides: tuple[np.ndarray, np.ndarray]) -> None:
+        """The parents: a spanning forest of the greatest mutual information of two votes given the label."""
+        n, told = len(votes), np.zeros((votes.shape[1],) * 2)
+        self.correlation = np.zeros_like(told)
+        for p, rate in zip(sides, (self.hit, self.miss), strict=True):
+            total = p.sum() + 1e-9
+            one = p @ votes / total
+            both = (votes * p[:, None]).T @ votes / total
+            sd = np.sqrt(np.maximum(one * (1 - one), 1e-9))
+            self.correlation += 0.5 * np.clip((both - np.outer(one, one)) / np.outer(sd, sd), 0, 1)
+            for x, a in ((both, np.outer(one, one)), (one[:, None] - both, np.outer(one, 1 - one)), (one - both, np.outer(1 - one, one)), (1 - one[:, None] - one + both, np.outer(1 - one, 1 - one))):
+                told += total / n * np.where(x > 1e-12, x * np.log(np.maximum(x, 1e-12) / np.maximum(a, 1e-12)), 0)
+        np.fill_diagonal(self.correlation, 0)
+        np.fill_diagonal(told, 0)
+        told[self.correlation <= TOGETHER] = 0
+        least = 2 * np.log(max(n, 2)) / n  # below it, two rates more don't pay
+        self.parent[:] = -1
+        free = set(range(len(told)))
+        while free:
+            root = min(free)
+            free.discard(root)
+            best, frm = told[root].copy(), np.full(len(told), root)
+            while free:
+                j = max(free, key=lambda v: (best[v], -v))
+                if best[j] < least:
+                    break
+                free.discard(j)
+                self.parent[j] = frm[j]
+                more = told[j] > best
+                best[more], frm[more] = told[j][more], j
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        on, off = np.log(self.hit / self.miss), np.log((1 - self.hit).clip(1e-9) / (1 - self.miss).clip(1e-9))
-        z = np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * (on - off)) + (self.weight * off).sum()
+        """The probability of the label given all votes of a row."""
+        parents = np.where(self.parent >= 0, votes[:, self.parent], 0)
+        on, off = np.log(self.rate[0] / self.rate[1]), np.log((1 - self.rate[0]) / (1 - self.rate[1]))
+        z = np.log(self.prior / (1 - self.prior))
+        for given, here in enumerate((1 - parents, parents)):
+            z = z + (here * votes) @ on[given] + (here * (1 - votes)) @ off[given]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -170,20 +212,45 @@ def parted(df: list[tuple[str, int, int]], toxic: int, clean: int) -> tuple[list
     return out, sorted(t for t, a, b in rest if not said(t, a, b))
 
 
+def apart(marked: DataFrame) -> DataFrame:
+    """marked (n, text, toxic) without near copies of rows of the same label, so that what one text holds isn't counted many times.
+
+    Rows are told to be alike by four minima of their hashed five-word shingles; four numbers of each row of the bounded sample come to the driver.
+    """
+
+    def minima(batches):
+        known = Words()
+        for b in batches:
+            n, found = [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = shingles(t.as_py().encode(), 5, known)
+                n.append(i)
+                found.append([int(mixed(s + np.uint64(k)).min() >> np.uint64(1)) for k in range(4)] if len(s) else None)
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), b.column(2), pa.array(found, pa.list_(pa.int64()))], ["n", "toxic", "low"])
+
+    seen, kept = set(), []
+    for r in sorted(marked.select("n", "text", "toxic").mapInArrow(minima, "n long, toxic int, low array<long>").collect(), key=lambda r: r["n"]):
+        own = {(r["toxic"] > 0, k, x) for k, x in enumerate(r["low"] or [])}
+        if own and seen.isdisjoint(own):
+            kept.append((r["n"],))
+        seen |= own
+    return marked.join(F.broadcast(marked.sparkSession.createDataFrame(kept, "n long")), "n", "left_semi").select("text", "toxic")
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from docs (doc_id, text) and the labels of some of them; both only the rows to learn from.
 
-    At most about `sample` labelled and as many unlabelled documents are taken. A null label
-    counts as none; of several labels of a document the highest holds.
+    At most about `sample` labelled documents are taken, none else; their texts are staged once and
+    their ids broadcast, so that no other text is moved. A null label counts as none; of several
+    labels of a document the highest holds; rows that share a doc_id are documents each. Null texts
+    teach nothing, long ones are read whole. No toxic or no other document: nothing is learned.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and __id is not null").groupBy("__id").agg(F.max("toxic").alias("toxic"))
     docs = doc_texts(docs).where("text is not null")
-    n_docs, n_marks = docs.select("doc_id").count(), marks.count()
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    few = docs.where(part < int((1 << 20) * min(1.0, 1.5 * sample / max(1, n_docs)))).select("doc_id")
-    chosen = marks.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(1, n_marks))))
-    marked = docs.join(chosen, docs["doc_id"] == chosen["__id"]).select("text", "toxic")
-    plain = docs.join(few, "doc_id", "left_semi").join(marks, docs["doc_id"] == marks["__id"], "left_anti").select("text", F.lit(-1).alias("toxic"))
+    chosen = marks.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(1, marks.count()))))
+    # about `sample` ids, whatever the number of labels
+    marked = stage(docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["__id"]).select(F.monotonically_increasing_id().alias("n"), "text", "toxic"), "marked")
+    marked = stage(apart(marked), "marked")
 
     def frequencies(batches):
         for b in batches:
@@ -214,31 +281,34 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column(1)], ["x", "toxic"])
 
     # one small row for each document of the bounded sample
-    rows = marked.unionByName(plain).mapInArrow(votes, "x binary, toxic int").collect()
+    rows = marked.mapInArrow(votes, "x binary, toxic int").collect()
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]).astype(float)
-    y = np.array([r["toxic"] for r in rows])
+    y = np.array([r["toxic"] > 0 for r in rows])
     v = x[:, :-2]
-    first = np.where(y >= 0, np.where(y > 0, 0.95, 0.05), np.where(v[:, len(voters.lexicon)] > 0, 0.9, 0.05))
-    model = LabelModel(v, first, y >= 0)
+    first = np.where(v[:, len(voters.lexicon)] > 0, 0.9, 0.05)  # two different marks
+    model = LabelModel(v, first, tuple((side @ v + 0.1) / (side.sum() + 0.2) for side in (y, ~y)))
     w = logistic(x, model.posterior(v), decay=1.0)
-    known = y >= 0
-    z = np.clip(x[known] @ w[:-1] + w[-1], -30, 30)
+    z = np.clip(x @ w[:-1] + w[-1], -30, 30)
     # the scale: 0.7 stands midway in the widest place that parts the labelled rows with the fewest errors
     order = np.argsort(z)
-    zs, ys = z[order], (y[known] > 0)[order]
+    zs, ys = z[order], y[order]
     wrong = np.concatenate(([0], np.cumsum(ys))) + np.concatenate((np.cumsum(~ys[::-1])[::-1], [0]))
     cut = np.concatenate(([zs[0] - 2], (zs[1:] + zs[:-1]) / 2, [zs[-1] + 2]))
     gap = np.concatenate(([0], np.diff(zs), [0]))
     at = min(np.flatnonzero(wrong == wrong.min()), key=lambda i: (-gap[i], i))
     # and a text like most clean ones scores 0.1 at most
-    slope = max(1.0, (np.log(0.7 / 0.3) + np.log(9)) / max(cut[at] - np.median(z[y[known] == 0]), 1e-3))
+    slope = max(1.0, (np.log(0.7 / 0.3) + np.log(9)) / max(cut[at] - np.median(z[~y]), 1e-3))
     w = w * slope
     w[-1] += np.log(0.7 / 0.3) - slope * cut[at]
     return Model(voters, w, model)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score and predicted. Null and empty texts get the score of a text without hits."""
+    """docs with score and predicted, which take the place of columns of these names.
+
+    Null and empty texts get the score of a text without hits. Long texts are read whole. Equal
+    texts get equal scores, repeated rows each; a score of exactly 0.7 is predicted. Empty table: no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*(f for f in docs.schema.fields if f.name not in ("score", "predicted")), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 

@@ -229,13 +229,37 @@ def test_toxicity_with_nothing_to_learn_from(spark, docs, empty):
 
 
 def test_label_model_finds_accuracies_and_correlations():
+    """Without any label: three voters, and a copy of the third, which must not count twice."""
     r = np.random.RandomState(0)
     y = r.rand(4000) < 0.3
-    votes = np.stack([(r.rand(4000) < np.where(y, a, b)) for a, b in ((0.9, 0.1), (0.8, 0.2), (0.7, 0.3))], 1)
+    rates = ((0.9, 0.1), (0.8, 0.2), (0.7, 0.3))
+    votes = np.stack([(r.rand(4000) < np.where(y, a, b)) for a, b in rates], 1)
     votes = np.hstack([votes, votes[:, 2:]]).astype(float)
     m = toxicity.LabelModel(votes, np.where(votes[:, 0] > 0, 0.8, 0.2))
-    assert abs(m.hit[0] - 0.9) < 0.07 and m.correlation[2, 3] > 0.9 and m.weight[2] < 0.6 < m.weight[0]
-    assert ((m.posterior(votes) > 0.5) == y).mean() > 0.88
+    assert abs(m.hit[0] - 0.9) < 0.07 and m.correlation[2, 3] > 0.9 and m.parent[3] == 2
+    post = m.posterior(votes)
+    assert ((post > 0.5) == y).mean() > 0.88
+    like = np.log(0.3 / 0.7) + sum(np.where(votes[:, j] > 0, np.log(a / b), np.log((1 - a) / (1 - b))) for j, (a, b) in enumerate(rates))
+    assert np.abs(post - 1 / (1 + np.exp(-like))).mean() < 0.06
+
+
+def test_label_model_equals_enumeration():
+    """One round on a few rows against sums over both labels of each row, written out."""
+    votes = np.array([[1, 1, 0], [1, 1, 1], [0, 0, 0], [0, 0, 1], [0, 1, 0], [0, 0, 0]], float)
+    first = np.array([0.9, 0.9, 0.1, 0.3, 0.4, 0.1])
+    m = toxicity.LabelModel(votes, first, rounds=1)
+    for i, row in enumerate(votes):
+        joint = []
+        for side, p in enumerate((first, 1 - first)):
+            total = m.prior if side == 0 else 1 - m.prior
+            for j, v in enumerate(row):
+                own = (sum(p[k] * votes[k, j] for k in range(6)) + 0.1) / (p.sum() + 0.2)
+                k = m.parent[j]
+                same = [q for q in range(6) if k < 0 or votes[q, k] == row[k]]
+                rate = (sum(p[q] * votes[q, j] for q in same) + own) / (sum(p[q] for q in same) + 1)
+                total *= rate if v else 1 - rate
+            joint.append(total)
+        assert abs(m.posterior(votes)[i] - joint[0] / sum(joint)) < 1e-9
 
 
 def test_terms_beyond_the_voters_count(spark):
@@ -455,21 +479,38 @@ def test_shards(spark, docs, empty):
     assert sharding.shard(empty, 5).count() == 0
 
 
+def by_heap(sizes, k):
+    """Loads by longest processing time, one group at a time."""
+    load = [0] * k
+    for size in sorted(sizes, reverse=True):
+        load[load.index(min(load))] += size
+    return load
+
+
 def test_place_is_longest_processing_time():
     r = random.Random(7)
-    for _ in range(50):
-        classes = [(i, r.randrange(1, 40), float(r.randrange(1, 500))) for i in range(r.randrange(1, 20))]
-        k = r.randrange(1, 7)
-        load, runs = [0.0] * k, sharding.place(classes, k)
-        for c, n, size in classes:
-            own = sorted(x[1:3] for x in runs if x[0] == c)
-            assert own[0][0] == 0 and own[-1][1] == n and all(a[1] == b[0] for a, b in itertools.pairwise(own))
-            for _, a, b, i in (x for x in runs if x[0] == c):
-                load[i] += (b - a) * size
-        heap = [0.0] * k
-        for size in sorted((s for _, n, s in classes for _ in range(n)), reverse=True):
-            heap[heap.index(min(heap))] += size
-        assert max(load) <= max(heap) + 1e-6 or max(load) <= sum(load) / k + max(s for _, _, s in classes)
+    for _ in range(200):
+        classes = sorted({r.randrange(1, r.choice((30, 5_000, 10**9))): r.choice((1, 2, r.randrange(1, 400))) for _ in range(r.randrange(1, 20))}.items(), reverse=True)
+        k = r.randrange(1, 9)
+        load, at, counts = [0] * k, 0, Counter()
+        for x in sharding.place(classes, k).to_pylist():
+            assert x["__end"] > at
+            load[x["shard"]] += (x["__end"] - at) * x["__size"]
+            counts[x["__size"]] += x["__end"] - at
+            at = x["__end"]
+        assert counts == dict(classes) and load == by_heap([s for s, n in classes for _ in range(n)], k)
+
+
+def test_shards_of_large_and_small_groups_are_those_of_the_heap(spark):
+    r = random.Random(2)
+    rows = [(i, f"{i} " + "x" * r.choice((3, 40, 9_000 + r.randrange(30_000), 70_000))) for i in range(300)] + [(1000 + i, "copy " * 2000) for i in range(40)]
+    load = Counter()
+    for x in sharding.shard(documents(spark, rows), 7).collect():
+        load[x["shard"]] += x["size"]
+    sizes = Counter()
+    for _, t in rows:
+        sizes[t] += len(t) + 8
+    assert sorted(load.values()) == sorted(by_heap(sizes.values(), 7))
 
 
 # 9 substrings
