@@ -40,6 +40,30 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes staged folders that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Stages:
+    """Staged tables of one piece of work, deleted together once its result is staged elsewhere."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, what: str) -> DataFrame:
+        small_batches(self.spark)
+        self.paths.append(f"{shared_dir(self.spark)}/{what}-{uuid.uuid4().hex}")
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def close(self) -> None:
+        discard(self.spark, *self.paths)
+        self.paths = []
+
+
 def partitions(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -54,7 +78,7 @@ def offsets_of(sizes: DataFrame, part: str, n: str) -> DataFrame:
     return spark.createDataFrame(rows, "__part int, __offset long")
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str | Column], rank: str, what: str) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str | Column], rank: str, what: str, put: Callable[[DataFrame, str], DataFrame] = stage) -> DataFrame:
     """df with a gapless rank from 0 within keys, without gathering a key in one task.
 
     Rows are dealt by ranges of (keys, order) and sorted; the place in the partition
@@ -64,7 +88,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[str | Column], rank: str,
     spark = df.sparkSession
     by = [*keys, *order]
     laid = df.repartitionByRange(partitions(spark), *by).sortWithinPartitions(*by)
-    laid = stage(laid.withColumn("__at", F.monotonically_increasing_id()), what)
+    laid = put(laid.withColumn("__at", F.monotonically_increasing_id()), what)
     laid = laid.withColumn("__pid", F.shiftright("__at", 33)).withColumn("__row", F.col("__at").bitwiseAND((1 << 33) - 1))
     held = laid.groupBy(*keys, "__pid").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"))
     before = T.StructType([*(laid.schema[k] for k in keys), T.StructField("__pid", T.LongType()), T.StructField("__add", T.LongType())])

@@ -4,17 +4,20 @@ A window is 20 consecutive words. Of the hashes of the 6-word grams in a window
 its fingerprint; neighbouring windows mostly share it, so a document has about an eighth as
 many fingerprints as words, and equal windows have equal fingerprints.
 
-The index is a list of immutable runs, each the fingerprints of one batch of documents with
-their numbers, bucketed and sorted by fingerprint. A new batch becomes a run; runs are
-merge-joined without a shuffle, and compacted to one when there are several. Only windows
-whose fingerprint occurs again are verified, in two steps:
+The index is a list of immutable runs, bucketed and sorted by fingerprint: which document holds
+a window of this fingerprint that occurs nowhere earlier. A new batch of documents is merge-joined
+with each run; what meets there, or within the batch, is verified, in two steps:
 
 1. A place of a fingerprint is hashed with all words that its windows can hold. Where that
    stretch also occurs earlier, all windows of the place do.
 2. The windows of other places are hashed one by one. The first of its like always is among
    them, since it can't occur earlier.
 
-Two places are alike if both their fingerprints and these hashes agree: 128 bits.
+Then the batch's own first windows become a run. When there are several runs, they are compacted
+to one. A passage that many documents share has one entry, whatever their number.
+
+Two places are alike if both their fingerprints and these hashes agree: 128 bits, of words that
+are told apart by 64 bits.
 """
 
 from __future__ import annotations
@@ -29,20 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_texts, likely, partitions, per_slice, ranked, read, shared_dir, stage
+from .common import Stages, discard, doc_texts, lacking, likely, partitions, per_slice, ranked, read, shared_dir, stage
 from .minhash import mixed, rolled
 
 WINDOW = 20
 GRAM = 6
 #: Batches of documents that the query adds one after the other.
-BATCHES = 2
+BATCHES = 4
 #: Runs that are compacted to one.
-RUNS = 4
+RUNS = 3
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
-#: A place is the rank of its document in this many bits from the left, then its word.
-PLACE = 28
+#: A place is the rank of its document, then its word in this many bits: a text of 2**31 bytes, the most that a row holds, has no more words.
+PLACE = 30
 #: Bytes hashed at a time; a text that is longer is cut between words.
 PIECE = 2 << 20
 #: Bytes of text in one step; some eight arrays of a number for each byte are held meanwhile.
@@ -156,55 +159,27 @@ def keyed(docs: DataFrame) -> DataFrame:
     return doc_texts(docs).select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("row"))
 
 
-def prints(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """(row, key): the fingerprints of each document, once for each place of one."""
+SPLIT = "doc_id long, row long, n_words long, words_sha256 string, keys array<long>"
+
+
+def split(rows: DataFrame, window: int, gram: int) -> DataFrame:
+    """The number of words of each document, the digest of its words, and the fingerprint at each place of one."""
 
     def make() -> Callable:
         hasher = Hasher()
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            p = Prints(hasher, b.column(0).to_pylist(), window, gram)
+            texts = b.column(1).to_pylist()
+            words = [t.encode().split() for t in texts]
+            p = Prints(hasher, texts, window, gram)
             at = p.places()
-            return pa.RecordBatch.from_arrays([pa.array(b.column(1).to_numpy()[p.doc[at]]), pa.array(p.grams[at].view(np.int64))], ["row", "key"])
+            ends = np.searchsorted(p.doc[at], np.arange(b.num_rows + 1), "left")
+            keys = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(p.grams[at].view(np.int64)))
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(map(len, words), pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words]), keys], ["doc_id", "row", "n_words", "words_sha256", "keys"])
 
         return step
 
-    return per_slice(rows.select("text", "row"), make, "row long, key long", size=SLICE)
-
-
-class Index:
-    """Runs of (key, n), each bucketed and sorted by key in the shared folder."""
-
-    def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
-        self.spark, self.buckets, self.runs = spark, buckets or partitions(spark), []
-
-    def _write(self, run: DataFrame) -> str:
-        name = f"window_run_{uuid.uuid4().hex}"
-        run.write.bucketBy(self.buckets, "key").sortBy("key").option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
-        return name
-
-    def add(self, batch: DataFrame) -> None:
-        """batch: (row, key). Becomes a run of its own."""
-        self.runs.append(self._write(batch.groupBy("key").agg(F.count(F.lit(1)).alias("n"))))
-        if len(self.runs) >= RUNS:
-            self.compact()
-
-    def merged(self) -> DataFrame:
-        """(key, n) over all runs: merge joins of sorted runs."""
-        tables = [self.spark.table(r) for r in self.runs]
-        return reduce(lambda a, b: a.join(b.withColumnsRenamed({"key": "__k", "n": "__n"}), F.col("key") == F.col("__k"), "full").select(
-            F.coalesce("key", "__k").alias("key"), (F.coalesce("n", F.lit(0)) + F.coalesce("__n", F.lit(0))).alias("n")), tables)
-
-    def compact(self) -> None:
-        old, self.runs = self.runs, [self._write(self.merged())]
-        for r in old:
-            self.spark.sql(f"DROP TABLE {r}")
-
-    def close(self) -> None:
-        """The tables leave the catalogue; their files stay in the shared folder."""
-        for r in self.runs:
-            self.spark.sql(f"DROP TABLE {r}")
-        self.runs = []
+    return per_slice(rows, make, SPLIT, size=SLICE)
 
 
 def batches(rows: DataFrame, n: int) -> list[DataFrame]:
@@ -216,22 +191,6 @@ def batches(rows: DataFrame, n: int) -> list[DataFrame]:
     return [rows.where(d.isNull() | (d <= cuts[0])), *(rows.where((d > a) & (d <= b)) for a, b in zip(cuts, cuts[1:], strict=False)), rows.where(d > cuts[-1])]
 
 
-SPLIT = "doc_id long, row long, n_words long, words_sha256 string"
-
-
-def counted(rows: DataFrame) -> DataFrame:
-    """The number of words of each document, and the digest of its words."""
-
-    def make() -> Callable:
-        def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            words = [t.encode().split() for t in b.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(map(len, words), pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words])], ["doc_id", "row", "n_words", "words_sha256"])
-
-        return step
-
-    return per_slice(rows, make, SPLIT)
-
-
 def _keys(column: pa.Array) -> list[np.ndarray]:
     return [x.values.to_numpy().view(np.uint64) for x in column]
 
@@ -260,10 +219,10 @@ def stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
     return per_slice(texts.select("text", "row", "rank", "keys"), make, PLACES, size=SLICE)
 
 
-def later(found: DataFrame) -> DataFrame:
+def later(found: DataFrame, put: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """(row, at): the places, as words of their text, whose key and fingerprint also occur at a lesser place."""
     first = found.groupBy(F.col("key").alias("__key"), F.col("print").alias("__print")).agg(F.min("place").alias("__first"), F.max("place").alias("__last")).where("__first < __last").drop("__last")
-    first = stage(first, "firsts")  # so that the join deals both sides anew and a key that many places share is split
+    first = put(first, "firsts")  # so that the join deals both sides anew and a key that many places share is split
     again = found.join(first, (F.col("key") == F.col("__key")) & (F.col("print") == F.col("__print"))).where("place > __first")
     return again.select("row", F.col("place").bitwiseAND((1 << PLACE) - 1).cast("int").alias("at"))
 
@@ -295,65 +254,176 @@ def windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
     return per_slice(texts.select("text", "row", "rank", "keys", "settled"), make, PLACES, size=SLICE)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, n_batches: int = BATCHES) -> DataFrame:
-    """For each row doc_id, n_words, n_removed, kept_sha256: without the words of windows that also start earlier.
-
-    Null and empty texts: no words. Fewer words than a window: nothing is removed. Repeated rows
-    are one document: neither is earlier. A null doc_id comes first. Other texts of one doc_id
-    come one after the other, in the order of a hash. Other columns are ignored.
-    """
-    rows = keyed(docs)
-    all_rows = stage(counted(rows), "words")
-    # a document with the words of an earlier one goes whole, and what it holds starts there already
-    first = all_rows.groupBy(F.col("words_sha256").alias("__w")).agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("__first"))
-    first = stage(first, "first-words")
-    all_rows = stage(all_rows.join(first, F.col("words_sha256") == F.col("__w")).select(
-        "doc_id", "row", "n_words", "words_sha256", ((F.coalesce("doc_id", F.lit(-(1 << 63))) > F.col("__first")) & (F.col("n_words") >= window)).alias("copy")), "words")
-
-    spark = docs.sparkSession
-    index = Index(spark)
-    for batch in batches(rows, n_batches):
-        index.add(prints(batch, window, gram))
-    again = stage(index.merged().where("n > 1").select(F.col("key").alias("__k")), "again")
-    index.close()
-    hits = prints(rows, window, gram).join(again, F.col("key") == F.col("__k")).groupBy("row").agg(F.collect_set("key").alias("keys"))
-    order = ranked(all_rows.where("not copy").select("doc_id", "row").distinct(), [], ["doc_id", "row"], "rank", "order").select(F.col("row").alias("__row"), "rank")
-    hits = stage(hits.join(order, F.col("row") == F.col("__row")).select(F.col("row").alias("__row"), "rank", "keys"), "hits")
-
-    # text goes through one shuffle, to buckets by row, in which all that follows meets it
-    few = likely(rows.select("row", "text"), "row", hits, "__row")
-    name = f"texts_{uuid.uuid4().hex}"
-    found = few.join(hits, F.col("row") == F.col("__row")).drop("__row").dropDuplicates(["row"]).select("row", "rank", "text", "keys")
-    found.write.bucketBy(index.buckets, "row").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
-    texts = spark.table(name)
-    settled = stage(later(stage(stretches(texts, window, gram), "stretches")), "settled")
-    lists = settled.groupBy(F.col("row").alias("__row")).agg(F.collect_set("at").alias("settled"))
-    open_ = texts.join(lists, F.col("row") == F.col("__row"), "left")
-    single = later(windows(open_, window, gram))
-    # a settled place stands for the windows that hold it
-    cut = settled.select("row", (F.col("at") - (window - gram)).alias("low"), F.col("at").alias("high")).unionAll(single.select("row", F.col("at").alias("low"), F.col("at").alias("high")))
-    cut = stage(cut.groupBy(F.col("row").alias("__row")).agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")), "cut")
+def cleaned(texts: DataFrame, window: int, gram: int) -> DataFrame:
+    """(__row, gone, sha, open): words removed, digest of the others, fingerprints of windows that are left, of (row, text, low, high)."""
 
     def make() -> Callable:
+        hasher = Hasher()
+
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            gone, sha = [], []
-            for t, low, high in zip(b.column(1), b.column(2), b.column(3), strict=True):
-                words = t.as_py().encode().split()
-                edge = np.zeros(len(words) + 1, np.int32)
-                np.add.at(edge, np.maximum(0, low.values.to_numpy()), 1)
-                np.add.at(edge, np.minimum(len(words), high.values.to_numpy() + window), -1)
-                keep = np.cumsum(edge[:-1]) == 0
-                gone.append(len(words) - int(keep.sum()))
-                sha.append(hashlib.sha256(b" ".join([words[i] for i in np.flatnonzero(keep)])).hexdigest())
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["__row", "gone", "sha"])
+            texts = b.column(1).to_pylist()
+            p = Prints(hasher, texts, window, gram)
+            base = np.searchsorted(p.doc, np.arange(b.num_rows + 1), "left")
+            edge, over = np.zeros(len(p.h) + 1, np.int32), np.zeros(len(p.h) + 1, np.int32)
+            for i, (low, high) in enumerate(zip(b.column(2), b.column(3), strict=True)):
+                if low.is_valid:
+                    start = base[i] + np.maximum(0, low.values.to_numpy())
+                    end = base[i] + high.values.to_numpy()
+                    np.add.at(edge, start, 1)
+                    np.add.at(edge, np.minimum(base[i + 1], end + window), -1)
+                    np.add.at(over, start, 1)
+                    np.add.at(over, np.minimum(base[i + 1], end + 1), -1)
+            keep = np.cumsum(edge[:-1]) == 0
+            left = np.flatnonzero(p.whole & (np.cumsum(over)[: len(p.whole)] == 0))
+            gone, sha, kept = [], [], []
+            for i, t in enumerate(texts):
+                words, own = t.encode().split(), np.flatnonzero(keep[base[i] : base[i + 1]])
+                gone.append(len(words) - len(own))
+                sha.append(hashlib.sha256(b" ".join([words[j] for j in own.tolist()])).hexdigest())
+                kept.append(np.unique(p.low[left[slice(*np.searchsorted(left, base[i : i + 2]))]]).view(np.int64))
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.list_(pa.int64()))], ["__row", "gone", "sha", "open"])
 
         return step
 
-    changed = per_slice(texts.select("row", "text").join(cut, F.col("row") == F.col("__row")).select("__row", "text", "low", "high"), make, "__row long, gone long, sha string")
-    out = all_rows.join(changed, F.col("row") == F.col("__row"), "left")
-    return out.select(
-        "doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),
-        F.when(F.col("copy"), F.lit(_NOTHING)).otherwise(F.coalesce("sha", "words_sha256")).alias("kept_sha256"))
+    return per_slice(texts.select("row", "text", "low", "high"), make, "__row long, gone long, sha string, open array<long>", size=SLICE)
+
+
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+
+
+class Index:
+    """Windows that documents held first, of all batches so far, in the shared folder.
+
+    Batches come in ascending order of doc_id; rows of one doc_id are in one batch.
+    """
+
+    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, buckets: int | None = None) -> None:
+        self.spark, self.window, self.gram, self.buckets = spark, window, gram, buckets or partitions(spark)
+        self.folder = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+        #: names of the runs: (key, row); folders of the ranks (row, rank) and of the texts' digests (words_sha256) of each batch
+        self.runs: list[str] = []
+        self.ranks: list[DataFrame] = []
+        self.digests: list[DataFrame] = []
+        self.documents = 0
+
+    def _table(self, df: DataFrame, by: str) -> str:
+        name = f"window_run_{uuid.uuid4().hex}"
+        df.write.bucketBy(self.buckets, by).sortBy(by).option("path", f"{self.folder}/{name}").option("compression", "zstd").saveAsTable(name)
+        return name
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+            discard(self.spark, f"{self.folder}/{name}")
+
+    def _keep(self, df: DataFrame, what: str) -> DataFrame:
+        path = f"{self.folder}/{what}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def run(self, pairs: DataFrame) -> None:
+        """(key, row) becomes a run; several are compacted to one."""
+        self.runs.append(self._table(pairs.repartition(self.buckets, "key"), "key"))
+        if len(self.runs) >= RUNS:
+            old = self.runs
+            self.runs = [self._table(reduce(DataFrame.unionAll, map(self.spark.table, old)).repartition(self.buckets, "key"), "key")]
+            self._drop(old)
+
+    def met(self, keys: DataFrame) -> DataFrame:
+        """(key, row) of the history whose key is one of keys: a merge join with each run, which is sorted already."""
+        known = keys.select(F.col("key").alias("__key"))
+        found = [self.spark.table(r).hint("merge").join(known, F.col("key") == F.col("__key")).select("key", "row") for r in self.runs]
+        return reduce(DataFrame.unionAll, found) if found else self.spark.createDataFrame([], "key long, row long")
+
+    def add(self, batch: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+        """RESULT of a new batch (doc_id, text) against itself and all batches before, whose documents `earlier` holds.
+
+        What joins put into the folder is deleted but for the runs, the ranks and the digests.
+        """
+        work, window, gram = Stages(self.spark), self.window, self.gram
+        rows = keyed(batch)
+        held = work(split(rows, window, gram), "words")
+        all_rows = held.drop("keys")
+        # a document with the words of an earlier one goes whole, and what it holds starts there already
+        order = F.coalesce("doc_id", F.lit(-(1 << 63)))
+        first = all_rows.groupBy(F.col("words_sha256").alias("__w")).agg(F.min(order).alias("__first"))
+        if self.digests:
+            before = reduce(DataFrame.unionAll, self.digests).select(F.col("words_sha256").alias("__d"), F.lit(True).alias("__old"))
+            first = first.join(before, F.col("__w") == F.col("__d"), "left").drop("__d")
+        else:
+            first = first.withColumn("__old", F.lit(None).cast("boolean"))
+        first = work(first, "first-words")
+        again = F.col("__old").isNotNull() | (order > F.col("__first"))
+        all_rows = work(all_rows.join(first, F.col("words_sha256") == F.col("__w")).select("doc_id", "row", "n_words", "words_sha256", (again & (F.col("n_words") >= window)).alias("copy")), "copies")
+        self.digests.append(self._keep(first.where("__old is null").select(F.col("__w").alias("words_sha256")), "digests"))
+        here = ranked(all_rows.where("not copy").select("doc_id", "row").distinct(), [], ["doc_id", "row"], "rank", "order", work)
+        here = here.select("row", (F.col("rank") + self.documents).alias("rank"))
+        self.ranks.append(self._keep(here, "ranks"))
+        start = self.documents
+        self.documents += self.ranks[-1].count()
+        if self.documents >= 1 << 63 - PLACE:
+            raise ValueError(f"more than {1 << 63 - PLACE} documents in one index")
+
+        # whole copies hold nothing new; the others' fingerprints are counted by key, which a passage in many documents doesn't burden
+        copies = work(all_rows.where("copy").select(F.col("row").alias("__copy")).distinct(), "copies")
+        fresh = work(lacking(held.select("row", "keys"), "row", copies, "__copy"), "prints")
+        own = fresh.select("row", F.explode("keys").alias("key"))
+        counts = work(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "keys")
+        old = work(self.met(counts), "met")
+        twice = work(counts.where("n > 1").select(F.col("key").alias("__k")).unionAll(old.select("key")).distinct(), "again")
+        hits = own.join(twice, F.col("key") == F.col("__k")).select("row", "key").unionAll(old.select("row", "key"))
+        hits = hits.groupBy(F.col("row").alias("__row")).agg(F.collect_set("key").alias("keys"))
+        ranks = reduce(DataFrame.unionAll, self.ranks)
+        hits = work(hits.join(ranks, F.col("__row") == ranks["row"]).select("__row", "rank", "keys"), "hits")
+
+        # text goes through one shuffle, to buckets by row, in which all that follows meets it
+        source = rows if earlier is None else rows.unionByName(keyed(earlier))
+        few = likely(source.select("row", "text"), "row", hits, "__row")
+        found = few.join(hits, F.col("row") == F.col("__row")).drop("__row").dropDuplicates(["row"]).select("row", "rank", "text", "keys")
+        name = self._table(found, "row")
+        texts = self.spark.table(name)
+        settled = work(later(work(stretches(texts, window, gram), "stretches"), work), "settled")
+        lists = settled.groupBy(F.col("row").alias("__row")).agg(F.collect_set("at").alias("settled"))
+        open_ = texts.join(lists, F.col("row") == F.col("__row"), "left")
+        single = later(work(windows(open_, window, gram), "windows"), work)
+        # a settled place stands for the windows that hold it
+        cut = settled.select("row", (F.col("at") - (window - gram)).alias("low"), F.col("at").alias("high")).unionAll(single.select("row", F.col("at").alias("low"), F.col("at").alias("high")))
+        cut = work(cut.groupBy(F.col("row").alias("__row")).agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")), "cut")
+        new = texts.where(F.col("rank") >= start).select("row", "text").join(cut, F.col("row") == F.col("__row"), "left")
+        changed = work(cleaned(new, window, gram), "changed")
+        out = all_rows.join(changed, F.col("row") == F.col("__row"), "left").select(
+            "doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),
+            F.when(F.col("copy"), F.lit(_NOTHING)).otherwise(F.coalesce("sha", "words_sha256")).alias("kept_sha256"))
+        out = stage(out, "cleaned")
+        untouched = lacking(fresh, "row", changed, "__row").select(F.explode(F.array_distinct("keys")).alias("key"), "row")
+        self.run(untouched.unionAll(changed.select(F.explode("open").alias("key"), F.col("__row").alias("row"))))
+        self._drop([name])
+        work.close()
+        return out
+
+    def close(self) -> None:
+        """Deletes the index."""
+        for r in self.runs:
+            self.spark.sql(f"DROP TABLE {r}")
+        discard(self.spark, self.folder)
+        self.runs, self.ranks, self.digests = [], [], []
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, n_batches: int = BATCHES) -> DataFrame:
+    """For each row doc_id, n_words, n_removed, kept_sha256: without the words of windows that also start earlier.
+
+    Null and empty texts: no words. Fewer words than a window: nothing is removed. Long texts are
+    hashed in pieces and judged whole. Repeated rows are one document: neither is earlier. A null
+    doc_id comes first. Other texts of one doc_id come one after the other, in the order of a hash.
+    Empty table: no rows. Columns besides doc_id and text, whatever their names, are ignored.
+    """
+    docs = doc_texts(docs)
+    index, out, earlier = Index(docs.sparkSession, window, gram), [], None
+    for batch in batches(docs, n_batches):
+        out.append(index.add(batch, earlier))
+        earlier = batch if earlier is None else earlier.unionAll(batch)
+    index.close()
+    return reduce(DataFrame.unionAll, out)
 
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

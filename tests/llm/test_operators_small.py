@@ -531,7 +531,7 @@ def removed(rows, window):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 2, 6])
+@pytest.mark.parametrize("batches", [1, 3])
 def test_repeated_windows_go(spark, docs, batches):
     rows = pairs(docs)
     got = Counter((r["doc_id"] if r["doc_id"] is not None else -1, r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(docs, n_batches=batches).collect())
@@ -549,10 +549,27 @@ def test_repeats_in_random_texts(spark, empty):
 
 def test_index_compacts_its_runs(spark, monkeypatch):
     monkeypatch.setattr(substring, "RUNS", 2)
-    index = substring.Index(spark, 3)
-    for keys in ([1, 1, 2], [2, 3], [3, 4, 4]):
-        index.add(spark.createDataFrame([(0, k) for k in keys], "row long, key long"))
-    assert {r["key"]: r["n"] for r in index.merged().collect()} == {1: 2, 2: 2, 3: 2, 4: 2} and len(index.runs) == 1
+    index = substring.Index(spark, buckets=3)
+    for i, keys in enumerate(([1, 2], [2, 3], [3, 4])):
+        index.run(spark.createDataFrame([(k, i) for k in keys], "key long, row long"))
+        assert len(index.runs) == 1
+    met = index.met(spark.createDataFrame([(2,), (4,), (9,)], "key long"))
+    assert sorted(map(tuple, met.collect())) == [(2, 0), (2, 1), (4, 2)]
+    index.close()
+
+
+def test_batches_one_by_one_equal_one_run(spark, monkeypatch):
+    """A kept index is brought batch after batch; runs are compacted on the way; what it holds are first windows alone."""
+    r = random.Random(13)
+    parts = [" ".join(r.choice("abc") for _ in range(r.randrange(5, 60))) for _ in range(10)]
+    rows = [(i, " ".join(r.choice(parts) for _ in range(3))) for i in range(24)]
+    rows += [(30 + i, rows[i][1]) for i in range(0, 8, 3)] + [(50, " ".join(w for _, t in rows[:3] for w in t.split()))]
+    index, got, earlier = substring.Index(spark), set(), None
+    for low, high in ((0, 9), (9, 17), (17, 32), (32, 60)):
+        batch = documents(spark, [x for x in rows if low <= x[0] < high]).select("doc_id", "text")
+        got |= {tuple(x) for x in index.add(batch, earlier).collect()}
+        earlier = batch if earlier is None else earlier.unionAll(batch)
+    assert got == set(removed(rows, 20)) and len(index.runs) == 2
     index.close()
 
 
