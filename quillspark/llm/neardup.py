@@ -25,6 +25,9 @@ from .common import doc_texts, having, lacking, per_slice, read, slices, stage
 from .components import components
 from .minhash import Words, bands, shingles, signature
 
+#: Members of a pivot that meet each other in one piece of work; more are split.
+MEMBERS = 512
+
 SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
 
 
@@ -60,7 +63,7 @@ def compared(pairs: DataFrame, docs: DataFrame, k: int, percent: int, difference
     which makes a bound on it looser, never wrong).
     """
     needed = stage(pairs.select(F.col("a").alias("__id")).unionAll(pairs.select("b")).distinct(), "needed")
-    texts = stage(having(doc_texts(docs), "doc_id", needed, "__id").dropDuplicates(["doc_id"]), "texts")
+    texts = stage(having(doc_texts(docs).where("text is not null"), "doc_id", needed, "__id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
     with_b = pairs.join(texts.withColumnsRenamed({"doc_id": "__b", "text": "text_b"}), F.col("b") == F.col("__b")).select("a", "b", "text_b")
     both = with_b.join(texts.withColumnsRenamed({"doc_id": "__a", "text": "text_a"}), F.col("a") == F.col("__a")).select("a", "b", "text_a", "text_b")
 
@@ -111,10 +114,13 @@ def remaining(star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     m = stage(m, "bounds")
     # over_x + over_y <= 2 c_x and <= 2 c_y, where c counts what isn't a member's alone
     # a member that no other member's bound reaches goes first
-    most = m.groupBy("a").agg(F.max("may").alias("__may"), F.min("over").alias("__over"))
-    fit = m.join(most.withColumnRenamed("a", "__p"), F.col("a") == F.col("__p")).where("over <= __may + 1e-6 and __over <= may + 1e-6").drop("__p", "__may", "__over")
-    x, y = (fit.select(*(F.col(c).alias(f"{s}_{c}") for c in m.columns)) for s in "xy")
-    pairs = x.join(y, (F.col("x_a") == F.col("y_a")) & (F.col("x_b") < F.col("y_b")) & (F.col("x_label") != F.col("y_label"))
+    most = m.groupBy("a").agg(F.max("may").alias("__may"), F.min("over").alias("__over"), F.count(F.lit(1)).alias("__n"))
+    fit = m.join(most.withColumnRenamed("a", "__p"), F.col("a") == F.col("__p")).where("over <= __may + 1e-6 and __over <= may + 1e-6")
+    # a pivot's members are dealt to parts of MEMBERS, and each two parts meet by themselves: no task gets all pairs of a large group
+    parts = F.ceil(F.col("__n") / MEMBERS)
+    fit = fit.withColumn("own", F.pmod(F.xxhash64("b"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("__p", "__may", "__over", "__n")
+    x, y = (fit.select(*(F.col(c).alias(f"{s}_{c}") for c in fit.columns)) for s in "xy")
+    pairs = x.join(y, (F.col("x_a") == F.col("y_a")) & (F.col("x_own") == F.col("y_other")) & (F.col("x_other") == F.col("y_own")) & (F.col("x_b") < F.col("y_b")) & (F.col("x_label") != F.col("y_label"))
                    & (F.col("x_over") <= F.col("y_may") + 1e-6) & (F.col("y_over") <= F.col("x_may") + 1e-6))
     return pairs.select(F.col("x_b").alias("a"), F.col("y_b").alias("b")).distinct()
 
@@ -122,9 +128,10 @@ def remaining(star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row: documents are linked at `percent` similarity of k-word shingle sets.
 
-    Null, empty and wordless texts: no shingles, linked with nothing. Rows that share a doc_id
-    are one document of the graph. A null doc_id: no component_id (null), kept. Ties go to the
-    least doc_id. Other columns are ignored.
+    Null, empty and wordless texts: no shingles, linked with nothing. Long texts are compared by
+    their whole sets. Rows that share a doc_id are one document of the graph; where their texts
+    differ, the least text is compared. A null doc_id: no component_id (null), kept. Ties go to the
+    least doc_id. Empty table: no rows. Columns besides doc_id and text, whatever their names, are ignored.
     """
     rows = stage(signed(docs, k), "signed")
     named = rows.where("doc_id is not null and n_shingles > 0")
