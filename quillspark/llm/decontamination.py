@@ -38,14 +38,14 @@ def words_of(text: bytes) -> list[bytes]:
 class Automaton:
     """Suffix automaton of many word sequences, with the windows that end in each state."""
 
-    def __init__(self, items: Iterable[tuple[str | None, bytes]], window: int = WINDOW) -> None:
+    def __init__(self, items: Iterable[tuple[list[str], bytes]], window: int = WINDOW) -> None:
         self.window, self.vocab = window, {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         seqs = []
-        for name, text in items:
+        for names, text in items:
             if seq := [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]:
-                seqs.append((name, seq))
+                seqs.append((names, seq))
                 last = 0
                 for t in seq:
                     last = self._extend(last, t)
@@ -53,8 +53,7 @@ class Automaton:
         #: of windows: state -> the items that hold it; of items shorter than a window: state -> (length, items)
         self.full: dict[int, set[str]] = {}
         self.short: dict[int, tuple[int, set[str]]] = {}
-        for name, seq in seqs:
-            names = set() if name is None else {name}
+        for names, seq in seqs:
             if len(seq) < window:
                 at = 0
                 for t in seq:
@@ -152,25 +151,32 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
 
 
+def _texts(benchmark: DataFrame) -> DataFrame:
+    """Each text of an item once, with the ids of its items."""
+    return _items(benchmark).groupBy("text").agg(F.collect_set("item_id").alias("ids"))
+
+
 def pass_count(benchmark: DataFrame) -> int:
-    """How many passes PASS_BYTES of items each make."""
-    total = _items(benchmark).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    """How many passes PASS_BYTES of different items each make."""
+    total = _texts(benchmark).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     return max(1, -(-total // PASS_BYTES))
 
 
 def automata(benchmark: DataFrame, passes: int, window: int = WINDOW) -> Iterable[Automaton]:
     """One automaton for each pass; only the items of one are on the driver or in a worker at once."""
-    items = _items(benchmark)
+    items = _texts(benchmark)
     for k in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k)
-        yield Automaton([(r["item_id"], bytes(r["text"])) for r in part.collect()], window)
+        yield Automaton([(r["ids"], bytes(r["text"])) for r in part.collect()], window)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", into: str = "scanned", then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, result: T.StructType | str | None = None) -> DataFrame:
     """docs with a struct `into`: n_words, spans (hit words, end exclusive), items (ids as strings, sorted).
 
-    Null text has no words. Items without words match nothing; items without an id hit words but
-    aren't listed; items that share an id count once. All columns and repeated rows are kept.
+    Null and empty texts have no words; long ones are streamed whole. Items without words match
+    nothing; items without an id hit words but aren't listed; items that share an id count once,
+    items that share a text (a tie) are all listed. All columns and repeated rows are kept, but a
+    column named as `into` gives way. Empty documents: no rows; no items: nothing is hit.
     `then` makes rows of the schema `result` of the last pass's batches, in the same workers.
     """
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != into), T.StructField(into, SCANNED)])
