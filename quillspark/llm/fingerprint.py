@@ -77,7 +77,10 @@ class Fingerprint:
         return new
 
     def likeness(self, other: Fingerprint) -> float:
-        """Estimate of shared pieces by all pieces; 1 for equal fingerprints."""
+        """Estimate of the likeness of two multisets of pieces, each piece weighed by the square of its count; 1 for equal fingerprints.
+
+        With 128 lanes it is off by 0.04 in the middle and by more than 0.15 in one case of twenty.
+        """
         if self.count == other.count and (self.sums == other.sums).all():
             return 1.0
         a, b = self.lanes.astype(float), other.lanes.astype(float)
@@ -130,8 +133,10 @@ FOUND = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, ed
 def fingerprints(docs: DataFrame) -> DataFrame:
     """For each row its fingerprint, that of its text with the last quarter replaced by the next document's start, and likenesses.
 
-    Null text: empty, like a document without pieces (likeness 0 to others, 1 to such). Next is by
-    doc_id (null first), then by CRC-32 of the text; after the last comes the first. One row: next to itself.
+    Null text: empty, like a document without pieces (likeness 0 to others, 1 to such). Long texts are
+    cut whole. Next is by doc_id (null first), ties by CRC-32 of the text; after the last comes the
+    first. One row: next to itself. Repeated rows are documents each. Empty table: no rows. Columns
+    besides doc_id and text, whatever their names, are ignored.
     Each range of doc_ids is worked through in order; its first and last documents, two rows
     for each range, are brought to the neighbouring ranges afterwards.
     """

@@ -186,7 +186,9 @@ def identify(docs: DataFrame, profiles: Profiles, keep: float | None = None) ->
 
     Nothing learned: only texts without a letter go.
     `und` and 0: null or empty texts, texts without a letter, and all texts if nothing was learned.
-    Long texts are counted whole, in pieces. Repeated rows get equal results.
+    Long texts are counted whole, in pieces. Repeated rows get equal results; of languages at one
+    distance (a tie) the first by name holds. Empty table: no rows. Columns named lang_pred or score
+    give way to the results.
     """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
     if keep is None:

@@ -99,9 +99,10 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_i
 def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A null or empty text is its end id alone. Repeated rows are packed each by itself; ties
-    between pieces of one length go by doc_id and start. Empty table: no rows. Only the count
-    of each length, `length` numbers at most, comes to the driver.
+    A null or empty text is its end id alone; a long one is cut at every `length` ids. Repeated rows
+    are packed each by itself; ties between pieces of one length go by doc_id and start. Empty table:
+    no rows. Columns besides doc_id and text, whatever their names, are ignored. Only the count of
+    each length, `length` numbers at most, comes to the driver.
     """
     spark = docs.sparkSession
     # staged, as dealing by ranges reads its input twice

@@ -2,7 +2,8 @@
 
 The patterns give the base spans. The field labels every word of the whole text; a word
 without a digit or @ has a hard factor for "no personal data", so the chain falls apart
-exactly into runs of other words, which are decoded in numpy batches by Viterbi.
+exactly into runs of other words, which are decoded in numpy batches by Viterbi. Such words
+lend no features either: what stands beside a run ("phone", "mail") isn't looked at.
 """
 
 from __future__ import annotations
@@ -321,8 +322,10 @@ FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_s
 def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """For each row: the numbers of base spans, their digest, and all spans.
 
-    Null text: empty. Rows without spans are kept, with zeros. Other columns are ignored,
-    repeated rows are judged each by itself.
+    Null and empty texts: no spans. Long texts, words and runs are read whole. Rows without spans
+    are kept, with zeros; repeated rows are judged each by itself. Where the field likes two labels
+    equally (a tie) the first in LABELS holds. Empty table: no rows. Columns besides doc_id and text,
+    whatever their names, are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field or Field())
 
@@ -352,7 +355,7 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """docs with personal data in `text` replaced by its kind; all rows and columns stay, null texts too."""
+    """docs with personal data in `text` replaced by its kind; all rows and columns stay, null and empty texts as they are. Empty table: no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(field or Field())
 
     def make() -> Callable:

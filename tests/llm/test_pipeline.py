@@ -7,6 +7,7 @@ import corpus_pipeline
 from quillspark.llm import pii
 from quillspark.llm.common import read
 
+from .fixtures import SCHEMA, documents
 from .test_operators_small import base_by_pattern, exact_ids, hits, linked_components
 
 FOLDER = "/root/testdata/sf0.001"
@@ -59,3 +60,33 @@ def test_texts_like_no_language_go(spark):
     rows = [(i, "some words of one language and more", "en") for i in range(20)] + [(90, "漢字 仮名", None), (91, "12 ..", None), (92, "and more", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r["doc_id"] for r in corpus_pipeline.known_language(spark, docs, FOLDER).collect()} == {*range(20), 92}
+
+
+def test_stages_on_awkward_documents(spark):
+    """Nulls, empty and long texts, repeated rows, clashing columns; each stage alone."""
+    docs = documents(spark).cache()
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    top = linked_components(rows, 5, 80)
+    want = {
+        "language": [r for r in rows if re.search(r"[^\W\d_]", r[1] or "")],
+        "near_duplicates": [r for r in rows if r[0] is None or top[r[0]] == r[0]],
+        "decontamination": rows,
+        "personal_data": rows,
+    }
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, docs, FOLDER)
+        assert out.columns == docs.columns
+        assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(want[name]), name
+    got = Counter()
+    for r in corpus_pipeline.packed(spark, docs, FOLDER).collect():
+        got[r["doc_id"]] += r["length"]
+    ids = Counter()
+    for (d, _), x in zip(rows, exact_ids("word_bpe_49k.json", [t for _, t in rows], 1), strict=True):
+        ids[d] += len(x)
+    assert got == ids
+
+
+def test_stages_on_an_empty_table(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    for _, step in corpus_pipeline.STAGES:
+        assert step(spark, empty, FOLDER).count() == 0
