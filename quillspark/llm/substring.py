@@ -38,9 +38,9 @@ from .minhash import mixed, rolled
 WINDOW = 20
 GRAM = 6
 #: Batches of documents that the query adds one after the other.
-BATCHES = 4
+BATCHES = 3
 #: Runs that are compacted to one.
-RUNS = 3
+RUNS = 2
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 

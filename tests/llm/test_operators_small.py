@@ -619,6 +619,7 @@ def test_index_compacts_its_runs(spark, monkeypatch):
 
 def test_batches_one_by_one_equal_one_run(spark, monkeypatch):
     """A kept index is brought batch after batch; runs are compacted on the way; what it holds are first windows alone."""
+    monkeypatch.setattr(substring, "RUNS", 3)
     r = random.Random(13)
     parts = [" ".join(r.choice("abc") for _ in range(r.randrange(5, 60))) for _ in range(10)]
     rows = [(i, " ".join(r.choice(parts) for _ in range(3))) for i in range(24)]
