@@ -35,7 +35,7 @@ ZERO, ONE, TWO = 11, 10, 11
 #: Before these ids of a block the order-0 interval is laid out anew.
 RENEW = (32, 96, 256, 512, 1024, 1536)
 #: Blocks whose order-0 interval is laid out at a time.
-LANES = 32
+LANES = 64
 _PAGE, _LOW, _32, _1 = np.uint64(1 << 32), np.uint64((1 << 32) - 1), np.uint64(32), np.uint64(1)
 _ALL, _FREQ = np.uint64(FREQ + WEIGHT), np.uint64(FREQ)
 #: Weights of order 2, 1 and 0 lie in 16 bits each of one number, from the right; what is left lies above them.
@@ -72,19 +72,24 @@ class Model:
         if look and self.slot_of is None:
             self.slot_of = np.zeros(self.n << SEEN, np.int16)
         for i in range(0, self.n, LANES):
-            zero = self.zero[i << ZERO : i + LANES << ZERO].reshape(-1, size)
-            count = (zero >> _COUNT).astype(np.int32) & (size - 1)
-            seen = count > 0
+            zero = self.zero[i << ZERO : i + LANES << ZERO]
+            at = zero.nonzero()[0]  # most slots are empty
+            e, kinds = zero[at], np.bincount(at >> ZERO, minlength=len(zero) >> ZERO)
+            ends = np.cumsum(kinds)
+            count = e >> _COUNT & size - 1
+            up_to = np.concatenate(([0], np.cumsum(count)))
             # one part for each that was seen, the rest by counts; the factor is a little less than fits
-            rate = ((1 << SEEN) - seen.sum(1)).astype(np.float32) / count.sum(1).astype(np.float32) * np.float32(0.99999)
-            part = (count * rate[:, None]).astype(np.int32) + seen
-            end = part.cumsum(1, dtype=np.int32)
-            zero &= ~_LAID
-            zero |= ((end - part).astype(np.int64) << FREQ - SEEN + 18 | part << FREQ - SEEN) * seen
+            total = np.maximum(up_to[ends] - up_to[ends - kinds], 1)
+            rate = ((1 << SEEN) - kinds).astype(np.float32) / total.astype(np.float32) * np.float32(0.99999)
+            part = (count * np.repeat(rate, kinds).astype(float)).astype(np.int64) + 1
+            up_to = np.concatenate(([0], np.cumsum(part)))
+            before = up_to[ends - kinds]
+            start = up_to[:-1] - np.repeat(before, kinds)
+            zero[at] = e & ~_LAID | start << FREQ - SEEN + 18 | part << FREQ - SEEN
             if look:
-                rest = (1 << SEEN) - end[:, -1:]
-                slots = np.broadcast_to(np.append(np.arange(size, dtype=np.int16), np.int16(0)), (len(part), size + 1))
-                self.slot_of[i << SEEN : i + LANES << SEEN] = np.repeat(slots.ravel(), np.hstack((part, rest)).ravel())
+                # behind the parts of a block, what is left of its interval
+                parts = np.insert(part, ends, (1 << SEEN) - (up_to[ends] - before))
+                self.slot_of[i << SEEN : i + LANES << SEEN] = np.repeat(np.insert((at & size - 1).astype(np.int16), ends, 0), parts)
 
     def predict(self, m: int) -> None:
         """The order-2 and order-1 predictions p2 and p1 of the first m blocks, and the weights."""
@@ -215,7 +220,7 @@ def _encode(sym: np.ndarray, counts: np.ndarray, n: int, block: int) -> tuple[np
         r >>= _ALL
         lo += r * c
         r *= f
-        due = np.flatnonzero(r < _PAGE)
+        due = (r < _PAGE).nonzero()[0]
         lo, r, to = low[due], rng[due], used[due]
         # where the interval reaches across a word's end it is cut there, so no word changes once written
         r = np.where((lo ^ lo + r - _1) < _PAGE, r, ~lo + _1 & _LOW)
@@ -339,7 +344,7 @@ def _decode(bodies: list[bytes], counts: np.ndarray, last: int, block: int) -> t
         c, f = model.interval(which, np.where(which > 1, _GUESS, np.where(which > 0, e & _LAID, places.take(s))))
         lo += r * c
         r *= f
-        due = np.flatnonzero(r < _PAGE)
+        due = (r < _PAGE).nonzero()[0]
         lo, r, to = low[due], rng[due], at[due]
         r = np.where((lo ^ lo + r - _1) < _PAGE, r, ~lo + _1 & _LOW)
         code[due] = code[due] << _32 | words.take(to, mode="clip").astype(np.uint64)
