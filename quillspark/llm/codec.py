@@ -1,8 +1,9 @@
 """A file format for token ids: an adaptive context-mixing range coder over independent blocks.
 
 A segment holds whole documents: their ids in blocks of BLOCK ids (the last may be shorter).
-Each block is coded from a fresh model into words of its own and carries a CRC-32 of its ids, so
-any block can be read without the others; the head has its own CRC-32. As blocks don't depend on
+Each block is coded from a fresh model into words of its own and carries a CRC-32 of what is
+written and of its ids (the last words have bits that no id depends on), so any block can be read
+without the others, and one damaged byte never goes unseen; the head has its own CRC-32. As blocks don't depend on
 each other, all blocks of a segment are coded, and decoded, one id each at a time in numpy.
 
 Model of a block, all of it reset where the block starts:
@@ -25,7 +26,7 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-MAGIC = b"QTI3"
+MAGIC = b"QTI4"
 #: Bits of the total of the head's frequencies, of order 0's, of the weights.
 FREQ, SEEN, WEIGHT = 17, 12, 14
 #: Different ids that the head's frequencies hold; rarer ones of a segment are written as they are.
@@ -176,7 +177,7 @@ def encode(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], block
         bodies.append(words[ends[i] - sizes[i] : ends[i]].tobytes())
         if rare:
             bodies[-1] += part[sym[i * block : (i + 1) * block] == 0].tobytes()
-        checks.append(zlib.crc32(part.tobytes()))
+        checks.append(zlib.crc32(part.tobytes(), zlib.crc32(bodies[-1])))
     known = np.array([d is not None for d in doc_ids], np.uint8)
     head = b"".join([
         np.diff(seen.astype(np.int64), prepend=0).astype("<u4").tobytes(), counts.astype("<u4").tobytes(), np.array([len(b) for b in bodies], "<u4").tobytes(), np.array(checks, "<u4").tobytes(),
@@ -278,7 +279,7 @@ class Segment:
                 ids[there] = literal
             else:
                 ids = self.seen[s].astype("<u4")
-            if zlib.crc32(ids.tobytes()) == self.checks[blocks[i]]:
+            if zlib.crc32(ids.tobytes(), zlib.crc32(bodies[lane])) == self.checks[blocks[i]]:
                 out[i] = ids
         return out
 
