@@ -16,6 +16,8 @@ from .tokens import encoder, vocabulary
 LENGTH = 2048
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
+#: Pieces of text that a worker remembers at most, and bytes of text it cuts at a time: it keeps the former from task to task.
+MEMORY, SLICE = 200_000, 2 << 20
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
 
@@ -79,7 +81,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_i
     """The ids of each document, with the end id, in pieces of `length` and a rest: a row for each piece."""
 
     def make() -> Callable:
-        enc, end = encoder(path or vocabulary(VOCABULARY), False), np.array([end_id], np.uint32).tobytes()
+        enc, end = encoder(path or vocabulary(VOCABULARY), False, MEMORY), np.array([end_id], np.uint32).tobytes()
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             ids = enc.encode(b.column(b.schema.get_field_index("text")))
@@ -93,7 +95,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_i
 
         return step
 
-    return per_slice(doc_texts(docs), make, PIECES)
+    return per_slice(doc_texts(docs), make, PIECES, size=SLICE)
 
 
 def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_id: int = END_ID) -> DataFrame:

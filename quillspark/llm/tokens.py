@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces remembered in a worker at most, in two generations: when the young one is full it becomes the old one.
+#: Pieces remembered in a worker at most, unless an encoder is given its own bound; in two generations: when the young one is full it becomes the old one.
 MEMORY = 800_000
 #: White space, a little more than the tokenizers take for it.
 _W = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -67,14 +67,14 @@ class Encoder:
     aren't remembered reach the tokenizer, those of letters alone (one pre-token) its model.
     """
 
-    def __init__(self, path: str, spaces: bool) -> None:
+    def __init__(self, path: str, spaces: bool, memory: int | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.spaces = spaces
+        self.spaces, self.memory = spaces, memory
         self.young, self.old = Ids(), Ids()
         self.letters = dict(enumerate(byte_letters()))
         self.line = self._each(["\n"])[0] if spaces else []
@@ -106,7 +106,7 @@ class Encoder:
         get = self.young.row.get
         rows = np.array([get(p, -1) for p in pieces], np.int64)
         lost = np.flatnonzero(rows < 0)
-        if len(self.young.row) + len(lost) > MEMORY // 2:
+        if len(self.young.row) + len(lost) > (self.memory or MEMORY) // 2:
             self.young, self.old = Ids(), self.young
             lost, get = np.arange(len(pieces)), self.young.row.get
         if len(lost):
@@ -155,15 +155,15 @@ class Encoder:
         return out
 
 
-_OWN: dict[tuple[str, bool], Encoder] = {}
+_OWN: dict[tuple[str, bool, int | None], Encoder] = {}
 
 
-def encoder(path: str, spaces: bool) -> Encoder:
+def encoder(path: str, spaces: bool, memory: int | None = None) -> Encoder:
     """The encoder of this process: a worker keeps what it remembers from task to task. It holds one at a time."""
-    if (path, spaces) not in _OWN:
+    if (path, spaces, memory) not in _OWN:
         _OWN.clear()
-        _OWN[path, spaces] = Encoder(path, spaces)
-    return _OWN[path, spaces]
+        _OWN[path, spaces, memory] = Encoder(path, spaces, memory)
+    return _OWN[path, spaces, memory]
 
 
 def vocabulary(name: str) -> str:
