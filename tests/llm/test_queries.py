@@ -1,4 +1,4 @@
-"""The ten queries and the pipeline as they are registered, on the smallest tables: columns, types, rows, SQL."""
+"""The queries and the pipeline as they are registered, on the smallest tables: columns, types, rows, SQL."""
 
 import zlib
 
@@ -23,6 +23,7 @@ COLUMNS = {
     "op8_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
     "op9_substring": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
     "op10_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op13_infill": "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string",
 }
 
 
