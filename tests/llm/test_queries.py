@@ -23,6 +23,7 @@ COLUMNS = {
     "op8_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
     "op9_substring": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
     "op10_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op11_prefixbpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     "op12_importance": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
     "op13_infill": "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string",
 }
