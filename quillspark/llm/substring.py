@@ -38,9 +38,9 @@ from .minhash import mixed, rolled
 WINDOW = 20
 GRAM = 6
 #: Batches of documents that the query adds one after the other.
-BATCHES = 3
-#: Runs that are compacted to one.
-RUNS = 2
+BATCHES = 4
+#: Runs of one tier that are compacted to one of the next.
+RUNS = 3
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -302,6 +302,7 @@ class Index:
         self.folder = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
         #: names of the runs: (key, row); folders of the ranks (row, rank) and of the texts' digests (words_sha256) of each batch
         self.runs: list[str] = []
+        self.tiers: list[int] = []
         self.ranks: list[DataFrame] = []
         self.digests: list[DataFrame] = []
         self.documents = 0
@@ -322,15 +323,21 @@ class Index:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def run(self, pairs: DataFrame) -> None:
-        """(key, row) becomes a run; several are compacted to one."""
-        self.runs.append(self._table(pairs.repartition(self.buckets, "key"), "key"))
-        if len(self.runs) >= RUNS:
-            old = self.runs
-            self.runs = [self._table(reduce(DataFrame.unionAll, map(self.spark.table, old)).repartition(self.buckets, "key"), "key")]
-            self._drop(old)
+        """(key, row) becomes a run of tier 0; where that makes `RUNS` of a tier, they are compacted to one of the next, and so on, all in one pass.
+
+        A run is rewritten only together with runs of its own tier, so each pair is written once for each tier that the history has, which grows with its logarithm.
+        """
+        tier, old = 0, []
+        while self.tiers[len(self.tiers) - len(old) - RUNS + 1 : len(self.tiers) - len(old)] == [tier] * (RUNS - 1):
+            old += self.runs[len(self.runs) - len(old) - RUNS + 1 : len(self.runs) - len(old)]
+            tier += 1
+        fresh = reduce(DataFrame.unionAll, map(self.spark.table, old), pairs)
+        kept = len(self.runs) - len(old)
+        self.runs, self.tiers = [*self.runs[:kept], self._table(fresh.repartition(self.buckets, "key"), "key")], [*self.tiers[:kept], tier]
+        self._drop(old)
 
     def met(self, keys: DataFrame) -> DataFrame:
-        """(key, row) of the history whose key is one of keys: a merge join with each run, which is sorted already."""
+        """(key, row) of the history whose key is one of keys: a merge join with each run. Runs are bucketed by key, so only keys are shuffled; a bucket's rows are sorted as it is read."""
         known = keys.select(F.col("key").alias("__key"))
         found = [self.spark.table(r).hint("merge").join(known, F.col("key") == F.col("__key")).select("key", "row") for r in self.runs]
         return reduce(DataFrame.unionAll, found) if found else self.spark.createDataFrame([], "key long, row long")
@@ -406,7 +413,7 @@ class Index:
         for r in self.runs:
             self.spark.sql(f"DROP TABLE {r}")
         discard(self.spark, self.folder)
-        self.runs, self.ranks, self.digests = [], [], []
+        self.runs, self.tiers, self.ranks, self.digests = [], [], [], []
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, n_batches: int = BATCHES) -> DataFrame:

@@ -606,14 +606,19 @@ def test_repeats_in_random_texts(spark, empty):
     assert substring.remove_repeats(empty).count() == 0
 
 
-def test_index_compacts_its_runs(spark, monkeypatch):
-    monkeypatch.setattr(substring, "RUNS", 2)
-    index = substring.Index(spark, buckets=3)
-    for i, keys in enumerate(([1, 2], [2, 3], [3, 4])):
+@pytest.mark.parametrize(("runs", "tiers"), [(2, [[0], [1], [1, 0], [2]]), (3, [[0], [0, 0], [1], [1, 0]])])
+def test_index_compacts_runs_of_one_tier(spark, monkeypatch, runs, tiers):
+    """A batch rewrites runs of its own tier alone; those of higher tiers stay the tables they were."""
+    monkeypatch.setattr(substring, "RUNS", runs)
+    index, before = substring.Index(spark, buckets=3), []
+    for i, keys in enumerate(([1, 2], [2, 3], [3, 4], [2, 7])):
         index.run(spark.createDataFrame([(k, i) for k in keys], "key long, row long"))
-        assert len(index.runs) == 1
+        assert index.tiers == tiers[i] and len(index.runs) == len(index.tiers)
+        kept = len(index.runs) - 1
+        assert index.runs[:kept] == before[:kept]
+        before = list(index.runs)
     met = index.met(spark.createDataFrame([(2,), (4,), (9,)], "key long"))
-    assert sorted(map(tuple, met.collect())) == [(2, 0), (2, 1), (4, 2)]
+    assert sorted(map(tuple, met.collect())) == [(2, 0), (2, 1), (2, 3), (4, 2)]
     index.close()
 
 
