@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.operators.mergeable import Moments, Quantiles, Spread, aggregated
 from quillspark.sources.tables import load, save, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,13 +40,24 @@ def scalar_function(spark, d):
 
 @query("SELECT event_type, max(value) - min(value) AS spread FROM events GROUP BY event_type")
 def aggregate_function(spark, d):
-    @F.pandas_udf("double")
-    def spread(v: pd.Series) -> float:
-        return float(v.max() - v.min())
+    """A mergeable aggregate of one's own: each task folds its rows, states are merged."""
+    return aggregated(table(spark, d, "events"), ["event_type"], "value", Spread())
 
-    # a function of one's own needs a whole group at once: least and greatest of each slice of a group go first
-    e = table(spark, d, "events").groupBy("event_type", F.pmod("event_id", F.lit(64)).alias("slice")).agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    return e.select("event_type", F.explode(F.array("low", "high")).alias("value")).groupBy("event_type").agg(spread("value").alias("spread"))
+
+@query("""SELECT event_type, n, round(mean, 5) AS mean, round(variance, 4) AS variance, round(skewness, 5) AS skewness FROM (SELECT event_type, count(value) AS n, avg(value) AS mean, var_samp(value) AS variance, skewness(value) AS skewness FROM events GROUP BY event_type)""")
+def aggregate_moments(spark, d):
+    found = aggregated(table(spark, d, "events"), ["event_type"], "value", Moments())
+    return found.select("event_type", "n", *(F.round(c, n).alias(c) for c, n in (("mean", 5), ("variance", 4), ("skewness", 5))))
+
+
+@query(None)
+def aggregate_quantiles(spark, d):
+    """Quartiles of each type by a t-digest, and the share of rows below each: how far its rank is off can be read off."""
+    e = table(spark, d, "events").select("event_type", "value")
+    found = aggregated(e, ["event_type"], "value", Quantiles((0.25, 0.5, 0.75)))
+    below = e.join(F.broadcast(found.select("event_type", "quantiles")), "event_type")  # a row for each type
+    below = below.groupBy("event_type").agg(*(F.avg((F.col("value") < F.col("quantiles")[i]).cast("double")).alias(f"below_{c}") for i, c in enumerate(("q1", "q2", "q3"))))
+    return found.select("event_type", "n", "low", "high", *(F.col("quantiles")[i].alias(c) for i, c in enumerate(("q1", "q2", "q3")))).join(below, "event_type")
 
 
 @query("SELECT doc_id, CAST(n AS INT) AS n, text[n * 100 + 1:n * 100 + 100] AS piece FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 99) // 100)) AS n FROM documents)")

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.operators.band import overlapping, within_bounds
 from quillspark.operators.temporal import as_timestamp, asof, sessions, within
 from quillspark.sources.tables import shared_dir, table
 from quillspark.streaming import windows as st
@@ -43,6 +44,21 @@ def interval_join(spark, d):
     return within(points, spans, "us", "start", "end", 1_200_000_000).select("error_id", "view_id")
 
 
+@query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON c_acctbal >= s_acctbal - 25 AND c_acctbal <= s_acctbal + 25")
+def band_join(spark, d):
+    """Customers whose balance is within 25 of a supplier's: two inequalities, by ranges of the balances."""
+    s = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") - 25).alias("low"), (F.col("s_acctbal") + 25).alias("high"))
+    return within_bounds(s, table(spark, d, "customer").select("c_custkey", "c_acctbal"), "low", "high", "c_acctbal").select("s_suppkey", "c_custkey")
+
+
+@query("""SELECT e.event_id AS error_id, p.event_id AS purchase_id FROM events e JOIN events p ON e.event_type = 'error' AND p.event_type = 'purchase' AND e.ts <= p.ts + INTERVAL 3 MINUTE AND p.ts <= e.ts + INTERVAL 10 MINUTE""")
+def overlap_join(spark, d):
+    """Ten minutes after an error and three after a purchase, where they overlap."""
+    e = table(spark, d, "events").select("event_id", "event_type", F.col("ts").alias("start"))
+    span = lambda kind, length, name: e.where(F.col("event_type") == kind).select(F.col("event_id").alias(name), "start", (F.col("start") + F.expr(f"interval {length}")).alias("end"))
+    return overlapping(span("error", "10 minutes", "error_id"), span("purchase", "3 minutes", "purchase_id"), "start", "end").select("error_id", "purchase_id")
+
+
 @query("SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS started, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def tumbling_windows(spark, d):
     w = F.window("ts", "1 hour")

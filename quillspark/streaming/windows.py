@@ -42,6 +42,24 @@ def followed(first: DataFrame, then: DataFrame, by: str, within: str, late: str
     return a.join(b, (a[by] == b["__k"]) & (b["then_ts"] >= a["first_ts"]) & (b["then_ts"] <= a["first_ts"] + F.expr(f"interval {within}"))).drop("__k")
 
 
+def followed_or_not(first: DataFrame, then: DataFrame, by: str, within: str, late: str = "10 minutes") -> DataFrame:
+    """The pairs of `followed`, and each first row that none follows, once, with a null then_ts.
+
+    Such a row comes out when the watermark of both streams, the lesser of the two, has left its
+    time behind: only then can nothing follow it any more. Null keys follow nothing.
+    """
+    a = first.withWatermark("ts", late).select(F.col(by), F.col("ts").alias("first_ts"))
+    b = then.withWatermark("ts", late).select(F.col(by).alias("__k"), F.col("ts").alias("then_ts"))
+    return a.join(b, (a[by] == b["__k"]) & (b["then_ts"] >= a["first_ts"]) & (b["then_ts"] <= a["first_ts"] + F.expr(f"interval {within}")), "left_outer").drop("__k")
+
+
+def session_windows(stream: DataFrame, by: str, gap: str, late: str = "10 minutes") -> DataFrame:
+    """by, started, ended, n: closed sessions of a key. Open ones are merged in state as rows come, in whatever order; rows behind the watermark are dropped."""
+    w = F.session_window("ts", gap)
+    rows = stream.where(F.col(by).isNotNull()).withWatermark("ts", late)
+    return rows.groupBy(by, w.alias("__w")).agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("n")).select(by, "started", "ended", "n")
+
+
 def running_totals(stream: DataFrame) -> DataFrame:
     """For each user, after each batch, events and value so far: a small state by key, in Arrow batches."""
 
