@@ -52,14 +52,14 @@ FROM (SELECT *, sum(CAST(gap IS NULL OR gap >= INTERVAL 6 HOUR AS INT)) OVER (PA
 FROM (SELECT user_id, ts, event_type, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events)) GROUP BY user_id, s, event_type)
 WHERE epoch_us(ended) + 21_600_000_000 <= (SELECT epoch_ms(max(ts)) * 1000 - 600_000_000 FROM events)""")
 def stream_visits(spark, d):
-    """Events of each kind in each visit of a user that has ended: a map of open visits in state, handed out by timers."""
+    """Events of each kind in each visit of a user that has ended: open visits in state, handed out by timers."""
     return plain_times(run(state.visits(st.events_stream(spark, d), "user_id", "event_type", "6 hours")), "started", "ended")
 
 
-@query("SELECT user_id, min(event_id) AS id FROM events GROUP BY user_id")
+@query("SELECT user_id, event_type, min(event_id) AS id FROM events GROUP BY user_id, event_type")
 def stream_fresh(spark, d):
-    """The first event of each user that hasn't been seen for a day of the clock."""
-    return run(state.fresh(st.events_stream(spark, d), "user_id", "event_id", "1 day"), False)
+    """The first event of each type of a user that hasn't been seen for a day of the clock."""
+    return run(state.fresh(st.events_stream(spark, d), "user_id", "event_type", "event_id", "1 day"), False)
 
 
 @query("""SELECT user_id, first_ts, then_ts FROM (SELECT a.user_id, a.ts AS first_ts, b.ts AS then_ts FROM (FROM events WHERE event_type = 'signup') a

@@ -7,6 +7,7 @@ meet in one task; what is kept of a key is bounded by the watermark, not by its
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -58,53 +59,82 @@ def _millis(us: int) -> int:
     return -(-us // 1000)
 
 
+class Alarm:
+    """One timer for each key, at the earliest time that something is due; each call of state costs a round trip to the JVM."""
+
+    def __init__(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.at = handle, handle.getValueState("alarm", "ms long")
+
+    def at_latest(self, us: int) -> None:
+        """The timer goes off at `us` or before."""
+        ms, set_ = _millis(us), self.at.get()
+        if set_ is not None and set_[0] <= ms:
+            return
+        if set_ is not None:
+            self.handle.deleteTimer(set_[0])
+        self.handle.registerTimer(ms)
+        self.at.update((ms,))
+
+    def gone_off(self, next_us: int | None) -> None:
+        """The timer has fired, and the next one is due at `next_us`, if at all."""
+        if next_us is None:
+            self.at.clear()
+        else:
+            self.handle.registerTimer(_millis(next_us))
+            self.at.update((_millis(next_us),))
+
+
+def _put(state, rows: list[tuple]) -> None:
+    if rows:
+        state.put(rows)
+    else:
+        state.clear()
+
+
 class Answers(StatefulProcessor):
     """For each opening row of a key the first closing row at or after it, at most `within` later, or none.
 
-    Both kinds wait in lists, as rows come in any order until the watermark has passed them. A timer at the end of an
-    opening's time settles it; one at a closing's own time forgets it, unless an open row may still want it.
+    Both kinds wait in lists, as rows come in any order until the watermark has passed them. When the alarm goes off
+    every opening whose time has passed is settled, and a closing is forgotten once it is behind the watermark and no open row is before it.
     """
 
     def __init__(self, within_us: int) -> None:
         self.within = within_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.open = handle.getListState("open", "us long, id long")
         self.closing = handle.getListState("closing", "us long")
+        self.alarm = Alarm(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        opened, closed = [], []
+        opened, closed = [], set()
         for r in rows:
             first = r["opens"].to_numpy(bool)
             opened += zip(r["us"][first].tolist(), r["id"][first].tolist(), strict=True)
-            closed += r["us"][~first].tolist()
+            closed.update(r["us"][~first].tolist())
         if opened:
             self.open.appendList(opened)
         if closed:
-            self.closing.appendList([(us,) for us in sorted(set(closed))])
-        for at in {_millis(us + self.within) for us, _ in opened} | {_millis(us) for us in closed}:
-            self.handle.registerTimer(at)
+            self.closing.appendList([(us,) for us in sorted(closed)])
+        self.alarm.at_latest(min([us + self.within for us, _ in opened] + list(closed)))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000  # the first timer settles all that is due, the others find nothing
-        open_ = list(self.open.get()) if self.open.exists() else []
-        closing = sorted({us for (us,) in self.closing.get()}) if self.closing.exists() else []
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        open_, closing = list(self.open.get()), sorted({us for (us,) in self.closing.get()})
         due = [x for x in open_ if x[0] + self.within <= now]
         left = [x for x in open_ if x[0] + self.within > now]
-        first = min((us for us, _ in left), default=now)
-        kept = [us for us in closing if us >= min(first, now)]
-        for state, held, was in ((self.open, left, open_), (self.closing, [(us,) for us in kept], closing)):
-            if len(held) == len(was):
-                continue
-            if held:
-                state.put(held)
-            else:
-                state.clear()
+        kept = closing[bisect_left(closing, min([now, *(us for us, _ in left)])) :]
+        if due:
+            _put(self.open, left)
+        if len(kept) < len(closing):
+            _put(self.closing, [(us,) for us in kept])
+        # what is behind the watermark already is kept for a row that is open, so it goes with that one
+        self.alarm.gone_off(min([us + self.within for us, _ in left] + [us for us in kept if us > now], default=None))
         if due:
-            then = [next((c for c in closing if us <= c <= us + self.within), None) for us, _ in due]
-            yield pd.DataFrame({"key": pd.Series([key[0]] * len(due), dtype="Int64"), "id": [i for _, i in due], "first_us": [us for us, _ in due], "then_us": pd.Series(then, dtype="Int64")})
+            then = [next(iter(closing[bisect_left(closing, us) :][:1]), None) for us, _ in due]
+            then = [t if t is not None and t <= us + self.within else None for t, (us, _) in zip(then, due, strict=True)]
+            yield pd.DataFrame({"key": [key[0]] * len(due), "id": [i for _, i in due], "first_us": [us for us, _ in due], "then_us": pd.Series(then, dtype="Int64")})
 
 
 def answered(stream: DataFrame, by: str, id_: str, opens: Column, closes: Column, within: str, late: str = "10 minutes") -> DataFrame:
@@ -122,31 +152,26 @@ def answered(stream: DataFrame, by: str, id_: str, opens: Column, closes: Column
 
 
 class Visits(StatefulProcessor):
-    """Runs of rows of a key with less than `gap` between neighbours, tallied by kind, in a map by the run's beginning.
+    """Runs of rows of a key with less than `gap` between neighbours, tallied by kind, in a list.
 
-    A row joins the runs it touches, so rows may come in any order. A timer at a run's end plus `gap` hands it out, all of it, and the map forgets it.
+    A row joins the runs it touches, so rows may come in any order. When the alarm goes off all runs whose end
+    is `gap` past are handed out and forgotten.
     """
 
     def __init__(self, gap_us: int) -> None:
         self.gap = gap_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.runs = handle.getMapState("runs", "start long", "end long, kinds array<string>, counts array<long>")
+        self.runs = handle.getListState("runs", "start long, end long, kinds array<string>, counts array<long>")
+        self.alarm = Alarm(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        was = {start: (end, dict(zip(kinds, counts, strict=True))) for (start,), (end, kinds, counts) in self.runs.iterator()}
-        held = [(start, end, kinds) for start, (end, kinds) in was.items()]
+        held = [(start, end, dict(zip(kinds, counts, strict=True))) for start, end, kinds, counts in self.runs.get()]
         for r in rows:
             held += [(us, us, {kind: 1}) for us, kind in zip(r["us"].tolist(), r["kind"].tolist(), strict=True)]
             held = self._merged(held)  # what is held are runs, not rows
-        now = {start: (end, kinds) for start, end, kinds in held}
-        for start in was.keys() - now.keys():
-            self.runs.removeKey((start,))
-        for start, (end, kinds) in now.items():
-            if was.get(start) != (end, kinds):
-                self.runs.updateValue((start,), (end, list(kinds), list(kinds.values())))
-                self.handle.registerTimer(_millis(end + self.gap))
+        self.runs.put([(start, end, list(kinds), list(kinds.values())) for start, end, kinds in held])
+        self.alarm.at_latest(min(end for _, end, _ in held) + self.gap)
         yield from ()
 
     def _merged(self, runs: list[tuple[int, int, dict[str, int]]]) -> list[tuple[int, int, dict[str, int]]]:
@@ -162,11 +187,16 @@ class Visits(StatefulProcessor):
         return out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000  # the first timer hands out all that is due
-        for (start,), (end, kinds, counts) in list(self.runs.iterator()) if self.runs.exists() else ():
-            if end + self.gap <= now:
-                self.runs.removeKey((start,))
-                yield pd.DataFrame({"key": [key[0]] * len(kinds), "start_us": start, "end_us": end, "kind": list(kinds), "n": list(counts)})
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        held = list(self.runs.get())
+        due, left = [r for r in held if r[1] + self.gap <= now], [r for r in held if r[1] + self.gap > now]
+        if due:
+            _put(self.runs, left)
+        # an alarm set for a run that has grown since may find nothing due
+        self.alarm.gone_off(min((end + self.gap for _, end, _, _ in left), default=None))
+        if due:
+            rows = [(key[0], start, end, kind, n) for start, end, kinds, counts in due for kind, n in zip(kinds, counts, strict=True)]
+            yield pd.DataFrame(rows, columns=["key", "start_us", "end_us", "kind", "n"])
 
 
 def visits(stream: DataFrame, by: str, kind: str, gap: str, late: str = "10 minutes") -> DataFrame:
@@ -182,27 +212,35 @@ def visits(stream: DataFrame, by: str, kind: str, gap: str, late: str = "10 minu
 
 
 class Fresh(StatefulProcessor):
-    """The first row of a key, and the next one only after `ttl_ms` without the key's value in state."""
+    """The first row of each kind of a key, and the next one only after `ttl_ms` without that kind in the key's map."""
 
     def __init__(self, ttl_ms: int) -> None:
         self.ttl = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "id long", ttlDurationMs=self.ttl)
+        self.seen = handle.getMapState("seen", "kind string", "id long", ttlDurationMs=self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        least = min(int(r["id"].min()) for r in rows)
-        if not self.seen.exists():
-            self.seen.update((least,))
-            yield pd.DataFrame({"key": [key[0]], "id": [least]})
+        least: dict[str, int] = {}
+        for r in rows:
+            for kind, i in r.groupby("kind")["id"].min().items():
+                least[kind] = min(int(i), least.get(kind, int(i)))
+        new = [(kind, i) for kind, i in least.items() if not self.seen.containsKey((kind,))]
+        for kind, i in new:
+            self.seen.updateValue((kind,), (i,))
+        if new:
+            yield pd.DataFrame({"key": [key[0]] * len(new), "kind": [kind for kind, _ in new], "id": [i for _, i in new]})
+
 
+def fresh(stream: DataFrame, by: str, kind: str, id_: str, ttl: str) -> DataFrame:
+    """by, kind, id: of each batch the least id of every kind of a key that hasn't been seen for `ttl` of the clock; what is older leaves the state by itself.
 
-def fresh(stream: DataFrame, by: str, id_: str, ttl: str) -> DataFrame:
-    """by, id: of each batch the least id of every key that hasn't been seen for `ttl` of the clock; state older than that leaves by itself. Run it without empty batches, which the clock asks for without end. Rows without a key or id are left out."""
+    Run it without empty batches, which the clock asks for without end. Rows without a key or id are left out; a null kind counts as ''.
+    """
     ms = max(1, _interval_micros(stream.sparkSession, ttl) // 1000)
-    rows = stream.where(F.col(by).isNotNull() & F.col(id_).isNotNull()).select(F.col(by).cast("long").alias("key"), F.col(id_).cast("long").alias("id"))
-    out = rows.groupBy("key").transformWithStateInPandas(Fresh(ms), "key long, id long", "append", "processingtime")
-    return out.select(F.col("key").alias(by), "id")
+    rows = stream.where(F.col(by).isNotNull() & F.col(id_).isNotNull()).select(F.col(by).cast("long").alias("key"), F.coalesce(F.col(kind).cast("string"), F.lit("")).alias("kind"), F.col(id_).cast("long").alias("id"))
+    out = rows.groupBy("key").transformWithStateInPandas(Fresh(ms), "key long, kind string, id long", "append", "processingtime")
+    return out.select(F.col("key").alias(by), F.col("kind").alias(kind), "id")
 
 
 def _interval_micros(spark: SparkSession, interval: str) -> int:

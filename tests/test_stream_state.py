@@ -86,16 +86,16 @@ def test_visits_merge_and_leave(spark, source):
 
 
 def test_state_with_an_age_leaves_by_the_clock(spark, source):
-    stream = lambda: state.fresh(source.stream(), "user_id", "event_id", "6 seconds")
-    source.put([(5, at(0), 1, "a"), (4, at(1), 1, "a"), (6, at(0), 2, "a"), (None, at(0), 2, "a")])
+    stream = lambda: state.fresh(source.stream(), "user_id", "event_type", "event_id", "6 seconds")
+    source.put([(5, at(0), 1, "a"), (4, at(1), 1, "a"), (6, at(0), 2, "a"), (None, at(0), 2, "a"), (7, at(0), 2, None)])
     began = time.time()
-    assert {tuple(x) for x in source.run(stream(), False)[0].collect()} == {(1, 4), (2, 6)}
+    assert {tuple(x) for x in source.run(stream(), False)[0].collect()} == {(1, "a", 4), (2, "a", 6), (2, "", 7)}
     source.put([(7, at(2), 1, "a"), (8, at(2), 3, "a")])
     out = {tuple(x) for x in source.run(stream(), False)[0].collect()}
-    assert (3, 8) in out and ((1, 7) not in out or time.time() - began > 6)
+    assert (3, "a", 8) in out and ((1, "a", 7) not in out or time.time() - began > 6)
     time.sleep(7)
     source.put([(9, at(3), 1, "a")])
-    assert (1, 9) in {tuple(x) for x in source.run(stream(), False)[0].collect()}
+    assert (1, "a", 9) in {tuple(x) for x in source.run(stream(), False)[0].collect()}
 
 
 def test_unmatched_rows_come_once_time_has_passed(spark, source):
