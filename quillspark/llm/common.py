@@ -142,35 +142,47 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 BITS = 24
 
 
-def _sieve(df: DataFrame, column: str, ids: DataFrame, key: str) -> DataFrame:
-    """df with __maybe: false where `column` is surely none of the ids.
+def unused(name: str, df: DataFrame) -> str:
+    """name, with underscores before it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def _sieve(df: DataFrame, column: str, ids: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """df with a column of truth values, and its name: false where `column` is surely none of the ids.
 
     The more ids the more rows may be one; the broadcast stays of one size.
     """
+    w, bits, maybe = (unused(c, df) for c in ("__word", "__bits", "__maybe"))
 
     def spot(c: str) -> tuple[Column, Column]:
         h = F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << BITS))
         return F.shiftright(h, 6), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
 
     word, bit = spot(key)
-    words = ids.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    words = ids.select(word.alias(w), bit.alias("bit")).groupBy(w).agg(F.bit_or("bit").alias(bits))
     word, bit = spot(column)
-    maybe = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
-    return df.join(F.broadcast(words), word == F.col("__word"), "left").withColumn("__maybe", maybe).drop("__word", "__bits")
+    found = F.coalesce(F.col(bits).bitwiseAND(bit) != 0, F.lit(False))
+    return df.join(F.broadcast(words), word == F.col(w), "left").withColumn(maybe, found).drop(w, bits), maybe
 
 
 def likely(df: DataFrame, column: str, ids: DataFrame, key: str) -> DataFrame:
-    """df without most of the rows whose `column` is none of the ids, and without a shuffle."""
-    return _sieve(df, column, ids, key).where("__maybe").drop("__maybe")
+    """df without most of the rows whose `column` is none of the ids, and without a shuffle. Columns may have any names."""
+    told, maybe = _sieve(df, column, ids, key)
+    return told.where(F.col(maybe)).drop(maybe)
 
 
 def having(df: DataFrame, column: str, ids: DataFrame, key: str) -> DataFrame:
     """The rows of df whose `column` is one of the ids; few others are shuffled."""
-    return likely(df, column, ids, key).join(ids.select(F.col(key).alias("__key")), F.col(column) == F.col("__key"), "left_semi")
+    own = unused("__key", df)
+    return likely(df, column, ids, key).join(ids.select(F.col(key).alias(own)), F.col(column) == F.col(own), "left_semi")
 
 
 def lacking(df: DataFrame, column: str, ids: DataFrame, key: str) -> DataFrame:
     """The rows of df whose `column` is none of the ids, null too; few of them are shuffled."""
-    told = _sieve(df, column, ids, key)
-    rest = told.where("__maybe").drop("__maybe").join(ids.select(F.col(key).alias("__key")), F.col(column) == F.col("__key"), "left_anti")
-    return told.where("not __maybe").drop("__maybe").unionAll(rest)
+    own = unused("__key", df)
+    told, maybe = _sieve(df, column, ids, key)
+    rest = told.where(F.col(maybe)).drop(maybe).join(ids.select(F.col(key).alias(own)), F.col(column) == F.col(own), "left_anti")
+    return told.where(~F.col(maybe)).drop(maybe).unionAll(rest)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_texts, per_slice, read, stage
+from .common import doc_texts, per_slice, read, stage, unused
 
 WINDOW = 10
 #: Bytes of item text in one automaton; more items are taken in several passes over the documents.
@@ -223,9 +223,10 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cover: float = 0.5) -> DataFrame:
     """docs without hit spans; a document goes if more than max_cover of its words are hit.
 
-    The columns and all other rows stay as they are; null texts stay.
+    The columns, whatever their names, and all other rows stay as they are; null texts stay. Long texts are
+    streamed whole, repeated rows treated alike; a document of exactly max_cover stays. Empty documents: no rows.
     """
-    into, columns = "__scanned", docs.columns
+    into, columns = unused("__scanned", docs), docs.columns
 
     def clean(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = b.column(b.schema.get_field_index("text")).to_pylist()

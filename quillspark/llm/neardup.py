@@ -163,7 +163,10 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component, all columns; of rows that share a doc_id all or none stay."""
+    """docs with one document of each component, all columns, whatever their names; of rows that share a doc_id all or none stay.
+
+    Null, empty and wordless texts stay, as does a null doc_id; long texts are compared whole. Empty table: no rows.
+    """
     gone = stage(link(docs, k, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     return lacking(docs, "doc_id", gone, "__gone")
 

@@ -7,7 +7,9 @@ import random
 from pyspark.sql import types as T
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ru", "te", "so") for b in ("n", "la", "ri", "p")]
-SCHEMA = T.StructType([T.StructField(*f) for f in (("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()), ("source", T.StringType()), ("score", T.StringType()), ("shard", T.StringType()), ("kept", T.StringType()), ("label", T.StringType()), ("start", T.StringType()))])
+#: Names that operators use on the way.
+CLASHING = ("__scanned", "__key", "__word", "__bits", "__maybe", "__rank", "__gone", "__in")
+SCHEMA = T.StructType([T.StructField(*f) for f in (("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()), ("source", T.StringType()), ("score", T.StringType()), ("shard", T.StringType()), ("kept", T.StringType()), ("label", T.StringType()), ("start", T.StringType()), *((c, T.StringType()) for c in CLASHING))])
 
 
 def prose(r: random.Random, n: int) -> str:
@@ -34,7 +36,7 @@ def documents(spark, rows: list[tuple[int | None, str | None]] | None = None, se
         found = texts(seed)
         rows = [(3 * i + 1, t) for i, t in enumerate(found)]
         rows += [rows[8], (None, found[6])]
-    return spark.createDataFrame([(i, t, lang, "s", "x", "y", None, "z", "q") for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, lang, "s", "x", "y", None, "z", "q", *CLASHING) for i, t in rows], SCHEMA)
 
 
 def pairs(df) -> list[tuple]:

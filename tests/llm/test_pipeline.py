@@ -7,7 +7,7 @@ import corpus_pipeline
 from quillspark.llm import pii
 from quillspark.llm.common import read
 
-from .fixtures import SCHEMA, documents
+from .fixtures import CLASHING, SCHEMA, documents
 from .test_operators_small import base_by_pattern, exact_ids, hits, linked_components
 
 FOLDER = "/root/testdata/sf0.001"
@@ -77,6 +77,7 @@ def test_stages_on_awkward_documents(spark):
         out = step(spark, docs, FOLDER)
         assert out.columns == docs.columns
         assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(want[name]), name
+        assert all(r[c] == c for r in out.collect() for c in CLASHING), name
     got = Counter()
     for r in corpus_pipeline.packed(spark, docs, FOLDER).collect():
         got[r["doc_id"]] += r["length"]
