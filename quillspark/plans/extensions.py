@@ -38,6 +38,32 @@ def scalar_function(spark, d):
     return table(spark, d, "documents").select("doc_id", letters("text").alias("n"))
 
 
+@query("SELECT c_custkey, CAST(list_aggregate(list_transform(string_split(c_name, ''), lambda c: unicode(c)), 'sum') AS BIGINT) AS code_sum FROM customer")
+def row_function(spark, d):
+    """A function called row by row, the slow path: its rows still travel in Arrow batches."""
+
+    @F.udf("long", useArrow=True)
+    def code_sum(name: str) -> int | None:
+        return None if name is None else sum(map(ord, name))
+
+    return table(spark, d, "customer").select("c_custkey", code_sum("c_name").alias("code_sum"))
+
+
+@query("""SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS length, CAST(list_position(v, list_max(v)) AS BIGINT) AS peak FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)""")
+def arrow_function(spark, d):
+    """Length and place of the greatest number of vectors, on Arrow arrays, without pandas between."""
+
+    @F.arrow_udf("length double, peak long")
+    def measured(v: pa.Array) -> pa.Array:
+        offsets, numbers = v.offsets.to_numpy(), v.values.to_numpy(zero_copy_only=False).astype(float)
+        parts = [numbers[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        length, peak = [float(np.sqrt(p @ p)) if len(p) else None for p in parts], [int(p.argmax()) + 1 if len(p) else None for p in parts]
+        return pa.StructArray.from_arrays([pa.array(length, pa.float64()), pa.array(peak, pa.int64())], ["length", "peak"])
+
+    found = table(spark, d, "embeddings").select("vec_id", measured(F.col("embedding").cast("array<double>")).alias("m"))
+    return found.select("vec_id", F.round("m.length", 6).alias("length"), "m.peak")
+
+
 @query("SELECT event_type, max(value) - min(value) AS spread FROM events GROUP BY event_type")
 def aggregate_function(spark, d):
     """A mergeable aggregate of one's own: each task folds its rows, states are merged."""

@@ -157,10 +157,14 @@ def grouping_sets(spark, d):
     return li.groupingSets([[li["l_returnflag"]], [li["l_linestatus"]], []], "l_returnflag", "l_linestatus").agg(count().alias("n"))
 
 
-@query("""SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'view') AS "view", count(*) FILTER (WHERE event_type = 'purchase') AS purchase FROM events GROUP BY user_id""")
+TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+@query("SELECT user_id, " + ", ".join(f"""count(*) FILTER (WHERE event_type = '{t}') AS "{t}\"""" for t in TYPES) + " FROM events GROUP BY user_id")
 def pivot(spark, d):
-    out = table(spark, d, "events").groupBy("user_id").pivot("event_type", ["click", "view", "purchase"]).agg(count())
-    return out.select("user_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("click", "view", "purchase")))
+    """Events of each type of a user; the types are named, so that none is looked for in the data."""
+    out = table(spark, d, "events").groupBy("user_id").pivot("event_type", list(TYPES)).agg(count())
+    return out.select("user_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in TYPES))
 
 
 @query("SELECT doc_id, kind, value FROM (SELECT doc_id, quality, toxic FROM labels) UNPIVOT (value FOR kind IN (quality, toxic))")

@@ -137,6 +137,19 @@ def test_text_of_pages(spark):
     assert [r[0] for r in df.select(html_text(F.col("html"))).collect()] == ["A & B\none two three\nfour\n1 < 2 &lt; x < y", None, "", "plain"]
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("a&#233;b &#x41;&#X1F642;&#0065;", "aéb A🙂A"), ("&#38;lt; &amp;#65; &#38;amp; &am&#112;;", "&lt; &#65; &amp; &amp;"), ("&#0; &#xD800; &#1114112; &#99999999;", "\ufffd \ufffd \ufffd \ufffd"),
+    ("x &lt;b&gt; &unknown; &lt &#; &#x;", "x <b> &unknown; &lt &#; &#x;"), ("&ldquo;&hellip;&rdquo; 3&times;4&euro;", "“…” 3×4€"), ("&#32;&#10;&nbsp;", ""), ("&amp;", "&"), ("&#39;", "'"),
+])
+def test_entities_are_read_once(spark, html, text):
+    import duckdb
+
+    from quillspark.functions.html import html_text_sql
+
+    assert spark.createDataFrame([(html,)], "html string").select(html_text(F.col("html"))).first()[0] == text
+    assert duckdb.execute(f"SELECT {html_text_sql('html')} FROM (SELECT ? AS html)", [html]).fetchone()[0] == text
+
+
 def test_sample_by_key_is_the_same_everywhere(spark):
     df = spark.range(5000).select(F.col("id").cast("string").alias("k")).unionAll(spark.createDataFrame([(None,)], "k string"))
     a, b = (sorted(r["k"] for r in sampled_by_key(df.repartition(n), "k", 10).collect()) for n in (1, 5))
