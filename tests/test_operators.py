@@ -92,9 +92,10 @@ def test_asof_of_a_hot_key_is_cut_into_slices(spark):
     left = [(1, t, t) for t in range(0, 2000, 3)] + [(None, 5, 0), (2, None, 0), (2, 700, 0), (3, 1, 0)]
     right = [(1, t, t) for t in range(40, 2000, 37)] + [(2, 1, 9), (None, 3, 3), (2, None, 4)]
     a, b = spark.createDataFrame(left, "k int, t int, v int"), spark.createDataFrame(right, "k int, t int, v int")
-    got = {(r["k"], r["t"], r["v"]): r["asof_v"] for r in asof(a, b, "k", "t", "t", ["v"], slices=8).collect()}
-    for k, t, v in left:
-        assert got[k, t, v] == max((w for q, u, w in right if None not in (k, t, u) and q == k and u <= t), default=None)
+    for hot, slices in ((100, 8), (0, 3), (0, 1), (10_000, 8)):
+        got = {(r["k"], r["t"], r["v"]): r["asof_v"] for r in asof(a, b, "k", "t", "t", ["v"], slices=slices, hot=hot).collect()}
+        for k, t, v in left:
+            assert got[k, t, v] == max((w for q, u, w in right if None not in (k, t, u) and q == k and u <= t), default=None)
     assert asof(a.limit(0), b, "k", "t", "t", ["v"]).count() == 0 and asof(a, b.limit(0), "k", "t", "t", ["v"]).where("asof_v is null").count() == len(left)
 
 
