@@ -3,7 +3,7 @@
 Paragraphs are cut into pieces of a few words at places that the text itself decides, so
 that an edit changes the pieces near it alone. Each piece is hashed to a wide vector: one
 lane that is 1, four of uniform 64-bit numbers, LANES of 1 or -1. A fingerprint is the sum
-of the vectors, modulo 2**64 and 2**16: the order of pieces is of no account, and pieces can
+of the vectors, modulo 2**64: the order of pieces is of no account, and pieces can
 be added or taken away without reading the rest.
 """
 
@@ -43,7 +43,7 @@ class Fingerprint:
     __slots__ = ("count", "lanes", "sums")
 
     def __init__(self) -> None:
-        self.count, self.sums, self.lanes = 0, np.zeros(4, np.uint64), np.zeros(LANES, np.int16)
+        self.count, self.sums, self.lanes = 0, np.zeros(4, np.uint64), np.zeros(LANES, np.int64)
 
     def copy(self) -> Fingerprint:
         new = Fingerprint()
@@ -56,15 +56,16 @@ class Fingerprint:
             part = pieces[i : i + 4096]
             h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(p) for p in part]), np.uint8)
             bits = np.unpackbits(h).reshape(len(part), LANES)
-            self.lanes += (sign * (2 * bits.sum(0, dtype=np.int64) - len(part))).astype(np.int16)
+            self.lanes += sign * (2 * bits.sum(0, dtype=np.int64) - len(part))
             wide = h.view(np.uint64).reshape(len(part), 2)
             wide = np.hstack([wide * np.uint64(0x9E3779B97F4A7C15) ^ (wide >> np.uint64(29)), wide[:, ::-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ (wide >> np.uint64(31))]).sum(0, dtype=np.uint64)
             self.sums += wide if sign > 0 else np.uint64(0) - wide
             self.count += sign * len(part)
 
     def text(self) -> str:
-        """Number of pieces, sums, lanes; lanes in one byte each where all of them fit."""
-        lanes = self.lanes.astype("<i1" if np.abs(self.lanes.astype(np.int32)).max() < 128 else "<i2")
+        """Number of pieces, sums, lanes; lanes in one, two or eight bytes each, the fewest that hold all of them."""
+        most = np.abs(self.lanes).max()
+        lanes = self.lanes.astype("<i1" if most < 1 << 7 else "<i2" if most < 1 << 15 else "<i8")
         return f"{self.count:x}.{self.sums.astype('>u8').tobytes().hex()}.{base64.b64encode(lanes.tobytes()).decode()}"
 
     @staticmethod
@@ -73,7 +74,7 @@ class Fingerprint:
         new = Fingerprint()
         new.count, new.sums = int(count, 16), np.frombuffer(bytes.fromhex(sums), ">u8").astype(np.uint64)
         raw = base64.b64decode(lanes)
-        new.lanes = np.frombuffer(raw, "<i1" if len(raw) == LANES else "<i2").astype(np.int16)
+        new.lanes = np.frombuffer(raw, f"<i{len(raw) // LANES}").astype(np.int64)
         return new
 
     def likeness(self, other: Fingerprint) -> float:

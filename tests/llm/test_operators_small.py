@@ -687,3 +687,18 @@ def test_spans_go_and_clean_documents_stay(spark):
     left = decontamination.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert left.columns == docs.columns
     assert sorted(pairs(left)) == [(1, "é start, ! and a longer end that is kept for a while with more words than hit"), (3, "clean text"), (4, None)]
+
+
+def test_likeness_of_pieces_that_repeat_very_often():
+    """Lanes go beyond 16 bits and don't come round; such fingerprints are written and read as well."""
+    line = b"the same line"
+    held = []
+    for n in (65_536, 64_000, 40_000, 65_536):
+        f = fingerprint.Fingerprint()
+        f.add([line] * n)
+        held.append(fingerprint.Fingerprint.parse(f.text()))
+    a, b, c, same = held
+    assert 0.99 < a.likeness(b) < 1
+    assert a.likeness(c) < a.likeness(b) and a.likeness(same) == 1.0 and a.text() == same.text()
+    a.add([line] * 1536, -1)
+    assert a.text() == b.text()
