@@ -308,7 +308,8 @@ class Finder:
             return False
         digits = re.sub(r"[^0-9]", "", text)
         if kind == "ip":
-            return len(digits) <= 12 and "." in text
+            parts = text.split(".")
+            return len(parts) == 4 and all(re.fullmatch("[0-9]{1,3}", p) and int(p) <= 255 for p in parts)
         return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 

@@ -128,6 +128,14 @@ def test_field_adds_what_patterns_miss():
     assert ("card", 18, 34) in found[2][1] and ("phone", 0, 17) in found[2][1]
 
 
+@pytest.mark.parametrize(("kind", "text", "sound"), [
+    ("ip", "1.2.3", False), ("ip", "1.2.3.4", True), ("ip", "1.2.3.256", False), ("ip", "1.2.3.4.5", False), ("ip", "1..3.4", False), ("ip", "10.0.0.255", True),
+    ("card", "4785380592391139", True), ("card", "4785380592391138", False), ("phone", "(212) 555-0143", True), ("phone", "555-0143", False), ("email", "a@b.c", True), ("email", "a@", False),
+])
+def test_what_the_field_adds_is_checked(kind, text, sound):
+    assert pii.Finder._sound(kind, text) == sound
+
+
 def test_find_and_redact(spark):
     rows = [(1, None), (2, ""), (3, "é mail a.b@c.de, 1.2.3.4 999.1.1.1"), (3, "é mail a.b@c.de, 1.2.3.4 999.1.1.1"), (None, "+1 (212) 555-0123!")]
     got = {(r["doc_id"], r["base_sha256"]): r for r in pii.find(documents(spark, rows)).collect()}
