@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators.mergeable import Moments, Quantiles, Spread, aggregated
+from quillspark.sources import arrow_files
 from quillspark.sources.tables import load, save, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +166,13 @@ def partitioned_sink(spark, d):
     path = _scratch(spark)
     save(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), path, by=("o_orderstatus",))
     return spark.read.parquet(path).where("o_orderstatus = 'F'")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey <= 5000")
+def source_of_own(spark, d):
+    """Orders through a data source in Python and back, with a filter that reaches it."""
+    arrow_files.use(spark)
+    path = _scratch(spark)
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    rows.repartitionByRange("o_orderkey").write.format(arrow_files.NAME).option("path", path).mode("append").save()
+    return spark.read.format(arrow_files.NAME).option("path", path).load().where("o_orderkey <= 5000")
