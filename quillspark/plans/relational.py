@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.operators.aggregates import money, salted_distinct, top_rows
+from quillspark.operators.keys import bucketed, likely
 from quillspark.operators.subsets import not_in, sampled_by_key
 from quillspark.sources.tables import register, table
 
@@ -77,6 +78,23 @@ def join_shuffled_hash(spark, d):
     return li.join(o.hint("shuffle_hash"), li["l_orderkey"] == o["o_orderkey"]).groupBy("o_orderstatus").agg(count().alias("n"), F.max("l_quantity").alias("most"))
 
 
+@query("SELECT o_orderstatus, count(*) AS n, sum(CAST(l_quantity AS BIGINT))::BIGINT AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderstatus")
+def join_bucketed(spark, d):
+    """Two tables kept in buckets of the order: their join shuffles neither."""
+    o = bucketed(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], 8)
+    li = bucketed(table(spark, d, "lineitem").select("l_orderkey", "l_quantity"), ["l_orderkey"], 8)
+    met = o.hint("merge").join(li, F.col("o_orderkey") == F.col("l_orderkey"))
+    return met.groupBy("o_orderstatus").agg(count().alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
+
+
+@query("SELECT o_orderkey, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' GROUP BY o_orderkey")
+def join_key_filter(spark, d):
+    """Lines of few orders: most other lines go before the shuffle."""
+    o = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'").select("o_orderkey")
+    li = likely(table(spark, d, "lineitem").select("l_orderkey"), "l_orderkey", o, "o_orderkey")
+    return o.hint("merge").join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(count().alias("n"))
+
+
 @query("SELECT o_orderkey, l_partkey FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey")
 def join_left(spark, d):
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")

@@ -12,7 +12,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillspark.operators import lists, order
+from quillspark.operators import keys, lists, order
 from quillspark.operators import sketches as sk
 from quillspark.operators.band import overlapping, within_bounds
 from quillspark.operators.fixpoint import reached
@@ -215,3 +215,27 @@ def test_weighted_sample_has_its_size_and_rates(spark):
     heavy = got.where("g = 'a' and w = 9").count()
     assert 110 <= heavy <= 165  # 300 draws without replacement, of 300 rows of weight 9 and 2,100 of weight 1: some 138 expected
     assert got.where("w is null or w = 0").count() == 0 and weighted_sample(df.where("id < 20"), ["g"], "w", "id", 300).count() == 16
+
+
+# joins by kept buckets, key filters
+
+
+def test_bucketed_tables_join_and_group_without_an_exchange(spark):
+    a = keys.bucketed(spark.range(500).select((F.col("id") % 90).alias("k"), "id"), ["k"], 3)
+    b = keys.bucketed(spark.createDataFrame([(i % 120 if i % 7 else None, i) for i in range(300)], "j long, v long"), ["j"], 3)
+    met = a.hint("merge").join(b, F.col("k") == F.col("j")).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"))
+    assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
+    want = Counter()
+    for i in range(500):
+        want.update(i % 90 for j in range(300) if j % 7 and j % 120 == i % 90)
+    assert {r["k"]: r["n"] for r in met.collect()} == want
+
+
+def test_likely_rows_keep_every_key(spark):
+    df = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("__key"), "id").unionAll(spark.createDataFrame([(None, -1)], "k string, id long"))
+    few = spark.createDataFrame([(f"k{i}",) for i in range(0, 20_000, 400)] + [(None,), ("other",)], "k string")
+    left = keys.likely(df, "__key", few, "k")
+    ids = {r["id"] for r in left.collect()}
+    assert left.columns == df.columns and ids >= set(range(0, 20_000, 400)) and -1 not in ids and len(ids) < 3000
+    assert keys.likely(df, "__key", few.limit(0), "k").count() == 0
+    assert keys.likely(df, "__key", df, "__key").count() == 20_000
