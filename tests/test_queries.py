@@ -1,6 +1,7 @@
 """Every query outside the llm subpackage against its SQL."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillspark.sources.tables import TABLES
@@ -39,6 +40,25 @@ def test_sketches_are_close_to_exact_counts(spark):
         assert sum(v < r["median"] for v in order) <= 0.51 * len(order) and sum(v <= r["median"] for v in order) >= 0.49 * len(order)
 
 
+@pytest.fixture(scope="module")
+def busy(spark, tmp_path_factory):
+    """Events of more users than one sketch counts exactly, on days with a gap, with nulls."""
+    folder = tmp_path_factory.mktemp("busy")
+    at = F.timestamp_seconds((F.col("id") % 5 + F.when(F.col("id") % 5 > 3, 2).otherwise(0)) * 86400)
+    e = spark.range(120_000).select(
+        F.col("id").alias("event_id"), F.when(F.col("id") % 997 > 0, at).cast("timestamp_ntz").alias("ts"), F.when(F.col("id") % 499 > 0, F.col("id") * 7919 % 50_021).alias("user_id"),
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("t"), F.col("id") % 3)).alias("event_type"), F.col("id").cast("double").alias("value"), F.lit("{}").alias("props"),
+    )
+    e.write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["sketch_retention"])
+def test_kept_sketches_count_many_users(spark, busy, name):
+    got, want = spark_rows(QUERIES[name](spark, busy)), duck_rows(SQL[name], {"events": f"{busy}/events.parquet/*.parquet"})
+    assert got == want and len(want[1]) > 2
+
+
 def test_late_rows_are_dropped(spark):
     """Without the late rows, and with them, the stream gives the same windows; in a batch query they would count."""
     rows = lambda name: spark_rows(QUERIES[name](spark, FOLDER))
