@@ -43,8 +43,10 @@ _ALL, _FREQ = np.uint64(FREQ + WEIGHT), np.uint64(FREQ)
 _FIELD, _SUMS, _DECAY = np.uint64(0xFFFF), np.uint64(0x0001_0001_0001_0001), np.uint64(0x0FFF_0FFF_0FFF)
 _HIT, _MISS = 1000, 1
 _GAIN = np.array([sum((_HIT if k == which else _MISS) << 16 * (3 - k) for k in (3, 2, 1)) for which in range(4)], np.uint64)
+_TOP, _WHOLE, _16, _4 = np.uint64(0xFFFF << 48), np.uint64(1 << WEIGHT + 48), np.uint64(16), np.uint64(4)
 #: A place in an interval: its start << 18 | its length.
 _PLACE = (1 << 18) - 1
+_START, _LENGTH = np.uint64(18), np.uint64(_PLACE)
 _GUESS = 1 << FREQ
 #: An order-0 slot: symbol + 1, count, place, in this many bits from the right.
 _COUNT, _SYMBOL = 35, 46
@@ -56,16 +58,20 @@ class Model:
 
     def __init__(self, n: int) -> None:
         self.n = n
-        self.zero, self.one, self.two = np.zeros(n << ZERO, np.int64), np.zeros(n << ONE, np.int32), np.zeros(n << TWO, np.int32)
+        # guesses of order 2 lie before those of order 1
+        self.zero, self.guess = np.zeros(n << ZERO, np.int64), np.zeros((n << ONE) + (n << TWO), np.int32)
         self.slot_of: np.ndarray | None = None
         sure = np.array([30, 1000, 2240, 3520, 4480, 5240, 6000, 6760], np.uint64)
         a2, a1 = np.repeat(sure, 8), np.tile(sure * np.uint64(3) >> np.uint64(3), 8)
         a0 = (np.uint64(1 << WEIGHT) - a2 - a1) >> np.uint64(2)
         self.weights = np.tile(a2 | a1 << np.uint64(16) | a0 << _32, n)
         lane = np.arange(n, dtype=np.int64)
-        self.b0, self.b1, self.b2, self.bw = lane << ZERO, lane << ONE, lane << TWO, lane << 6
-        self.i1, self.i2 = self.b1.copy(), self.b2.copy()
-        self.before = np.zeros(n, np.uint32)
+        self.b0, self.bw, self.base = lane << ZERO, lane << 6, np.stack((lane << TWO, (n << TWO) + (lane << ONE)))
+        self.i, self.before = self.base.copy(), np.zeros(n, np.uint32)
+
+    def narrow(self, m: int) -> None:
+        """Only the first m blocks go on."""
+        self.b0, self.bw, self.base, self.i, self.before = (x[..., :m].copy() for x in (self.b0, self.bw, self.base, self.i, self.before))
 
     def renew(self, look: bool) -> None:
         """Lays out the order-0 intervals by the counts so far; with `look`, also which slot stands at each of their parts."""
@@ -74,7 +80,7 @@ class Model:
             self.slot_of = np.zeros(self.n << SEEN, np.int16)
         for i in range(0, self.n, LANES):
             zero = self.zero[i << ZERO : i + LANES << ZERO]
-            at = zero.nonzero()[0]  # most slots are empty
+            at = (zero != 0).nonzero()[0]  # most slots are empty
             e, kinds = zero[at], np.bincount(at >> ZERO, minlength=len(zero) >> ZERO)
             ends = np.cumsum(kinds)
             count = e >> _COUNT & size - 1
@@ -92,41 +98,50 @@ class Model:
                 parts = np.insert(part, ends, (1 << SEEN) - (up_to[ends] - before))
                 self.slot_of[i << SEEN : i + LANES << SEEN] = np.repeat(np.insert((at & size - 1).astype(np.int16), ends, 0), parts)
 
-    def predict(self, m: int) -> None:
-        """The order-2 and order-1 predictions p2 and p1 of the first m blocks, and the weights."""
-        self.p2, self.p1 = self.two.take(self.i2[:m]), self.one.take(self.i1[:m])
-        self.c2, self.c1 = self.p2 & 7, self.p1 & 7
-        self.at = (self.c2 << 3) + self.c1 + self.bw[:m]
+    def predict(self) -> None:
+        """The order-2 and order-1 predictions p of the blocks, a row each, their confidences c, and the weights."""
+        self.p = self.guess.take(self.i)
+        self.c = self.p & 7
+        self.at = self.bw + (self.c[0] << 3 | self.c[1])
         self.w = self.weights.take(self.at)
         self.sums = self.w * _SUMS  # of the weights up to each, from the right
 
     def interval(self, which: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and length of a place in the part of order `which` (3: 2, 2: 1, 1: 0, 0: none)."""
-        shift = (3 - which << 4).astype(np.uint64)
-        rest = np.uint64(1 << WEIGHT) - (self.sums >> _32 & _FIELD)
-        a = (self.w | rest << np.uint64(48)) >> shift & _FIELD
-        low = (self.sums << np.uint64(16)) >> shift & _FIELD
+        shift = (3 - which << 4).view(np.uint64)
+        # what is left stands above the weights; the topmost sum is that of all weights
+        a = (self.w + (_WHOLE - (self.sums & _TOP))) >> shift & _FIELD
+        low = (self.sums << _16) >> shift & _FIELD
         place = place.view(np.uint64)
-        return (low << _FREQ) + a * (place >> np.uint64(18)), a * (place & np.uint64(_PLACE))
-
-    def learn(self, m: int, s8: np.ndarray, mixed: np.ndarray, i0: np.ndarray, e: np.ndarray, own: np.ndarray, which: np.ndarray) -> None:
-        """The symbol s8 >> 3 came; e is what its order-0 slot i0 holds, own whether that is the symbol's."""
-        self.weights[self.at] = self.w - (self.w >> np.uint64(4) & _DECAY) + _GAIN.take(which)
-        for p, c, table, i in ((self.p2, self.c2, self.two, self.i2), (self.p1, self.c1, self.one, self.i1)):
-            # right: more confidence; wrong: half of it, and without any the symbol's place is taken
-            kept = np.where(c > 1, p - (c + 1 >> 1), s8 | 1)
-            table[i[:m]] = np.where((p ^ s8) < 8, np.minimum(p + 1, s8 | 7), kept)
+        return (low << _FREQ) + a * (place >> _START), a * (place & _LENGTH)
+
+    def learn(self, s8: np.ndarray, next_: np.ndarray, mixed: np.ndarray, i0: np.ndarray, e: np.ndarray, own: np.ndarray, which: np.ndarray, hits: np.ndarray) -> None:
+        """The symbol s8 >> 3 came, next_ is one more; e is what its order-0 slot i0 holds, own whether that is the symbol's; hits tell whether orders 2 and 1 had it."""
+        self.weights[self.at] = self.w - (self.w >> _4 & _DECAY) + _GAIN.take(which)
+        # right: more confidence; wrong: half of it, and without any the symbol's place is taken
+        now = np.where(self.c > 1, self.p - (self.c + 1 >> 1), s8 | 1)
+        np.putmask(now, hits, np.minimum(self.p + 1, s8 | 7))
+        self.guess[self.i.ravel()] = now.ravel()
         new = e == 0
-        self.zero[i0] = np.where(new, s8.astype(np.int64) + 8 << _SYMBOL - 3, e) + ((own | new).astype(np.int64) << _COUNT)
-        np.add(self.b1[:m], mixed >> np.uint32(32 - ONE), out=self.i1[:m])
-        np.add(self.b2[:m], mixed * np.uint32(3) + self.before[:m] >> np.uint32(32 - TWO), out=self.i2[:m])
-        self.before[:m] = mixed * np.uint32(0x2C1B3C6D) ^ mixed >> np.uint32(7)
+        self.zero[i0] = e + ((next_ << _SYMBOL - _COUNT) * new + (own | new) << _COUNT)
+        np.add(self.base[1], mixed >> np.uint32(32 - ONE), out=self.i[1])
+        np.add(self.base[0], mixed * np.uint32(3) + self.before >> np.uint32(32 - TWO), out=self.i[0])
+        np.bitwise_xor(mixed * np.uint32(0x2C1B3C6D), mixed >> np.uint32(7), out=self.before)
 
 
 def _mixed(s8: np.ndarray) -> np.ndarray:
     return s8.view(np.uint32) * np.uint32(0x9E3779B1)
 
 
+def _turned(a: np.ndarray) -> np.ndarray:
+    """The transpose, some columns at a time: they stay in the cache."""
+    out = np.empty(a.shape[::-1], a.dtype)
+    for i in range(0, a.shape[0], 64):
+        for j in range(0, a.shape[1], 64):
+            out[j : j + 64, i : i + 64] = a[i : i + 64, j : j + 64].T
+    return out
+
+
 def frequencies(counts: np.ndarray) -> np.ndarray:
     """Counts scaled to a total of 2**FREQ, one at least each."""
     total = 1 << FREQ
@@ -169,7 +184,7 @@ def encode(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], block
         sym = to[sym]
         seen, counts = seen[most], np.concatenate(([len(ids) - counts[most].sum()], counts[most]))
     n = -(-len(ids) // block)
-    words, sizes = _encode(sym.astype(np.int32), counts, n, block)
+    words, sizes = _encode(sym.astype(np.int32, copy=False), counts, n, block)
     ids = ids.astype("<u4")
     bodies, checks, ends = [], [], np.cumsum(sizes)
     for i in range(n):
@@ -195,28 +210,37 @@ def _encode(sym: np.ndarray, counts: np.ndarray, n: int, block: int) -> tuple[np
     last = len(sym) - (n - 1) * block
     lanes = np.zeros((n, block), np.int32)
     lanes.ravel()[: len(sym)] = sym
-    lanes = np.ascontiguousarray(lanes.T)
+    lanes = _turned(lanes)
     places = _places(counts)
     model = Model(n)
+    m = n
     room = block + 8
     out, used = np.zeros(n * room, np.uint32), np.arange(n, dtype=np.int64) * room
     low, rng = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
     for t in range(block):
-        m = n if t < last else n - 1
+        if t == last:
+            m = n - 1
+            model.narrow(m)
         if not m:
             break
         if t in RENEW:
             model.renew(False)
         s = lanes[t, :m]
-        s8 = s << 3
-        model.predict(m)
+        s8, next_ = s << 3, s.astype(np.int64) + 1
+        model.predict()
         mixed = _mixed(s8)
-        i0 = model.b0[:m] + (mixed >> np.uint32(32 - ZERO))
+        i0 = model.b0 + (mixed >> np.uint32(32 - ZERO))
         e = model.zero.take(i0)
-        own, laid = e >> _SYMBOL == s + 1, e & _LAID
-        guessed = np.maximum(((model.p2 ^ s8) < 8).view(np.int8) * np.int8(3), ((model.p1 ^ s8) < 8).view(np.int8) * np.int8(2))
-        which = np.maximum(guessed, (own & (laid > 0)).view(np.int8)).astype(np.int64)
-        c, f = model.interval(which, np.where(guessed > 0, _GUESS, np.where(which > 0, laid, places.take(s))))
+        own, laid = e >> _SYMBOL == next_, e & _LAID
+        hits = (model.p ^ s8) < 8
+        of2, of1 = hits.view(np.int8)
+        guessed = np.maximum(of2 << 1 | of2, of1 << 1)
+        known = own & (laid > 0)
+        which = np.maximum(guessed, known.view(np.int8)).astype(np.int64)
+        place = places.take(s)
+        np.putmask(place, known, laid)
+        np.putmask(place, hits[0] | hits[1], _GUESS)
+        c, f = model.interval(which, place)
         lo, r = low[:m], rng[:m]
         r >>= _ALL
         lo += r * c
@@ -228,7 +252,7 @@ def _encode(sym: np.ndarray, counts: np.ndarray, n: int, block: int) -> tuple[np
         out[to] = lo >> _32
         used[due] = to + 1
         low[due], rng[due] = lo << _32, r << _32
-        model.learn(m, s8, mixed, i0, e, own, which)
+        model.learn(s8, next_, mixed, i0, e, own, which, hits)
     for by in (32, 0):
         out[used] = (low >> np.uint64(by) & _LOW).astype(np.uint32)
         used += 1
@@ -305,44 +329,51 @@ def _decode(bodies: list[bytes], counts: np.ndarray, last: int, block: int) -> t
     code = words[at].astype(np.uint64) << _32 | words[at + 1].astype(np.uint64)
     at += 2
     model = Model(n)
-    lanes = np.zeros((block, n), np.int32)
+    lanes, m = np.zeros((block, n), np.int32), n
     low, rng = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
     seen = np.zeros(n << SEEN, np.int16)
     part0 = np.arange(n, dtype=np.int64) << SEEN
     top = np.int64(1 << SEEN) - 1
     for t in range(block):
-        m = n if t < last else n - 1
+        if t == last:
+            m = n - 1
+            model.narrow(m)
         if not m:
             break
         if t in RENEW:
             model.renew(True)
             seen = model.slot_of
-        model.predict(m)
+        model.predict()
         lo, r = low[:m], rng[:m]
         r >>= _ALL
         v = (code[:m] - lo) // r
         sums = model.sums
-        a2, a21 = (sums & _FIELD) << _FREQ, (sums >> np.uint64(16) & _FIELD) << _FREQ
-        a0, all_ = model.w >> _32, (sums >> _32 & _FIELD)
+        a2, a21 = (sums & _FIELD) << _FREQ, (sums >> _16 & _FIELD) << _FREQ
+        all_ = sums >> _32 & _FIELD
         edge = all_ << _FREQ
         which = (v < edge).view(np.int8) + (v < a21).view(np.int8) + (v < a2).view(np.int8)
+        s = np.where(which == 3, *model.p) >> 3
         # a quotient of such numbers that isn't whole is further from a whole one than a double's error
-        rest = ((v - np.minimum(edge, v)).astype(float) / (np.uint64(1 << WEIGHT) - all_).astype(float)).astype(np.int64)
-        s = symbol.take(rest, mode="clip")
-        one = np.flatnonzero(which == 1)
+        none = (which == 0).nonzero()[0]
+        if len(none):
+            rest = (v[none] - edge[none]).astype(float) / (np.uint64(1 << WEIGHT) - all_[none]).astype(float)
+            s[none] = symbol.take(rest.astype(np.int64), mode="clip")
+        one = (which == 1).nonzero()[0]
         if len(one):
-            part = ((v[one] - a21[one]) // (a0[one] << np.uint64(FREQ - SEEN))).astype(np.int64)
-            slot = model.b0[one] + seen.take(part0[one] + np.minimum(part, top))
+            part = (v[one] - a21[one]).astype(float) / ((model.w[one] >> _32) << np.uint64(FREQ - SEEN)).astype(float)
+            slot = model.b0[one] + seen.take(part0[one] + np.minimum(part.astype(np.int64), top))
             s[one] = (model.zero.take(slot) >> _SYMBOL) - 1
-        s = np.where(which == 3, model.p2 >> 3, np.where(which == 2, model.p1 >> 3, s))
         np.maximum(s, 0, out=s)
         lanes[t, :m] = s
-        s8 = s << 3
+        s8, next_ = s << 3, s.astype(np.int64) + 1
         mixed = _mixed(s8)
-        i0 = model.b0[:m] + (mixed >> np.uint32(32 - ZERO))
+        i0 = model.b0 + (mixed >> np.uint32(32 - ZERO))
         e = model.zero.take(i0)
+        place = places.take(s)
+        np.putmask(place, which == 1, e & _LAID)
+        np.putmask(place, which > 1, _GUESS)
         which = which.astype(np.int64)
-        c, f = model.interval(which, np.where(which > 1, _GUESS, np.where(which > 0, e & _LAID, places.take(s))))
+        c, f = model.interval(which, place)
         lo += r * c
         r *= f
         due = (r < _PAGE).nonzero()[0]
@@ -352,5 +383,5 @@ def _decode(bodies: list[bytes], counts: np.ndarray, last: int, block: int) -> t
         at[due] = to + 1
         low[due], rng[due] = lo << _32, r << _32
         rng[rng == 0] = _PAGE  # a damaged block: it goes on and fails its check
-        model.learn(m, s8, mixed, i0, e, e >> _SYMBOL == s + 1, which)
-    return np.ascontiguousarray(lanes.T), at - start
+        model.learn(s8, next_, mixed, i0, e, e >> _SYMBOL == next_, which, (model.p ^ s8) < 8)
+    return _turned(lanes), at - start

@@ -19,7 +19,7 @@ from .tokens import encoder, vocabulary
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 #: A segment is closed by the document that brings it to so many ids.
-SEGMENT = 2048 * BLOCK
+SEGMENT = 4096 * BLOCK
 
 WRITTEN = "part int, place int, before long, n_ids long, path string"
 

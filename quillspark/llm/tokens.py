@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,10 @@ _ODD = rf"\x00|^{_W}|{_W}{_W}|{_W}\z"
 _LONE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: A letter that is one in lower case too, then a mark that belongs to another pre-token; an apostrophe may not.
 _MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])"
+#: The same by bytes: 1 a space or line end, 2 a mark, 3 an ASCII letter, 4 the first byte of the other letters, 5 their second.
+_KINDS = bytes(
+    1 if b in (10, 32) else 3 if chr(b).isalpha() and b < 128 else 4 if b == 0xC3 else 5 if 0x80 <= b < 0xC0 and b not in (0x97, 0xB7) else 2 if re.match(r"[!-&(-/:-@\[-`{-~]", chr(b)) else 0 for b in range(256)
+)
 #: Letters that stay as they are when a text is brought to its normal form.
 _PLAIN = re.compile("[a-zà-öø-ÿ]+")
 
@@ -30,6 +35,21 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def cut_texts(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """Texts, none of them empty, cut before each space and line end and between a letter and a mark: pieces, which share the texts' bytes, and the offsets of each text's."""
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    first = int(ends[0])
+    kind = np.frombuffer(np.frombuffer(data, np.uint8)[first : ends[-1]].tobytes().translate(_KINDS), np.uint8)
+    letter = kind == 3
+    letter[1:] |= (kind[1:] == 5) & (kind[:-1] == 4)
+    cut = kind == 1
+    cut[1:] |= (kind[1:] == 2) & letter[:-1]
+    cut[ends[:-1] - first] = True
+    at = np.append(np.flatnonzero(cut).astype(np.int32) + np.int32(first), ends[-1:])
+    return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), data), np.searchsorted(at, ends)
+
+
 class Ids:
     """Ids of pieces: the row of a piece gives where its ids start in `flat`, and how many there are."""
 
@@ -76,62 +96,63 @@ class Encoder:
         self.model = self.tokenizer.model
         self.spaces, self.memory = spaces, memory
         self.young, self.old = Ids(), Ids()
-        self.letters = dict(enumerate(byte_letters()))
+        self.letters = np.array([ord(c) for c in byte_letters()], "<u2")  # of each byte
         self.line = self._each(["\n"])[0] if spaces else []
 
     def _each(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        got: list[list[int]] = [[]] * len(pieces)
-        rest, tokenize, letters = [], self.model.tokenize, self.letters
+        plain, lined, rest = [], [], []
         for i, p in enumerate(pieces):
             if self.spaces:
-                plain = p[0] in " \n" and p[1:].isalpha()
-                word = p[p[:1] == "\n" :]
-            else:
-                plain, word = _PLAIN.fullmatch(p) is not None, p
-            if plain:
-                ids = [t.id for t in tokenize(word.encode().decode("latin-1").translate(letters))]
-                got[i] = ids if word is p else self.line + ids
+                (rest if p[0] not in " \n" or not p[1:].isalpha() else lined if p[0] == "\n" else plain).append(i)
             else:
-                rest.append(i)
-        for i, ids in zip(rest, self._each([pieces[i] for i in rest]), strict=True):
-            got[i] = ids
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        self.young.add(pieces, np.fromiter((t for ids in got for t in ids), np.uint32, int(sizes.sum())), sizes)
+                (rest if _PLAIN.fullmatch(p) is None else plain).append(i)
+        words = "\n".join(chain((pieces[i] for i in plain), (pieces[i][1:] for i in lined))).encode()
+        words = self.letters[np.frombuffer(words, np.uint8)].tobytes().decode("utf-16-le").split(chr(self.letters[10]))
+        # one flat list: a list for each piece would keep the garbage collector busy
+        tokenize, ids, ends = self.model.tokenize, [], [0]
+        for word in words[: len(plain)]:
+            ids += [t.id for t in tokenize(word)]
+            ends.append(len(ids))
+        for word in words[len(plain) :] if lined else ():
+            ids += self.line
+            ids += [t.id for t in tokenize(word)]
+            ends.append(len(ids))
+        for more in self._each([pieces[i] for i in rest]):
+            ids += more
+            ends.append(len(ids))
+        self.young.add([pieces[i] for i in plain + lined + rest], np.array(ids, np.uint32), np.diff(ends))
 
     def _rows(self, pieces: list[str]) -> np.ndarray:
         """The rows of distinct pieces in the young generation."""
-        get = self.young.row.get
-        rows = np.array([get(p, -1) for p in pieces], np.int64)
+        rows = np.fromiter(map(self.young.row.get, pieces, repeat(-1)), np.int64, len(pieces))
         lost = np.flatnonzero(rows < 0)
         if len(self.young.row) + len(lost) > (self.memory or MEMORY) // 2:
             self.young, self.old = Ids(), self.young
-            lost, get = np.arange(len(pieces)), self.young.row.get
+            lost = np.arange(len(pieces))
         if len(lost):
-            was = self.old.row.get
-            known, new = [], []
-            for i in lost.tolist():
-                (new if was(pieces[i]) is None else known).append(pieces[i])
-            if known:
-                self.young.add(known, *self.old.of(np.array([was(p) for p in known], np.int64)))
-            self._learn(new)
-            get = self.young.row.get
-            rows[lost] = [get(pieces[i]) for i in lost.tolist()]
+            missed = [pieces[i] for i in lost.tolist()]
+            was = np.fromiter(map(self.old.row.get, missed, repeat(-1)), np.int64, len(missed))
+            known = np.flatnonzero(was >= 0)
+            if len(known):
+                self.young.add([missed[i] for i in known.tolist()], *self.old.of(was[known]))
+            self._learn([missed[i] for i in np.flatnonzero(was < 0).tolist()])
+            rows[lost] = np.fromiter(map(self.young.row.get, missed), np.int64, len(missed))
         return rows
 
     def _of_pieces(self, pieces: pa.Array, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of texts whose pieces lie between offsets."""
         told = pieces.dictionary_encode()
-        rows = self._rows(told.dictionary.to_pylist())
+        rows = self._rows(told.dictionary.to_numpy(zero_copy_only=False).tolist())
         ids, sizes = self.young.of(rows[told.indices.to_numpy()] if len(pieces) else np.zeros(0, np.int64))
         ends = np.concatenate(([0], np.cumsum(sizes)))[offsets]
         return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         """The ids of each text; a null text is empty."""
-        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        texts = pc.fill_null(texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if not len(texts):
             return []
         if not self.spaces:
@@ -143,9 +164,7 @@ class Encoder:
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         even = np.flatnonzero(~odd)
         if len(even):
-            marked = pc.replace_substring(pc.replace_substring(texts.take(pa.array(even)), " ", "\0 "), "\n", "\0\n")
-            cut = pc.split_pattern(pc.replace_substring_regex(marked, _MARK, "\\1\0\\2"), "\0")
-            for i, ids in zip(even.tolist(), self._of_pieces(pc.list_flatten(cut), cut.offsets.to_numpy() - cut.offsets[0].as_py()), strict=True):
+            for i, ids in zip(even.tolist(), self._of_pieces(*cut_texts(texts if len(even) == len(texts) else texts.take(pa.array(even)))), strict=True):
                 out[i] = ids
         rest = [(i, _LONE.split(texts[i].as_py())) for i in np.flatnonzero(odd).tolist()]
         rest = [(i, p) for i, p in rest if p != [""]]

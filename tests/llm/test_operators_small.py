@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillspark.llm import codec, components, decontamination, fingerprint, language, neardup, packing, pii, sharding, substring, tokenfile, tokens, toxicity
@@ -383,6 +384,26 @@ def test_frequencies_fill_their_total():
         assert f.sum() == 1 << codec.FREQ and f.min() >= 1
 
 
+def test_files_stay_the_same():
+    """Bytes of the format, as the first version of these blocks wrote them; the last block is shorter."""
+    r = np.random.RandomState(7)
+    ids = np.minimum(r.geometric(0.01, 5 * codec.BLOCK + 77), 5000).astype("<u4")
+    data = codec.encode(ids, [3, None], [2000, len(ids) - 2000])
+    assert hashlib.md5(data).hexdigest() == "40bd9859f4a22d17476d68fae41388fb"
+    assert (codec.decode(data)[0] == ids).all()
+
+
+def test_pieces_share_the_bytes_of_their_texts():
+    """Texts are cut where a regular expression cuts them, without a copy."""
+    r = random.Random(4)
+    some = ["a" + "".join(r.choice("abÉé×÷ß中😀 \n.,'!-_9Ā") for _ in range(r.randrange(30))) for _ in range(500)]
+    whole = pa.array(some).slice(13)
+    pieces, offsets = tokens.cut_texts(whole)
+    want = [[x for x in re.split("\0", re.sub(tokens._MARK, "\\1\0\\2", re.sub("([ \n])", "\0\\1", t)))] for t in some[13:]]
+    assert pieces.to_pylist() == [x for t in want for x in t] and np.diff(offsets).tolist() == [len(t) for t in want]
+    assert pieces.buffers()[2].address == whole.buffers()[2].address
+
+
 def test_token_file_in_order(spark, docs, empty, monkeypatch):
     rows = in_order(pairs(docs))
     at, want = 0, []
