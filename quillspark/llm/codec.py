@@ -37,20 +37,31 @@ ZERO, ONE, TWO = 11, 10, 11
 RENEW = (32, 96, 256, 512, 1024, 1536)
 #: Blocks whose order-0 interval is laid out at a time.
 LANES = 64
-_PAGE, _LOW, _32, _1 = np.uint64(1 << 32), np.uint64((1 << 32) - 1), np.uint64(32), np.uint64(1)
-_ALL, _FREQ = np.uint64(FREQ + WEIGHT), np.uint64(FREQ)
+
+
+def _fixed(*values: int, kind: type = np.uint64) -> list[np.ndarray]:
+    """Numbers as arrays without dimensions: numpy would turn them into such in every step."""
+    return [np.array(v, kind) for v in values]
+
+
+_PAGE, _LOW, _32, _16, _4, _1 = _fixed(1 << 32, (1 << 32) - 1, 32, 16, 4, 1)
+_ALL, _FREQ = _fixed(FREQ + WEIGHT, FREQ)
 #: Weights of order 2, 1 and 0 lie in 16 bits each of one number, from the right; what is left lies above them.
-_FIELD, _SUMS, _DECAY = np.uint64(0xFFFF), np.uint64(0x0001_0001_0001_0001), np.uint64(0x0FFF_0FFF_0FFF)
+_FIELD, _SUMS, _DECAY = _fixed(0xFFFF, 0x0001_0001_0001_0001, 0x0FFF_0FFF_0FFF)
 _HIT, _MISS = 1000, 1
 _GAIN = np.array([sum((_HIT if k == which else _MISS) << 16 * (3 - k) for k in (3, 2, 1)) for which in range(4)], np.uint64)
-_TOP, _WHOLE, _16, _4 = np.uint64(0xFFFF << 48), np.uint64(1 << WEIGHT + 48), np.uint64(16), np.uint64(4)
+_TOP, _WHOLE, _TOTAL = _fixed(0xFFFF << 48, 1 << WEIGHT + 48, 1 << WEIGHT)
 #: A place in an interval: its start << 18 | its length.
 _PLACE = (1 << 18) - 1
-_START, _LENGTH = np.uint64(18), np.uint64(_PLACE)
+_START, _LENGTH = _fixed(18, _PLACE)
 _GUESS = 1 << FREQ
 #: An order-0 slot: symbol + 1, count, place, in this many bits from the right.
 _COUNT, _SYMBOL = 35, 46
 _LAID = (1 << _COUNT) - 1
+#: Numbers of the steps, for symbols and confidences, for slots and orders, for hashes.
+_N1, _N3, _N7, _N8 = _fixed(1, 3, 7, 8, kind=np.int32)
+_L0, _L1, _L3, _L4, _LS, _LC, _LK, _LL = _fixed(0, 1, 3, 4, _SYMBOL, _COUNT, _SYMBOL - _COUNT, _LAID, kind=np.int64)
+_H0, _H1, _H2, _H3, _H7, _HA, _HB = _fixed(32 - ZERO, 32 - ONE, 32 - TWO, 3, 7, 0x9E3779B1, 0x2C1B3C6D, kind=np.uint32)
 
 
 class Model:
@@ -101,14 +112,14 @@ class Model:
     def predict(self) -> None:
         """The order-2 and order-1 predictions p of the blocks, a row each, their confidences c, and the weights."""
         self.p = self.guess.take(self.i)
-        self.c = self.p & 7
-        self.at = self.bw + (self.c[0] << 3 | self.c[1])
+        self.c = self.p & _N7
+        self.at = self.bw + (self.c[0] << _N3 | self.c[1])
         self.w = self.weights.take(self.at)
         self.sums = self.w * _SUMS  # of the weights up to each, from the right
 
     def interval(self, which: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and length of a place in the part of order `which` (3: 2, 2: 1, 1: 0, 0: none)."""
-        shift = (3 - which << 4).view(np.uint64)
+        shift = (_L3 - which << _L4).view(np.uint64)
         # what is left stands above the weights; the topmost sum is that of all weights
         a = (self.w + (_WHOLE - (self.sums & _TOP))) >> shift & _FIELD
         low = (self.sums << _16) >> shift & _FIELD
@@ -119,18 +130,20 @@ class Model:
         """The symbol s8 >> 3 came, next_ is one more; e is what its order-0 slot i0 holds, own whether that is the symbol's; hits tell whether orders 2 and 1 had it."""
         self.weights[self.at] = self.w - (self.w >> _4 & _DECAY) + _GAIN.take(which)
         # right: more confidence; wrong: half of it, and without any the symbol's place is taken
-        now = np.where(self.c > 1, self.p - (self.c + 1 >> 1), s8 | 1)
-        np.putmask(now, hits, np.minimum(self.p + 1, s8 | 7))
+        now = np.where(self.c > _N1, self.p - (self.c + _N1 >> _N1), s8 | _N1)
+        np.putmask(now, hits, np.minimum(self.p + _N1, s8 | _N7))
         self.guess[self.i.ravel()] = now.ravel()
-        new = e == 0
-        self.zero[i0] = e + ((next_ << _SYMBOL - _COUNT) * new + (own | new) << _COUNT)
-        np.add(self.base[1], mixed >> np.uint32(32 - ONE), out=self.i[1])
-        np.add(self.base[0], mixed * np.uint32(3) + self.before >> np.uint32(32 - TWO), out=self.i[0])
-        np.bitwise_xor(mixed * np.uint32(0x2C1B3C6D), mixed >> np.uint32(7), out=self.before)
+        new = e == _L0
+        now = e + (own.astype(np.int64) << _LC)
+        np.putmask(now, new, (next_ << _LK) + _L1 << _LC)
+        self.zero[i0] = now
+        np.add(self.base[1], mixed >> _H1, out=self.i[1])
+        np.add(self.base[0], mixed * _H3 + self.before >> _H2, out=self.i[0])
+        np.bitwise_xor(mixed * _HB, mixed >> _H7, out=self.before)
 
 
 def _mixed(s8: np.ndarray) -> np.ndarray:
-    return s8.view(np.uint32) * np.uint32(0x9E3779B1)
+    return s8.view(np.uint32) * _HA
 
 
 def _turned(a: np.ndarray) -> np.ndarray:
@@ -226,16 +239,16 @@ def _encode(sym: np.ndarray, counts: np.ndarray, n: int, block: int) -> tuple[np
         if t in RENEW:
             model.renew(False)
         s = lanes[t, :m]
-        s8, next_ = s << 3, s.astype(np.int64) + 1
+        s8, next_ = s << _N3, s.astype(np.int64) + _L1
         model.predict()
         mixed = _mixed(s8)
-        i0 = model.b0 + (mixed >> np.uint32(32 - ZERO))
+        i0 = model.b0 + (mixed >> _H0)
         e = model.zero.take(i0)
-        own, laid = e >> _SYMBOL == next_, e & _LAID
-        hits = (model.p ^ s8) < 8
+        own, laid = e >> _LS == next_, e & _LL
+        hits = (model.p ^ s8) < _N8
         of2, of1 = hits.view(np.int8)
         guessed = np.maximum(of2 << 1 | of2, of1 << 1)
-        known = own & (laid > 0)
+        known = own & (laid > _L0)
         which = np.maximum(guessed, known.view(np.int8)).astype(np.int64)
         place = places.take(s)
         np.putmask(place, known, laid)
@@ -249,7 +262,7 @@ def _encode(sym: np.ndarray, counts: np.ndarray, n: int, block: int) -> tuple[np
         lo, r, to = low[due], rng[due], used[due]
         # where the interval reaches across a word's end it is cut there, so no word changes once written
         r = np.where((lo ^ lo + r - _1) < _PAGE, r, ~lo + _1 & _LOW)
-        out[to] = lo >> _32
+        out[to] = (lo >> _32).astype(np.uint32)
         used[due] = to + 1
         low[due], rng[due] = lo << _32, r << _32
         model.learn(s8, next_, mixed, i0, e, own, which, hits)
@@ -352,11 +365,11 @@ def _decode(bodies: list[bytes], counts: np.ndarray, last: int, block: int) -> t
         all_ = sums >> _32 & _FIELD
         edge = all_ << _FREQ
         which = (v < edge).view(np.int8) + (v < a21).view(np.int8) + (v < a2).view(np.int8)
-        s = np.where(which == 3, *model.p) >> 3
+        s = np.where(which == 3, *model.p) >> _N3
         # a quotient of such numbers that isn't whole is further from a whole one than a double's error
         none = (which == 0).nonzero()[0]
         if len(none):
-            rest = (v[none] - edge[none]).astype(float) / (np.uint64(1 << WEIGHT) - all_[none]).astype(float)
+            rest = (v[none] - edge[none]).astype(float) / (_TOTAL - all_[none]).astype(float)
             s[none] = symbol.take(rest.astype(np.int64), mode="clip")
         one = (which == 1).nonzero()[0]
         if len(one):
@@ -365,12 +378,12 @@ def _decode(bodies: list[bytes], counts: np.ndarray, last: int, block: int) -> t
             s[one] = (model.zero.take(slot) >> _SYMBOL) - 1
         np.maximum(s, 0, out=s)
         lanes[t, :m] = s
-        s8, next_ = s << 3, s.astype(np.int64) + 1
+        s8, next_ = s << _N3, s.astype(np.int64) + _L1
         mixed = _mixed(s8)
-        i0 = model.b0 + (mixed >> np.uint32(32 - ZERO))
+        i0 = model.b0 + (mixed >> _H0)
         e = model.zero.take(i0)
         place = places.take(s)
-        np.putmask(place, which == 1, e & _LAID)
+        np.putmask(place, which == 1, e & _LL)
         np.putmask(place, which > 1, _GUESS)
         which = which.astype(np.int64)
         c, f = model.interval(which, place)
@@ -383,5 +396,5 @@ def _decode(bodies: list[bytes], counts: np.ndarray, last: int, block: int) -> t
         at[due] = to + 1
         low[due], rng[due] = lo << _32, r << _32
         rng[rng == 0] = _PAGE  # a damaged block: it goes on and fails its check
-        model.learn(s8, next_, mixed, i0, e, e >> _SYMBOL == next_, which, (model.p ^ s8) < 8)
+        model.learn(s8, next_, mixed, i0, e, e >> _LS == next_, which, (model.p ^ s8) < _N8)
     return _turned(lanes), at - start
