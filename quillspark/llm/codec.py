@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import pairwise
 
 import numpy as np
 
@@ -31,12 +32,12 @@ MAGIC = b"QTI4"
 FREQ, SEEN, WEIGHT = 17, 12, 14
 #: Different ids that the head's frequencies hold; rarer ones of a segment are written as they are.
 KINDS = 60_000
-#: Slots of the order-0, order-1 and order-2 predictions of a block, as powers of two.
-ZERO, ONE, TWO = 11, 10, 11
+#: Slots of the order-0, order-1 and order-2 predictions of a block, and its ids at most, as powers of two.
+ZERO, ONE, TWO, IDS = 11, 10, 11, 11
 #: Before these ids of a block the order-0 interval is laid out anew.
 RENEW = (32, 96, 256, 512, 1024, 1536)
-#: Blocks whose order-0 interval is laid out at a time.
-LANES = 64
+#: Blocks whose slots are sorted at a time.
+LANES = 128
 
 
 def _fixed(*values: int, kind: type = np.uint64) -> list[np.ndarray]:
@@ -46,113 +47,242 @@ def _fixed(*values: int, kind: type = np.uint64) -> list[np.ndarray]:
 
 _PAGE, _LOW, _32, _16, _4, _1 = _fixed(1 << 32, (1 << 32) - 1, 32, 16, 4, 1)
 _ALL, _FREQ = _fixed(FREQ + WEIGHT, FREQ)
-#: Weights of order 2, 1 and 0 lie in 16 bits each of one number, from the right; what is left lies above them.
+#: Weights of order 2, 1 and 0 lie in 16 bits each of one number, from the right; the 16 bits above them mean nothing.
 _FIELD, _SUMS, _DECAY = _fixed(0xFFFF, 0x0001_0001_0001_0001, 0x0FFF_0FFF_0FFF)
-_HIT, _MISS = 1000, 1
-_GAIN = np.array([sum((_HIT if k == which else _MISS) << 16 * (3 - k) for k in (3, 2, 1)) for which in range(4)], np.uint64)
-_TOP, _WHOLE, _TOTAL = _fixed(0xFFFF << 48, 1 << WEIGHT + 48, 1 << WEIGHT)
+#: What each weight gains, and what that of the order which hit gains besides.
+_MISS, _HIT = _fixed(0x0001_0001_0001, 999)
+_TOP, _WHOLE = _fixed(0xFFFF << 48, 1 << WEIGHT + 48)
 #: A place in an interval: its start << 18 | its length.
 _PLACE = (1 << 18) - 1
 _START, _LENGTH = _fixed(18, _PLACE)
 _GUESS = 1 << FREQ
+#: A step of a block: where its weights are, 3 - its order, its place, in this many bits from the right.
+_ORDER, _AT = 36, 38
+_WHERE, _BITS, _SHIFT = _fixed((1 << _ORDER) - 1, _ORDER - 4, 3 << 4)
 #: An order-0 slot: symbol + 1, count, place, in this many bits from the right.
 _COUNT, _SYMBOL = 35, 46
 _LAID = (1 << _COUNT) - 1
-#: Numbers of the steps, for symbols and confidences, for slots and orders, for hashes.
-_N1, _N3, _N7, _N8 = _fixed(1, 3, 7, 8, kind=np.int32)
-_L0, _L1, _L3, _L4, _LS, _LC, _LK, _LL = _fixed(0, 1, 3, 4, _SYMBOL, _COUNT, _SYMBOL - _COUNT, _LAID, kind=np.int64)
-_H0, _H1, _H2, _H3, _H7, _HA, _HB = _fixed(32 - ZERO, 32 - ONE, 32 - TWO, 3, 7, 0x9E3779B1, 0x2C1B3C6D, kind=np.uint32)
+#: Numbers of the steps, for symbols and confidences, for places and orders, for hashes.
+_N0, _N1, _N2, _N3, _N7, _N8 = _fixed(0, 1, 2, 3, 7, 8, kind=np.int32)
+_L1, _L3, _L4, _LS, _LL, _LA, _LP, _LT = _fixed(1, 3, 4, _SYMBOL, _LAID, _AT, FREQ - SEEN, (1 << SEEN) - 1, kind=np.int64)
+_B3 = np.array(3, np.int8)
+_H0, _H1, _H2, _H3, _H7, _HA, _HB, _HI, _HR, _HT = _fixed(32 - ZERO, 32 - ONE, 32 - TWO, 3, 7, 0x9E3779B1, 0x2C1B3C6D, IDS, IDS + ZERO, (1 << IDS) - 1, kind=np.uint32)
 
 
-class Model:
-    """Predictions and weights of n blocks side by side. A prediction is symbol << 3 | confidence."""
+class Weights:
+    """Weights of n blocks side by side, slot by slot: those that are used most lie together and stay in the cache."""
 
     def __init__(self, n: int) -> None:
-        self.n = n
-        # guesses of order 2 lie before those of order 1
-        self.zero, self.guess = np.zeros(n << ZERO, np.int64), np.zeros((n << ONE) + (n << TWO), np.int32)
-        self.slot_of: np.ndarray | None = None
         sure = np.array([30, 1000, 2240, 3520, 4480, 5240, 6000, 6760], np.uint64)
         a2, a1 = np.repeat(sure, 8), np.tile(sure * np.uint64(3) >> np.uint64(3), 8)
         a0 = (np.uint64(1 << WEIGHT) - a2 - a1) >> np.uint64(2)
-        self.weights = np.tile(a2 | a1 << np.uint64(16) | a0 << _32, n)
-        lane = np.arange(n, dtype=np.int64)
-        self.b0, self.bw, self.base = lane << ZERO, lane << 6, np.stack((lane << TWO, (n << TWO) + (lane << ONE)))
-        self.i, self.before = self.base.copy(), np.zeros(n, np.uint32)
+        self.all = np.repeat(a2 | a1 << np.uint64(16) | a0 << _32, n)
+
+    def take(self, at: np.ndarray) -> None:
+        """Goes to these weights, one of each block."""
+        self.at, self.w = at, self.all.take(at)
+        self.sums = self.w * _SUMS  # of the weights up to each, from the right
+
+    def part(self, shift: np.ndarray) -> None:
+        """Start and length of a part: shift is 0 for order 2, 16 for 1, 32 for 0, 48 for what is left."""
+        self.shift = shift
+        # what is left stands above the weights; the topmost sum is that of all weights
+        self.length = (self.w + (_WHOLE - (self.sums & _TOP))) >> shift & _FIELD
+        self.start = ((self.sums << _16) >> shift & _FIELD) << _FREQ
+
+    def interval(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length of a place in that part."""
+        return self.start + self.length * (place >> _START), self.length * (place & _LENGTH)
+
+    def learn(self) -> None:
+        """What came was in that part."""
+        self.all[self.at] = self.w - (self.w >> _4 & _DECAY) + _MISS + (_HIT << self.shift)
+
+
+class Guesses:
+    """Order 2 and 1 of n blocks side by side, step by step. A guess is symbol << 3 | confidence. They lie as weights do."""
+
+    def __init__(self, n: int) -> None:
+        # those of order 2 lie before those of order 1
+        self.all, lane = np.zeros((n << ONE) + (n << TWO), np.int32), np.arange(n, dtype=np.uint32)
+        self.wide, self.base = np.array(n, np.uint32), np.stack((lane, lane + np.uint32(n << TWO)))
+        self.at, self.before = self.base.astype(np.int64), np.zeros(n, np.uint32)
 
     def narrow(self, m: int) -> None:
         """Only the first m blocks go on."""
-        self.b0, self.bw, self.base, self.i, self.before = (x[..., :m].copy() for x in (self.b0, self.bw, self.base, self.i, self.before))
+        self.base, self.at, self.before = (x[..., :m].copy() for x in (self.base, self.at, self.before))
 
-    def renew(self, look: bool) -> None:
-        """Lays out the order-0 intervals by the counts so far; with `look`, also which slot stands at each of their parts."""
-        size = 1 << ZERO
-        if look and self.slot_of is None:
-            self.slot_of = np.zeros(self.n << SEEN, np.int16)
-        for i in range(0, self.n, LANES):
-            zero = self.zero[i << ZERO : i + LANES << ZERO]
-            at = (zero != 0).nonzero()[0]  # most slots are empty
-            e, kinds = zero[at], np.bincount(at >> ZERO, minlength=len(zero) >> ZERO)
-            ends = np.cumsum(kinds)
-            count = e >> _COUNT & size - 1
-            up_to = np.concatenate(([0], np.cumsum(count)))
-            # one part for each that was seen, the rest by counts; the factor is a little less than fits
-            total = np.maximum(up_to[ends] - up_to[ends - kinds], 1)
-            rate = ((1 << SEEN) - kinds).astype(np.float32) / total.astype(np.float32) * np.float32(0.99999)
-            part = (count * np.repeat(rate, kinds).astype(float)).astype(np.int64) + 1
-            up_to = np.concatenate(([0], np.cumsum(part)))
-            before = up_to[ends - kinds]
-            start = up_to[:-1] - np.repeat(before, kinds)
-            zero[at] = e & ~_LAID | start << FREQ - SEEN + 18 | part << FREQ - SEEN
-            if look:
-                # behind the parts of a block, what is left of its interval
-                parts = np.insert(part, ends, (1 << SEEN) - (up_to[ends] - before))
-                self.slot_of[i << SEEN : i + LANES << SEEN] = np.repeat(np.insert((at & size - 1).astype(np.int16), ends, 0), parts)
-
-    def predict(self) -> None:
-        """The order-2 and order-1 predictions p of the blocks, a row each, their confidences c, and the weights."""
-        self.p = self.guess.take(self.i)
+    def take(self) -> np.ndarray:
+        """The guesses of both orders, a row each; c are their confidences."""
+        self.p = self.all.take(self.at)
         self.c = self.p & _N7
-        self.at = self.bw + (self.c[0] << _N3 | self.c[1])
-        self.w = self.weights.take(self.at)
-        self.sums = self.w * _SUMS  # of the weights up to each, from the right
+        return self.p
+
+    def learn(self, s8: np.ndarray) -> None:
+        """The symbol s8 >> 3 came."""
+        now = np.empty_like(self.p)
+        now[:] = s8 | _N1
+        hits = (self.p ^ s8) < _N8
+        keep = (hits | (self.c > _N1)).ravel().nonzero()[0]
+        now.put(keep, _next(self.p.take(keep), hits.take(keep)))
+        self.all[self.at.ravel()] = now.ravel()
+        mixed = _mixed(s8)
+        self.at[1] = (mixed >> _H1) * self.wide + self.base[1]
+        self.at[0] = (_pairs(mixed, self.before) >> _H2) * self.wide + self.base[0]
+        self.before = _left(mixed)
 
-    def interval(self, which: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and length of a place in the part of order `which` (3: 2, 2: 1, 1: 0, 0: none)."""
-        shift = (_L3 - which << _L4).view(np.uint64)
-        # what is left stands above the weights; the topmost sum is that of all weights
-        a = (self.w + (_WHOLE - (self.sums & _TOP))) >> shift & _FIELD
-        low = (self.sums << _16) >> shift & _FIELD
-        place = place.view(np.uint64)
-        return (low << _FREQ) + a * (place >> _START), a * (place & _LENGTH)
-
-    def learn(self, s8: np.ndarray, next_: np.ndarray, mixed: np.ndarray, i0: np.ndarray, e: np.ndarray, own: np.ndarray, which: np.ndarray, hits: np.ndarray) -> None:
-        """The symbol s8 >> 3 came, next_ is one more; e is what its order-0 slot i0 holds, own whether that is the symbol's; hits tell whether orders 2 and 1 had it."""
-        self.weights[self.at] = self.w - (self.w >> _4 & _DECAY) + _GAIN.take(which)
-        # right: more confidence; wrong: half of it, and without any the symbol's place is taken
-        now = np.where(self.c > _N1, self.p - (self.c + _N1 >> _N1), s8 | _N1)
-        np.putmask(now, hits, np.minimum(self.p + _N1, s8 | _N7))
-        self.guess[self.i.ravel()] = now.ravel()
-        new = e == _L0
-        now = e + (own.astype(np.int64) << _LC)
-        np.putmask(now, new, (next_ << _LK) + _L1 << _LC)
-        self.zero[i0] = now
-        np.add(self.base[1], mixed >> _H1, out=self.i[1])
-        np.add(self.base[0], mixed * _H3 + self.before >> _H2, out=self.i[0])
-        np.bitwise_xor(mixed * _HB, mixed >> _H7, out=self.before)
+
+#: By hit or miss and confidence. Right: more confidence; wrong: half of it. What has none any more is lost.
+_CHANGE = np.array([*(-(c + 1 >> 1) for c in range(8)), *(int(c < 7) for c in range(8))], np.int32)
+
+
+def _next(p: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    return p + _CHANGE.take((p & _N7) + (hits.view(np.int8) << _B3))
 
 
 def _mixed(s8: np.ndarray) -> np.ndarray:
     return s8.view(np.uint32) * _HA
 
 
-def _turned(a: np.ndarray) -> np.ndarray:
+def _left(mixed: np.ndarray) -> np.ndarray:
+    """What a symbol leaves for the slot after the next."""
+    return mixed * _HB ^ mixed >> _H7
+
+
+def _pairs(mixed: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return mixed * _H3 + before
+
+
+def _visits(slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some blocks, a row each, in the order of their slots, there as they came: where they are, and where each slot begins."""
+    n, ids = slot.shape
+    row, t = np.arange(n, dtype=np.uint32)[:, None] << _HR, np.arange(ids, dtype=np.uint32)
+    key = np.sort(slot << _HI | row | t, axis=1).ravel()
+    of = key >> _HI
+    first = np.ones(len(key), bool)
+    np.not_equal(of[1:], of[:-1], out=first[1:])
+    return ((key >> _HR) * np.uint32(ids) + (key & _HT)).astype(np.int64), first.nonzero()[0]
+
+
+def _guesses(s8: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """The guesses before each of the symbols of some blocks, a row each, from their slots: what Guesses does step by step."""
+    at, first = _visits(slot)
+    came = s8.ravel().take(at)
+    p = np.empty_like(came)
+    np.bitwise_or(came[:-1], _N1, out=p[1:])
+    p[first] = 0
+    # each takes the place of that before, unless a symbol came twice running: from there on a slot is gone through until its guess has lost all confidence
+    twice = ((p ^ came) < _N8).nonzero()[0]
+    ends = np.append(first[1:], len(came))
+    x = np.append(twice, len(came))  # and what comes after all
+    of = np.searchsorted(first, twice, "right")
+    end = ends.take(of - 1)
+    begin = np.concatenate(([True], of[1:] != of[:-1])).nonzero()[0] if len(of) else of
+    to, end = twice[begin], end[begin]
+    now = p.take(to) + _N1
+    while len(to):
+        to += _L1
+        if not (on := to < end).all():
+            to, now, end = to[on], now[on], end[on]
+        p[to] = now
+        now = _next(now, (now ^ came.take(to)) < _N8)
+        lost = (now & _N7 == _N0).nonzero()[0]
+        if len(lost):
+            to[lost] = again = x.take(np.searchsorted(twice, to.take(lost), "right"))
+            now[lost] = came.take(again, mode="clip") + _N2
+    out = np.empty_like(p)
+    out[at] = p
+    return out.reshape(s8.shape)
+
+
+def _slots(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols + 1 of some blocks, a row each, and their order-0 slots."""
+    return s.astype(np.int64) + _L1, (_mixed(s << _N3) >> _H0) + (np.arange(len(s)) << ZERO)[:, None]
+
+
+def _count(zero: np.ndarray, own: np.ndarray, slot: np.ndarray) -> None:
+    new = (zero.take(slot) == 0).nonzero()[0][::-1]  # a slot is the first's that comes to it, which is written last
+    zero[slot[new]] = own[new] << _SYMBOL
+    np.add.at(zero, slot[zero.take(slot) >> _SYMBOL == own], 1 << _COUNT)
+
+
+def _lay_out(zero: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lays out order 0 by the counts so far: taken slots, their parts, where each block's end among them, and what is left over there."""
+    at = (zero != 0).nonzero()[0]  # most slots are empty
+    e, kinds = zero.take(at), np.bincount(at >> ZERO, minlength=len(zero) >> ZERO)
+    ends = np.cumsum(kinds)
+    count = e >> _COUNT & (1 << ZERO) - 1
+    up_to = np.concatenate(([0], np.cumsum(count)))
+    # one part for each that was seen, the rest by counts; the factor is a little less than fits
+    total = np.maximum(up_to[ends] - up_to[ends - kinds], 1)
+    rate = ((1 << SEEN) - kinds).astype(np.float32) / total.astype(np.float32) * np.float32(0.99999)
+    part = (count * np.repeat(rate, kinds).astype(float)).astype(np.int64) + 1
+    up_to = np.concatenate(([0], np.cumsum(part)))
+    before = up_to[ends - kinds]
+    start = up_to[:-1] - np.repeat(before, kinds)
+    zero[at] = e & ~_LAID | start << FREQ - SEEN + 18 | part << FREQ - SEEN
+    return at, part, ends, (1 << SEEN) - (up_to[ends] - before)
+
+
+def _laid(s: np.ndarray) -> np.ndarray:
+    """The places that order 0 has for the symbols of some blocks, a row each; 0 if none."""
+    zero, (own, slot), out = np.zeros(len(s) << ZERO, np.int64), _slots(s), np.empty(s.shape, np.int64)
+    stops = [0, *(t for t in RENEW if t < s.shape[1]), s.shape[1]]
+    for begin, end in pairwise(stops):
+        ids, to = own[:, begin:end].ravel(), slot[:, begin:end].ravel()
+        e = zero.take(to)
+        out[:, begin:end] = ((e & _LL) * (e >> _LS == ids)).reshape(len(s), -1)
+        if end < s.shape[1]:
+            _count(zero, ids, to)
+            _lay_out(zero)
+    return out
+
+
+class Zero:
+    """Order 0 of n blocks side by side, as it was laid out last."""
+
+    def __init__(self, n: int) -> None:
+        lane = np.arange(n, dtype=np.int64)
+        self.n, self.slots, self.parts = n, lane << ZERO, lane << SEEN
+        # what is known of each slot; which stands at each part of a block's interval
+        self.all, self.slot_of = np.zeros(n << ZERO, np.int64), np.zeros(n << SEEN, np.int16)
+
+    def renew(self, s: np.ndarray) -> None:
+        """Counts the symbols s, a row for each step since the last time, and lays out anew."""
+        for i in range(0, self.n, LANES):
+            zero = self.all[i << ZERO : i + LANES << ZERO]
+            own, slot = _slots(np.ascontiguousarray(s[:, i : i + LANES].T))
+            _count(zero, own.ravel(), slot.ravel())
+            at, part, ends, rest = _lay_out(zero)
+            # behind the parts of a block, what is left of its interval
+            self.slot_of[i << SEEN : i + LANES << SEEN] = np.repeat(np.insert((at & (1 << ZERO) - 1).astype(np.int16), ends, 0), np.insert(part, ends, rest))
+
+    def at(self, blocks: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols that stand at these parts, and their places."""
+        e = self.all.take(self.slots.take(blocks) + self.slot_of.take(self.parts.take(blocks) + part))
+        return np.maximum(e >> _LS, _L1) - _L1, e & _LL
+
+
+def _steps(s: np.ndarray, places: np.ndarray, lane: np.ndarray, n: int) -> np.ndarray:
+    """The steps of some blocks, a row each, which are `lane` of all n."""
+    s8 = s << _N3
+    mixed = _mixed(s8)
+    one, two = np.zeros_like(mixed), np.zeros_like(mixed)
+    one[:, 1:] = mixed[:, :-1] >> _H1
+    two[:, 1:] = _pairs(mixed[:, :-1], np.concatenate((np.zeros((len(s), 1), np.uint32), _left(mixed[:, :-2])), axis=1)[:, : s.shape[1] - 1]) >> _H2
+    p2, p1, place = _guesses(s8, two), _guesses(s8, one), _laid(s)
+    of2, of1 = (p2 ^ s8) < _N8, (p1 ^ s8) < _N8
+    order = np.maximum(np.maximum(of2.view(np.int8) * 3, of1.view(np.int8) * 2), (place > 0).view(np.int8))
+    place = np.where(order > 1, _GUESS, np.where(order == 1, place, places.take(s)))
+    at = ((p2 & _N7) << _N3 | p1 & _N7) * np.int64(n) + lane[:, None]
+    return place | (3 - order).astype(np.int64) << _ORDER | at << _AT
+
+
+def _turned(a: np.ndarray, out: np.ndarray) -> None:
     """The transpose, some columns at a time: they stay in the cache."""
-    out = np.empty(a.shape[::-1], a.dtype)
     for i in range(0, a.shape[0], 64):
         for j in range(0, a.shape[1], 64):
             out[j : j + 64, i : i + 64] = a[i : i + 64, j : j + 64].T
-    return out
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -180,8 +310,8 @@ def _places(counts: np.ndarray) -> np.ndarray:
 
 def encode(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], block: int = BLOCK) -> bytes:
     """A segment: ids of documents one after the other, with their numbers of ids."""
-    if not 0 < block <= 1 << ZERO:
-        raise ValueError(f"a block has 1 to {1 << ZERO} ids")
+    if not 0 < block <= 1 << IDS:
+        raise ValueError(f"a block has 1 to {1 << IDS} ids")
     if len(ids) and int(ids.max()) < 1 << 24:
         tally = np.bincount(ids)
         seen, place = np.flatnonzero(tally), np.zeros(len(tally), np.int32)
@@ -223,37 +353,22 @@ def _encode(sym: np.ndarray, counts: np.ndarray, n: int, block: int) -> tuple[np
     last = len(sym) - (n - 1) * block
     lanes = np.zeros((n, block), np.int32)
     lanes.ravel()[: len(sym)] = sym
-    lanes = _turned(lanes)
-    places = _places(counts)
-    model = Model(n)
-    m = n
+    places, steps, lane = _places(counts), np.empty((block, n), np.int64), np.arange(n)
+    for i in range(0, n, LANES):
+        _turned(_steps(lanes[i : i + LANES], places, lane[i : i + LANES], n), steps[:, i : i + LANES])
+    weights, m = Weights(n), n
     room = block + 8
     out, used = np.zeros(n * room, np.uint32), np.arange(n, dtype=np.int64) * room
     low, rng = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
     for t in range(block):
-        if t == last:
-            m = n - 1
-            model.narrow(m)
+        m = n if t < last else n - 1
         if not m:
             break
-        if t in RENEW:
-            model.renew(False)
-        s = lanes[t, :m]
-        s8, next_ = s << _N3, s.astype(np.int64) + _L1
-        model.predict()
-        mixed = _mixed(s8)
-        i0 = model.b0 + (mixed >> _H0)
-        e = model.zero.take(i0)
-        own, laid = e >> _LS == next_, e & _LL
-        hits = (model.p ^ s8) < _N8
-        of2, of1 = hits.view(np.int8)
-        guessed = np.maximum(of2 << 1 | of2, of1 << 1)
-        known = own & (laid > _L0)
-        which = np.maximum(guessed, known.view(np.int8)).astype(np.int64)
-        place = places.take(s)
-        np.putmask(place, known, laid)
-        np.putmask(place, hits[0] | hits[1], _GUESS)
-        c, f = model.interval(which, place)
+        step = steps[t, :m]
+        weights.take(step >> _LA)
+        step = step.view(np.uint64)
+        weights.part(step >> _BITS & _SHIFT)
+        c, f = weights.interval(step & _WHERE)
         lo, r = low[:m], rng[:m]
         r >>= _ALL
         lo += r * c
@@ -265,7 +380,7 @@ def _encode(sym: np.ndarray, counts: np.ndarray, n: int, block: int) -> tuple[np
         out[to] = (lo >> _32).astype(np.uint32)
         used[due] = to + 1
         low[due], rng[due] = lo << _32, r << _32
-        model.learn(s8, next_, mixed, i0, e, own, which, hits)
+        weights.learn()
     for by in (32, 0):
         out[used] = (low >> np.uint64(by) & _LOW).astype(np.uint32)
         used += 1
@@ -341,52 +456,41 @@ def _decode(bodies: list[bytes], counts: np.ndarray, last: int, block: int) -> t
     at = start.copy()
     code = words[at].astype(np.uint64) << _32 | words[at + 1].astype(np.uint64)
     at += 2
-    model = Model(n)
-    lanes, m = np.zeros((block, n), np.int32), n
-    low, rng = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
-    seen = np.zeros(n << SEEN, np.int16)
-    part0 = np.arange(n, dtype=np.int64) << SEEN
-    top = np.int64(1 << SEEN) - 1
+    weights, guesses, zero = Weights(n), Guesses(n), Zero(n)
+    lanes, m, laid = np.zeros((block, n), np.int32), n, 0
+    low, rng, lane, wide = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64), np.arange(n, dtype=np.int32), np.array(n, np.int32)
     for t in range(block):
         if t == last:
             m = n - 1
-            model.narrow(m)
+            guesses.narrow(m)
+            lane = lane[:m]
         if not m:
             break
         if t in RENEW:
-            model.renew(True)
-            seen = model.slot_of
-        model.predict()
+            zero.renew(lanes[laid:t])
+            laid = t
+        p = guesses.take()
+        weights.take(((guesses.c[0] << _N3 | guesses.c[1]) * wide + lane).astype(np.int64))
         lo, r = low[:m], rng[:m]
         r >>= _ALL
         v = (code[:m] - lo) // r
-        sums = model.sums
-        a2, a21 = (sums & _FIELD) << _FREQ, (sums >> _16 & _FIELD) << _FREQ
-        all_ = sums >> _32 & _FIELD
-        edge = all_ << _FREQ
-        which = (v < edge).view(np.int8) + (v < a21).view(np.int8) + (v < a2).view(np.int8)
-        s = np.where(which == 3, *model.p) >> _N3
+        among, sums = v >> _FREQ, weights.sums
+        order = (among < sums & _FIELD).view(np.int8) + (among < sums >> _16 & _FIELD).view(np.int8) + (among < sums >> _32 & _FIELD).view(np.int8)
+        weights.part((_L3 - order << _L4).view(np.uint64))
         # a quotient of such numbers that isn't whole is further from a whole one than a double's error
-        none = (which == 0).nonzero()[0]
-        if len(none):
-            rest = (v[none] - edge[none]).astype(float) / (_TOTAL - all_[none]).astype(float)
-            s[none] = symbol.take(rest.astype(np.int64), mode="clip")
-        one = (which == 1).nonzero()[0]
+        within = ((v - weights.start).astype(float) / weights.length.astype(float)).astype(np.int64)
+        s, place = np.zeros(m, np.int32), np.full(m, _GUESS)
+        none = (order == 0).nonzero()[0]
+        s[none] = of = symbol.take(within.take(none), mode="clip")
+        place[none] = places.take(of)
+        one = (order == 1).nonzero()[0]
         if len(one):
-            part = (v[one] - a21[one]).astype(float) / ((model.w[one] >> _32) << np.uint64(FREQ - SEEN)).astype(float)
-            slot = model.b0[one] + seen.take(part0[one] + np.minimum(part.astype(np.int64), top))
-            s[one] = (model.zero.take(slot) >> _SYMBOL) - 1
-        np.maximum(s, 0, out=s)
+            s[one], place[one] = zero.at(one, np.minimum(within.take(one) >> _LP, _LT))
+        guessed = (order > 1).nonzero()[0]
+        if len(guessed):
+            s[guessed] = p.take(guessed + m * (order.take(guessed) == 2)) >> _N3
         lanes[t, :m] = s
-        s8, next_ = s << _N3, s.astype(np.int64) + _L1
-        mixed = _mixed(s8)
-        i0 = model.b0 + (mixed >> _H0)
-        e = model.zero.take(i0)
-        place = places.take(s)
-        np.putmask(place, which == 1, e & _LL)
-        np.putmask(place, which > 1, _GUESS)
-        which = which.astype(np.int64)
-        c, f = model.interval(which, place)
+        c, f = weights.interval(place.view(np.uint64))
         lo += r * c
         r *= f
         due = (r < _PAGE).nonzero()[0]
@@ -394,7 +498,10 @@ def _decode(bodies: list[bytes], counts: np.ndarray, last: int, block: int) -> t
         r = np.where((lo ^ lo + r - _1) < _PAGE, r, ~lo + _1 & _LOW)
         code[due] = code[due] << _32 | words.take(to, mode="clip").astype(np.uint64)
         at[due] = to + 1
-        low[due], rng[due] = lo << _32, r << _32
-        rng[rng == 0] = _PAGE  # a damaged block: it goes on and fails its check
-        model.learn(s8, next_, mixed, i0, e, e >> _LS == next_, which, (model.p ^ s8) < _N8)
-    return _turned(lanes), at - start
+        # a damaged block may come to a length of 0: it goes on and fails its check
+        low[due], rng[due] = lo << _32, np.maximum(r << _32, _PAGE)
+        weights.learn()
+        guesses.learn(s << _N3)
+    out = np.empty((n, block), np.int32)
+    _turned(lanes, out)
+    return out, at - start

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ _MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])"
 _KINDS = bytes(
     1 if b in (10, 32) else 3 if chr(b).isalpha() and b < 128 else 4 if b == 0xC3 else 5 if 0x80 <= b < 0xC0 and b not in (0x97, 0xB7) else 2 if re.match(r"[!-&(-/:-@\[-`{-~]", chr(b)) else 0 for b in range(256)
 )
+_ID = attrgetter("id")
 #: Letters that stay as they are when a text is brought to its normal form.
 _PLAIN = re.compile("[a-zà-öø-ÿ]+")
 
@@ -94,6 +96,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        # it is asked for no piece twice
+        getattr(self.model, "_resize_cache", lambda n: None)(0)
         self.spaces, self.memory = spaces, memory
         self.young, self.old = Ids(), Ids()
         self.letters = np.array([ord(c) for c in byte_letters()], "<u2")  # of each byte
@@ -112,18 +116,18 @@ class Encoder:
         words = "\n".join(chain((pieces[i] for i in plain), (pieces[i][1:] for i in lined))).encode()
         words = self.letters[np.frombuffer(words, np.uint8)].tobytes().decode("utf-16-le").split(chr(self.letters[10]))
         # one flat list: a list for each piece would keep the garbage collector busy
-        tokenize, ids, ends = self.model.tokenize, [], [0]
-        for word in words[: len(plain)]:
-            ids += [t.id for t in tokenize(word)]
-            ends.append(len(ids))
-        for word in words[len(plain) :] if lined else ():
+        ids, sizes, found = [], [], map(self.model.tokenize, words)
+        for x in islice(found, len(plain)):
+            ids.extend(map(_ID, x))
+            sizes.append(len(x))
+        for x in islice(found, len(lined)):
             ids += self.line
-            ids += [t.id for t in tokenize(word)]
-            ends.append(len(ids))
+            ids.extend(map(_ID, x))
+            sizes.append(len(self.line) + len(x))
         for more in self._each([pieces[i] for i in rest]):
             ids += more
-            ends.append(len(ids))
-        self.young.add([pieces[i] for i in plain + lined + rest], np.array(ids, np.uint32), np.diff(ends))
+            sizes.append(len(more))
+        self.young.add([pieces[i] for i in plain + lined + rest], np.array(ids, np.uint32), np.array(sizes, np.int64))
 
     def _rows(self, pieces: list[str]) -> np.ndarray:
         """The rows of distinct pieces in the young generation."""

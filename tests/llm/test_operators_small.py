@@ -393,6 +393,25 @@ def test_files_stay_the_same():
     assert (codec.decode(data)[0] == ids).all()
 
 
+@pytest.mark.parametrize("kinds", [1, 2, 5, 400])
+def test_guesses_of_whole_blocks_are_those_of_each_step(kinds):
+    """A block's guesses, found without a step for each id, against a dictionary; symbols, slots and confidences run together."""
+    r = np.random.RandomState(kinds)
+    s = np.minimum(r.geometric(2 / (kinds + 1), (5, 700)) - 1, kinds).astype(np.int32)
+    s[1, 100:400] = 0
+    slot = r.randint(0, 9, s.shape).astype(np.uint32)
+    got = codec._guesses(s << np.int32(3), slot)
+    for row in range(len(s)):
+        held = {}
+        for t, (symbol, at) in enumerate(zip(s[row].tolist(), slot[row].tolist(), strict=True)):
+            guess, sure = held.get(at, (0, 0))
+            assert divmod(int(got[row, t]), 8) == (guess, sure)
+            if guess == symbol:
+                held[at] = guess, min(7, sure + 1)
+            else:
+                held[at] = (guess, sure - (sure + 1) // 2) if sure > 1 else (symbol, 1)
+
+
 def test_pieces_share_the_bytes_of_their_texts():
     """Texts are cut where a regular expression cuts them, without a copy."""
     r = random.Random(4)
