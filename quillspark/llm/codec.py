@@ -36,8 +36,8 @@ KINDS = 60_000
 ZERO, ONE, TWO, IDS = 11, 10, 11, 11
 #: Before these ids of a block the order-0 interval is laid out anew.
 RENEW = (32, 96, 256, 512, 1024, 1536)
-#: Blocks whose slots are sorted at a time.
-LANES = 128
+#: Blocks whose slots are sorted, or laid out, at a time; blocks whose guesses are gone through at a time.
+LANES, SPAN = 128, 1024
 
 
 def _fixed(*values: int, kind: type = np.uint64) -> list[np.ndarray]:
@@ -52,6 +52,7 @@ _FIELD, _SUMS, _DECAY = _fixed(0xFFFF, 0x0001_0001_0001_0001, 0x0FFF_0FFF_0FFF)
 #: What each weight gains, and what that of the order which hit gains besides.
 _MISS, _HIT = _fixed(0x0001_0001_0001, 999)
 _TOP, _WHOLE = _fixed(0xFFFF << 48, 1 << WEIGHT + 48)
+_EACH, _ABOVE, _MOST, _15, _3 = _fixed(0x0001_0001_0001, 0x8000_8000_8000, 0x7FFE, 15, 3)
 #: A place in an interval: its start << 18 | its length.
 _PLACE = (1 << 18) - 1
 _START, _LENGTH = _fixed(18, _PLACE)
@@ -64,8 +65,8 @@ _COUNT, _SYMBOL = 35, 46
 _LAID = (1 << _COUNT) - 1
 #: Numbers of the steps, for symbols and confidences, for places and orders, for hashes.
 _N0, _N1, _N2, _N3, _N7, _N8 = _fixed(0, 1, 2, 3, 7, 8, kind=np.int32)
-_L1, _L3, _L4, _LS, _LL, _LA, _LP, _LT = _fixed(1, 3, 4, _SYMBOL, _LAID, _AT, FREQ - SEEN, (1 << SEEN) - 1, kind=np.int64)
-_B3 = np.array(3, np.int8)
+_L1, _LS, _LL, _LA, _LP, _LT, _LZ, _LN = _fixed(1, _SYMBOL, _LAID, _AT, FREQ - SEEN, (1 << SEEN) - 1, ZERO, SEEN, kind=np.int64)
+_B2, _B3 = _fixed(2, 3, kind=np.int8)
 _H0, _H1, _H2, _H3, _H7, _HA, _HB, _HI, _HR, _HT = _fixed(32 - ZERO, 32 - ONE, 32 - TWO, 3, 7, 0x9E3779B1, 0x2C1B3C6D, IDS, IDS + ZERO, (1 << IDS) - 1, kind=np.uint32)
 
 
@@ -166,8 +167,10 @@ def _visits(slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _guesses(s8: np.ndarray, slot: np.ndarray) -> np.ndarray:
     """The guesses before each of the symbols of some blocks, a row each, from their slots: what Guesses does step by step."""
-    at, first = _visits(slot)
-    came = s8.ravel().take(at)
+    visits = [_visits(slot[i : i + LANES]) for i in range(0, len(slot), LANES)]
+    sizes = np.cumsum([0, *(len(at) for at, _ in visits)]).tolist()
+    first = np.concatenate([f + k for (_, f), k in zip(visits, sizes, strict=False)])
+    came = np.concatenate([s8[i * LANES : (i + 1) * LANES].ravel().take(at) for i, (at, _) in enumerate(visits)])
     p = np.empty_like(came)
     np.bitwise_or(came[:-1], _N1, out=p[1:])
     p[first] = 0
@@ -191,7 +194,8 @@ def _guesses(s8: np.ndarray, slot: np.ndarray) -> np.ndarray:
             to[lost] = again = x.take(np.searchsorted(twice, to.take(lost), "right"))
             now[lost] = came.take(again, mode="clip") + _N2
     out = np.empty_like(p)
-    out[at] = p
+    for (at, _), begin, stop in zip(visits, sizes, sizes[1:], strict=False):
+        out[begin:stop][at] = p[begin:stop]
     return out.reshape(s8.shape)
 
 
@@ -242,10 +246,8 @@ class Zero:
     """Order 0 of n blocks side by side, as it was laid out last."""
 
     def __init__(self, n: int) -> None:
-        lane = np.arange(n, dtype=np.int64)
-        self.n, self.slots, self.parts = n, lane << ZERO, lane << SEEN
         # what is known of each slot; which stands at each part of a block's interval
-        self.all, self.slot_of = np.zeros(n << ZERO, np.int64), np.zeros(n << SEEN, np.int16)
+        self.n, self.all, self.slot_of = n, np.zeros(n << ZERO, np.int64), np.zeros(n << SEEN, np.int16)
 
     def renew(self, s: np.ndarray) -> None:
         """Counts the symbols s, a row for each step since the last time, and lays out anew."""
@@ -259,23 +261,28 @@ class Zero:
 
     def at(self, blocks: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbols that stand at these parts, and their places."""
-        e = self.all.take(self.slots.take(blocks) + self.slot_of.take(self.parts.take(blocks) + part))
+        e = self.all.take((blocks << _LZ) + self.slot_of.take((blocks << _LN) + part))
         return np.maximum(e >> _LS, _L1) - _L1, e & _LL
 
 
-def _steps(s: np.ndarray, places: np.ndarray, lane: np.ndarray, n: int) -> np.ndarray:
-    """The steps of some blocks, a row each, which are `lane` of all n."""
-    s8 = s << _N3
+def _guessed(s8: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The guesses of order 2 and of order 1 before each of the symbols of some blocks, a row each."""
     mixed = _mixed(s8)
     one, two = np.zeros_like(mixed), np.zeros_like(mixed)
     one[:, 1:] = mixed[:, :-1] >> _H1
-    two[:, 1:] = _pairs(mixed[:, :-1], np.concatenate((np.zeros((len(s), 1), np.uint32), _left(mixed[:, :-2])), axis=1)[:, : s.shape[1] - 1]) >> _H2
-    p2, p1, place = _guesses(s8, two), _guesses(s8, one), _laid(s)
+    two[:, 1:] = mixed[:, :-1] * _H3
+    two[:, 2:] += _left(mixed[:, :-2])
+    return _guesses(s8, two >> _H2), _guesses(s8, one)
+
+
+def _steps(s: np.ndarray, p2: np.ndarray, p1: np.ndarray, places: np.ndarray, lane: np.ndarray, n: int) -> np.ndarray:
+    """The steps of some blocks, a row each, which are `lane` of all n, by their guesses."""
+    s8, place = s << _N3, _laid(s)
     of2, of1 = (p2 ^ s8) < _N8, (p1 ^ s8) < _N8
-    order = np.maximum(np.maximum(of2.view(np.int8) * 3, of1.view(np.int8) * 2), (place > 0).view(np.int8))
+    order = np.maximum(np.maximum(of2.view(np.int8) * _B3, of1.view(np.int8) * _B2), (place > 0).view(np.int8))
     place = np.where(order > 1, _GUESS, np.where(order == 1, place, places.take(s)))
     at = ((p2 & _N7) << _N3 | p1 & _N7) * np.int64(n) + lane[:, None]
-    return place | (3 - order).astype(np.int64) << _ORDER | at << _AT
+    return place | (_B3 - order).astype(np.int64) << _ORDER | at << _AT
 
 
 def _turned(a: np.ndarray, out: np.ndarray) -> None:
@@ -354,8 +361,11 @@ def _encode(sym: np.ndarray, counts: np.ndarray, n: int, block: int) -> tuple[np
     lanes = np.zeros((n, block), np.int32)
     lanes.ravel()[: len(sym)] = sym
     places, steps, lane = _places(counts), np.empty((block, n), np.int64), np.arange(n)
-    for i in range(0, n, LANES):
-        _turned(_steps(lanes[i : i + LANES], places, lane[i : i + LANES], n), steps[:, i : i + LANES])
+    for i in range(0, n, SPAN):
+        p2, p1 = _guessed(lanes[i : i + SPAN] << _N3)
+        for j in range(i, min(n, i + SPAN), LANES):
+            part = np.s_[j : j + LANES]
+            _turned(_steps(lanes[part], p2[j - i : j - i + LANES], p1[j - i : j - i + LANES], places, lane[part], n), steps[:, part])
     weights, m = Weights(n), n
     room = block + 8
     out, used = np.zeros(n * room, np.uint32), np.arange(n, dtype=np.int64) * room
@@ -474,9 +484,10 @@ def _decode(bodies: list[bytes], counts: np.ndarray, last: int, block: int) -> t
         lo, r = low[:m], rng[:m]
         r >>= _ALL
         v = (code[:m] - lo) // r
-        among, sums = v >> _FREQ, weights.sums
-        order = (among < sums & _FIELD).view(np.int8) + (among < sums >> _16 & _FIELD).view(np.int8) + (among < sums >> _32 & _FIELD).view(np.int8)
-        weights.part((_L3 - order << _L4).view(np.uint64))
+        # a bit above each sum is left where the sum is more; a damaged block may ask for more than there is
+        more = (weights.sums | _ABOVE) - (np.minimum(v >> _FREQ, _MOST) * _EACH + _EACH)
+        order = ((more >> _15 & _EACH) * _EACH >> _32 & _3).astype(np.int8)
+        weights.part((_B3 - order).astype(np.uint64) << _4)
         # a quotient of such numbers that isn't whole is further from a whole one than a double's error
         within = ((v - weights.start).astype(float) / weights.length.astype(float)).astype(np.int64)
         s, place = np.zeros(m, np.int32), np.full(m, _GUESS)
