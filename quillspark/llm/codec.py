@@ -4,7 +4,8 @@ A segment holds whole documents: their ids in blocks of BLOCK ids (the last may
 Each block is coded from a fresh model into words of its own and carries a CRC-32 of what is
 written and of its ids (the last words have bits that no id depends on), so any block can be read
 without the others, and one damaged byte never goes unseen; the head has its own CRC-32. As blocks don't depend on
-each other, all blocks of a segment are coded, and decoded, one id each at a time in numpy.
+each other, all blocks of a segment are coded, and decoded, one id each at a time in numpy; what can be
+told beforehand when ids are known, all but weights and intervals, is found for whole blocks before they are coded.
 
 Model of a block, all of it reset where the block starts:
 

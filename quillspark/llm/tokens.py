@@ -96,7 +96,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        # it is asked for no piece twice
+        # pieces are remembered here, not in the model too
         getattr(self.model, "_resize_cache", lambda n: None)(0)
         self.spaces, self.memory = spaces, memory
         self.young, self.old = Ids(), Ids()
